@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 
-from pyspark.sql import Column, functions as F
+from pagewright.functions.sql import Expr as Column, fn as F
 
 from pagewright.functions.text import let
 

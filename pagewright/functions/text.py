@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import json
 from html.entities import html5
 
-from pyspark.sql import Column, functions as F
+from pagewright.functions.sql import Expr as Column, fn as F
 
 # Whitespace as Unicode White_Space, and the wider set of str.strip().
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
@@ -34,8 +33,14 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(STRIP_SPACE))
 
 
-def _literal_map(values: dict[str, str]) -> Column:
-    return F.from_json(F.lit(json.dumps(values, ensure_ascii=True)), "map<string,string>")
+def _lookup(values: dict[str, str]):
+    """A function from key column to value column over a fixed table; NULL for an unknown key.
+
+    Both lists are constant expressions, which the optimizer folds once per query.
+    """
+    keys = F.split(F.lit("\x1e".join(values)), "\x1e")
+    items = F.split(F.lit("\x1e".join(values.values())), "\x1e")
+    return lambda key: let(F.array_position(keys, key), lambda i: F.when(i > 0, F.get(items, (i - 1).cast("int"))))
 
 
 def code_point(n: Column) -> Column:
@@ -49,13 +54,13 @@ def _numeric_reference(digits: Column, base: int) -> Column:
     number = F.when(F.length(significant) > 7, F.lit(0x110000)).otherwise(
         F.coalesce(F.conv(significant, base, 10).cast("long"), F.lit(0))
     )
-    low = F.from_json(F.lit(json.dumps({str(k): v for k, v in WINDOWS_1252.items()})), "map<string,string>")
+    low = _lookup({str(k): v for k, v in WINDOWS_1252.items()})
 
     def render(n: Column) -> Column:
         bad = (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
         return (
             F.when(bad, F.lit("\ufffd"))
-            .when(n.between(0x80, 0x9F), F.coalesce(low[n.cast("string")], code_point(n)))
+            .when(n.between(0x80, 0x9F), F.coalesce(low(n.cast("string")), code_point(n)))
             .otherwise(code_point(n))
         )
 
@@ -64,22 +69,24 @@ def _numeric_reference(digits: Column, base: int) -> Column:
 
 def _reference_piece(piece: Column, attribute: bool) -> Column:
     """One piece that starts with '&': decode the reference at its head, keep the rest."""
-    named = _literal_map(_NAMED)
+    named = _lookup(_NAMED)
 
     def by_name(run: Column) -> Column:
+        return let(named(run), lambda exact: replace_name(run, exact))
+
+    def replace_name(run: Column, exact: Column) -> Column:
         rest = F.substring(piece, F.length(run) + 2, 1 << 30)
-        exact = named[run]
         if attribute:
             blocked = ~run.endswith(";") & rest.startswith("=")
             return F.when(exact.isNull() | blocked, piece).otherwise(F.concat(exact, rest))
         # The longest known name without a semicolon has six letters.
         prefixes = F.filter(
             F.transform(F.sequence(F.lit(6), F.lit(2), F.lit(-1)), lambda n: F.substring(run, 1, n)),
-            lambda p: (F.length(p) < F.length(run)) & named[p].isNotNull(),
+            lambda p: (F.length(p) < F.length(run)) & named(p).isNotNull(),
         )
         shorter = let(
             F.get(prefixes, F.lit(0)),
-            lambda p: F.when(p.isNull(), piece).otherwise(F.concat(named[p], F.substring(piece, F.length(p) + 2, 1 << 30))),
+            lambda p: F.when(p.isNull(), piece).otherwise(F.concat(named(p), F.substring(piece, F.length(p) + 2, 1 << 30))),
         )
         return F.when(exact.isNotNull(), F.concat(exact, rest)).otherwise(shorter)
 
@@ -139,11 +146,11 @@ def percent_reencode(c: Column, safe: str) -> Column:
         ),
         "",
     )
-    kept = _literal_map({f"{ord(ch):02X}": ch for ch in safe})
+    kept = _lookup({f"{ord(ch):02X}": ch for ch in safe})
     return F.array_join(
         F.transform(
             F.regexp_extract_all(as_hex, F.lit("[0-9A-F]{2}"), F.lit(0)),
-            lambda b: F.coalesce(kept[b], F.concat(F.lit("%"), b)),
+            lambda b: F.coalesce(kept(b), F.concat(F.lit("%"), b)),
         ),
         "",
     )

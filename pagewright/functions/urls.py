@@ -10,7 +10,7 @@ Two readings of a URL are supported where the answers differ:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pagewright.functions.sql import Expr as Column, fn as F
 
 from pagewright.functions.addresses import ipv6_hex
 from pagewright.functions.text import (
@@ -37,8 +37,8 @@ def _before_last_at(authority: Column) -> Column:
     return F.regexp_extract(authority, r"(?s)^(.*)@", 1)
 
 
-def _split_gateway(url: Column) -> Column:
-    """Columns shared by parsing, normalizing and resolving, bound stage by stage."""
+def _split_gateway(url: Column, request: bool = False) -> Column:
+    """Gateway parts, bound stage by stage. A ``request`` target has no fragment: "#" is a plain character."""
 
     def fields(s: Column) -> Column:
         bracketed = s["hostport"].startswith("[")
@@ -48,7 +48,7 @@ def _split_gateway(url: Column) -> Column:
         port_ok = F.when(bracketed, s["hostport"].rlike(r"(?s)^\[.*\](?::[0-9]*)?\z")).otherwise(
             s["hostport"].rlike(r"(?s)^(?:[^:]*|.*:[0-9]*)\z")
         )
-        host_ok = ~s["hostport"].rlike(r"[ \\^`{|}]") & ~F.when(bracketed, bad_escape(s["hostport"])).otherwise(
+        host_ok = ~s["hostport"].rlike(r"[ #\\^`{|}]") & ~F.when(bracketed, bad_escape(s["hostport"])).otherwise(
             s["hostport"].rlike("%(?![89A-Fa-f][0-9A-Fa-f])")
         )
         user_ok = ~s["userinfo"].rlike(r"[^A-Za-z0-9\-._:~!$&'()*+,;=%@]") & ~bad_escape(s["userinfo"])
@@ -108,7 +108,7 @@ def _split_gateway(url: Column) -> Column:
             ),
         )
 
-    no_frag = F.substring_index(url, "#", 1)
+    no_frag = url if request else F.substring_index(url, "#", 1)
     first = F.struct(url.alias("url"), no_frag.alias("no_frag"), _after(url, no_frag, 1).alias("fragment"))
     return let(first, lambda a: let(query(a), lambda b: let(authority(b), fields)))
 
@@ -169,6 +169,16 @@ def _split_router(url: Column) -> Column:
     return let(cleaned, lambda c: let(rest(c), fields))
 
 
+def request_parts(url: Column) -> Column:
+    """U1 for a request target: it must be absolute or rooted."""
+
+    def require_root(p: Column) -> Column:
+        rooted = p["ok"] & (url != "") & ((p["scheme"] != "") | url.startswith("/"))
+        return F.struct(rooted.alias("ok"), p["scheme"].alias("scheme"), p["host"].alias("host"))
+
+    return let(_split_gateway(url, request=True), require_root)
+
+
 def url_parts(url: Column, dialect: str = GATEWAY) -> Column:
     """Struct of URL parts with ``ok`` false where the URL is unparseable in the dialect."""
     return _split_gateway(url) if dialect == GATEWAY else _split_router(url)
@@ -192,34 +202,45 @@ def _encoded_user(p: Column) -> Column:
     return F.when(p["has_user"], F.concat(percent_reencode(name, USER_SAFE), F.coalesce(secret, F.lit("")), F.lit("@"))).otherwise(F.lit(""))
 
 
-def write_url(p: Column, path: Column | None = None, user: bool = True, query: bool = True) -> Column:
-    """Serialize gateway parts without the fragment."""
-    encoded = _encoded_path(p["raw_path"]) if path is None else path
+def _write(p: Column, user: bool = True, query: bool = True) -> Column:
+    """Serialize bound parts whose ``path`` is already encoded; the fragment is left out."""
     has_host = p["raw_host"] != ""
-    slashes = (p["scheme"] != "") & (encoded != "") | has_host
+    slashes = (p["scheme"] != "") & (p["path"] != "") | has_host
     if user:
         slashes = slashes | p["has_user"]
-    prefix = F.concat(
+    rooted = (p["path"] == "") | p["path"].startswith("/") | ~has_host
+    parts = [
         F.when(p["scheme"] != "", F.concat(p["scheme"], F.lit(":"))).otherwise(F.lit("")),
         F.when(slashes, F.lit("//")).otherwise(F.lit("")),
         _encoded_user(p) if user else F.lit(""),
         _encoded_host(p["raw_host"]),
         p["port_text"],
-    )
-    body = F.when((encoded != "") & ~encoded.startswith("/") & has_host, F.concat(F.lit("/"), encoded)).otherwise(encoded)
-    opaque = F.concat(p["scheme"], F.lit(":"), p["opaque"])
-    head = F.when(p["opaque"] != "", opaque).otherwise(F.concat(prefix, body))
-    if not query:
-        # A bare trailing "?" is not part of the query text and survives.
-        return F.when(p["has_query"] & (p["query"] == ""), F.concat(head, F.lit("?"))).otherwise(head)
-    return F.when(p["has_query"], F.concat(head, F.lit("?"), p["query"])).otherwise(head)
+        F.when(rooted, F.lit("")).otherwise(F.lit("/")),
+        p["path"],
+    ]
+    head = F.when(p["opaque"] != "", F.concat(p["scheme"], F.lit(":"), p["opaque"])).otherwise(F.concat(*parts))
+    # A bare trailing "?" is not part of the query text and survives when the query is dropped.
+    shown = p["has_query"] if query else p["has_query"] & (p["query"] == "")
+    return F.when(shown, F.concat(head, F.lit("?"), p["query"])).otherwise(head)
+
+
+_WRITTEN = ("scheme", "opaque", "has_user", "userinfo", "raw_host", "port_text", "has_query", "query")
+
+
+def _fields(p: Column, **changes: Column) -> Column:
+    return F.struct(*[(changes[n] if n in changes else p[n]).alias(n) for n in (*_WRITTEN, "path")])
+
+
+def write_url(p: Column, user: bool = True, query: bool = True) -> Column:
+    """Serialize gateway parts without the fragment."""
+    return let(_fields(p, path=_encoded_path(p["raw_path"])), lambda w: _write(w, user, query))
 
 
 def normalize_url(url: Column) -> Column:
     """Drop the fragment, re-encode the path, trim every trailing slash."""
     return let(
         _split_gateway(url),
-        lambda p: F.when(p["ok"], F.rtrim(write_url(p), F.lit("/"))).otherwise(url),
+        lambda p: F.when(p["ok"], F.regexp_replace(write_url(p), r"/+\z", "")).otherwise(url),
     )
 
 
@@ -248,27 +269,36 @@ def merge_paths(base: Column, ref: Column) -> Column:
     return let(full, walk)
 
 
-def resolve_url(base_parts: Column, ref: Column) -> Column:
-    """Resolve ``ref`` against gateway parts of the base; NULL where ``ref`` is unparseable."""
+def base_parts(url: Column) -> Column:
+    """Gateway parts of a base URL with the path encoded, ready for ``resolve_url``."""
+    return let(
+        _split_gateway(url),
+        lambda p: F.struct(p["ok"].alias("ok"), *[p[n].alias(n) for n in _WRITTEN], _encoded_path(p["raw_path"]).alias("path")),
+    )
+
+
+def resolve_url(base: Column, ref: Column) -> Column:
+    """Resolve ``ref`` against ``base_parts``; NULL where ``ref`` is unparseable."""
 
     def merged(r: Column) -> Column:
-        own_path = merge_paths(_encoded_path(r["raw_path"]), F.lit(""))
-        absolute = write_url(r, own_path)
-        net_path = write_url(r.withField("scheme", base_parts["scheme"]), own_path)
-        joined = merge_paths(_encoded_path(base_parts["raw_path"]), _encoded_path(r["raw_path"]))
+        own = (r["scheme"] != "") | (r["raw_host"] != "") | r["has_user"]
         bare = (r["raw_path"] == "") & ~r["has_query"]
-        relative = write_url(
-            base_parts.withField("has_query", F.when(bare, base_parts["has_query"] & (base_parts["query"] != "")).otherwise(r["has_query"]))
-            .withField("query", F.when(bare, base_parts["query"]).otherwise(r["query"]))
-            .withField("opaque", F.when(r["raw_path"] == "", base_parts["opaque"]).otherwise(F.lit(""))),
-            joined,
-        )
-        return (
-            F.when(~r["ok"], F.lit(None).cast("string"))
-            .when(r["scheme"] != "", absolute)
-            .when((r["raw_host"] != "") | r["has_user"], net_path)
-            .otherwise(relative)
+        pick = lambda name: F.when(own, r[name]).otherwise(base[name])
+        changes = dict(
+            scheme=F.when(r["scheme"] != "", r["scheme"]).otherwise(base["scheme"]),
+            opaque=F.when(own, r["opaque"]).when(r["raw_path"] == "", base["opaque"]).otherwise(F.lit("")),
+            has_user=pick("has_user"),
+            userinfo=pick("userinfo"),
+            raw_host=pick("raw_host"),
+            port_text=pick("port_text"),
+            has_query=F.when(own | ~bare, r["has_query"]).otherwise(base["has_query"] & (base["query"] != "")),
+            query=F.when(own | ~bare, r["query"]).otherwise(base["query"]),
+            path=let(
+                _encoded_path(r["raw_path"]),
+                lambda path: merge_paths(F.when(own, path).otherwise(base["path"]), F.when(own, F.lit("")).otherwise(path)),
+            ),
         )
+        return F.when(r["ok"], let(_fields(r, **changes), lambda w: _write(w)))
 
     return let(_split_gateway(ref), merged)
 
@@ -387,7 +417,7 @@ def passes_patterns(text: Column, include: Column, exclude: Column) -> Column:
 
 def junk_label(path: Column) -> Column:
     """Label of the first junk pattern in the path, or NULL."""
-    chain = F
+    chain = F.when(F.lit(False), F.lit(""))
     for segment, label in JUNK_SEGMENTS.items():
         chain = chain.when(path.rlike(rf"(?i)/{segment}(?:/|\z|\?)"), F.lit(label))
     return F.when(path.rlike(r"(?i)/(?:" + "|".join(JUNK_SEGMENTS) + r")(?:/|\z|\?)"), chain)

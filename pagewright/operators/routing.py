@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as S
+
+from pagewright.functions.sql import Expr as Column, fn as F
 
 from pagewright.functions.text import let, strip
 from pagewright.functions.urls import GATEWAY, redact_url, url_parts
@@ -241,14 +243,15 @@ def _keys_with_prefix(names: Column, prefix: str) -> Column:
 
 def route_log(df: DataFrame, job_id: str, url: str, dialect: str = GATEWAY) -> DataFrame:
     """One log row per job, with the URL redacted."""
-    return df.select(
-        F.col(job_id), classify_url(F.col(url), dialect).alias("route"), redact_url(F.col(url)).alias("url")
-    ).select(job_id, "route.tier", "route.strategy", "route.reason", "route.confidence", "url")
+    u = F.col(url)
+    return df.select(job_id, classify_url(u, dialect).alias("route").col, redact_url(u).alias("url").col).select(
+        job_id, "route.tier", "route.strategy", "route.reason", "route.confidence", "url"
+    )
 
 
 def route_distribution(routes: DataFrame) -> DataFrame:
     """Rows and mean confidence per tier and reason (partial aggregation before the shuffle)."""
-    return routes.groupBy("tier", "reason").agg(F.count("*").alias("n"), F.avg("confidence").alias("avg_confidence"))
+    return routes.groupBy("tier", "reason").agg(S.count("*").alias("n"), S.avg("confidence").alias("avg_confidence"))
 
 
 def is_tier_allowed(tier: Column, allowed: Column) -> Column:

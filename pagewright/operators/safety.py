@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as S
+
+from pagewright.functions.sql import Expr as Column, fn as F
 
 from pagewright.functions.addresses import host_is_private_literal, ipv4_number, ipv6_hex, is_private_address
 from pagewright.functions.text import let
-from pagewright.functions.urls import GATEWAY, is_web_scheme, redact_url, url_parts
+from pagewright.functions.urls import GATEWAY, is_web_scheme, redact_url, request_parts, url_parts
 
 BAD_URL = "invalid url"
 BAD_SCHEME = "url scheme must be http or https"
@@ -19,46 +21,52 @@ MAX_REDIRECTS = 5
 
 def host_addresses(dns: DataFrame, dialect: str = GATEWAY) -> DataFrame:
     """One row per host. ``dns`` has (host, pos, ip); map-side aggregation keeps hot hosts small."""
-    readable = F.coalesce(ipv4_number(F.col("ip")).isNotNull() | ipv6_hex(F.col("ip")).isNotNull(), F.lit(False))
-    private = F.coalesce(is_private_address(F.col("ip"), dialect), F.lit(False))
-    return dns.groupBy("host").agg(
-        F.bool_or(private).alias("any_private"),
-        F.min(F.when(readable, F.struct("pos", "ip"))).getField("ip").alias("first_ip"),
+    ip = F.col("ip")
+    checked = dns.select(
+        "host",
+        "pos",
+        "ip",
+        _is_address(ip).alias("readable").col,
+        F.coalesce(is_private_address(ip, dialect), False).alias("private").col,
+    )
+    return checked.groupBy("host").agg(
+        S.bool_or("private").alias("any_private"),
+        S.min(S.when(S.col("readable"), S.struct("pos", "ip"))).getField("ip").alias("first_ip"),
     )
 
 
-def _literal_address(host: Column, dialect: str) -> tuple[Column, Column]:
-    literal = ipv4_number(host).isNotNull() | ipv6_hex(host).isNotNull()
-    return F.coalesce(literal, F.lit(False)), F.coalesce(is_private_address(host, dialect), F.lit(False))
+def _is_address(ip: Column) -> Column:
+    return F.coalesce(ipv4_number(ip).isNotNull() | ipv6_hex(ip).isNotNull(), False)
 
 
 def validate_urls(df: DataFrame, url: str, dns: DataFrame, dialect: str = GATEWAY) -> DataFrame:
     """Adds url_ok, url_error and pinned_ip.
 
     The host side is reduced to one row per host first, so a host with a third of all URLs only
-    makes one side of the join large, which adaptive execution splits.
+    makes one side of the join large, which adaptive execution splits. An address literal is its
+    own resolution.
     """
-    parts = url_parts(F.col(url))
-    # A request URI must be absolute or rooted; a fragment is not treated apart in this reading.
-    request_ok = let(parts, lambda p: p["ok"] & ((p["scheme"] != "") | F.col(url).startswith("/")))
     addresses = host_addresses(dns, dialect).withColumnRenamed("host", "_host")
-    parsed = df.withColumn("_p", parts).withColumn("_request_ok", request_ok & (F.col(url) != ""))
-    joined = parsed.join(addresses, parsed["_p.host"] == addresses["_host"], "left")
-    literal, literal_private = _literal_address(F.col("_p.host"), dialect)
-    private = F.coalesce(F.col("any_private"), F.lit(False)) | (literal & literal_private)
-    pinned = F.when(literal, F.col("_p.host")).otherwise(F.col("first_ip"))
+    parsed = df.withColumn("_p", request_parts(F.col(url)).col)
+    host = F.col("_p.host")
+    parsed = parsed.withColumn("_literal", _is_address(host).col).withColumn(
+        "_literal_private", F.coalesce(is_private_address(host, dialect), False).col
+    )
+    joined = parsed.join(addresses, S.col("_p.host") == S.col("_host"), "left")
+    private = F.coalesce(F.col("any_private"), False) | (F.col("_literal") & F.col("_literal_private"))
+    pinned = F.when(F.col("_literal"), host).otherwise(F.col("first_ip"))
     error = (
-        F.when(~F.col("_request_ok"), F.lit(BAD_URL))
-        .when(~is_web_scheme(F.col("_p.scheme")), F.lit(BAD_SCHEME))
-        .when(F.col("_p.host") == "", F.lit(NO_HOST))
-        .when(private, F.lit(PRIVATE))
-        .when(pinned.isNull(), F.concat(F.lit(NO_ADDRESS), F.col("_p.host")))
+        F.when(~F.col("_p.ok"), BAD_URL)
+        .when(~is_web_scheme(F.col("_p.scheme")), BAD_SCHEME)
+        .when(host == "", NO_HOST)
+        .when(private, PRIVATE)
+        .when(pinned.isNull(), F.concat(NO_ADDRESS, host))
     )
     return (
-        joined.withColumn("url_error", error)
-        .withColumn("url_ok", F.col("url_error").isNull())
-        .withColumn("pinned_ip", F.when(F.col("url_error").isNull(), pinned))
-        .drop("_p", "_request_ok", "_host", "any_private", "first_ip")
+        joined.withColumn("url_error", error.col)
+        .withColumn("url_ok", S.col("url_error").isNull())
+        .withColumn("pinned_ip", F.when(F.col("url_ok"), pinned).col)
+        .drop("_p", "_literal", "_literal_private", "_host", "any_private", "first_ip")
     )
 
 
@@ -81,10 +89,10 @@ def redirect_verdicts(hops: DataFrame, dns: DataFrame, dialect: str = GATEWAY) -
     """One row per chain of ``hops(chain_id, hop, url)``; hop 1 is the first redirect target."""
     checked = validate_urls(hops, "url", dns, dialect)
     # The first failing hop decides; the count test comes before the address test on the same hop.
-    problem = F.when(F.col("hop") >= MAX_REDIRECTS, F.lit("too many redirects")).when(
-        ~F.col("url_ok"), F.lit("redirect to private address blocked")
+    problem = S.when(S.col("hop") >= MAX_REDIRECTS, S.lit("too many redirects")).when(
+        ~S.col("url_ok"), S.lit("redirect to private address blocked")
     )
     return checked.groupBy("chain_id").agg(
-        F.max("hop").cast("long").alias("hops"),
-        F.min(F.when(problem.isNotNull(), F.struct("hop", problem.alias("problem")))).getField("problem").alias("error"),
+        S.max("hop").cast("long").alias("hops"),
+        S.min(S.when(problem.isNotNull(), S.struct("hop", problem.alias("problem")))).getField("problem").alias("error"),
     )
