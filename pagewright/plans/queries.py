@@ -69,7 +69,7 @@ def url_routing_lenient(spark, folder):
 
 
 def route_distribution(spark, folder):
-    return routing.route_distribution(_routes(spark, folder))
+    return routing.route_distribution(_routes(spark, folder)).withColumn("avg_confidence", S.round("avg_confidence", 6))
 
 
 def route_log(spark, folder):
