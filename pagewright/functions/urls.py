@@ -29,6 +29,11 @@ GATEWAY, ROUTER, BROWSER = "gateway", "router", "browser"
 _SCHEME = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*):"
 
 
+def decoded_host(raw_host: Column) -> Column:
+    """Host name or address without brackets."""
+    return percent_decode(F.regexp_replace(raw_host, r"^\[|\]\z", ""))
+
+
 def _after(c: Column, head: Column, skip: int = 0) -> Column:
     return F.substring(c, F.length(head) + 1 + skip, 1 << 30)
 
@@ -70,7 +75,7 @@ def _split_gateway(url: Column, request: bool = False) -> Column:
             s["has_user"].alias("has_user"),
             s["userinfo"].alias("userinfo"),
             raw_host.alias("raw_host"),
-            percent_decode(F.regexp_replace(raw_host, r"^\[|\]\z", "")).alias("host"),
+            decoded_host(raw_host).alias("host"),
             F.regexp_extract(s["hostport"], r":([0-9]*)\z", 1).alias("port"),
             _after(s["hostport"], raw_host).alias("port_text"),
             s["raw_path"].alias("raw_path"),
@@ -279,6 +284,16 @@ def base_parts(url: Column) -> Column:
 
 def resolve_url(base: Column, ref: Column) -> Column:
     """Resolve ``ref`` against ``base_parts``; NULL where ``ref`` is unparseable."""
+    return let(resolved_parts(base, ref), lambda w: F.when(w.isNotNull(), _write(w)))
+
+
+def written_url(parts: Column) -> Column:
+    """The URL of ``resolved_parts``."""
+    return _write(parts)
+
+
+def resolved_parts(base: Column, ref: Column) -> Column:
+    """U3 before serialization: the parts of the resolved URL, path encoded; NULL where ``ref`` is unparseable."""
 
     def merged(r: Column) -> Column:
         own = (r["scheme"] != "") | (r["raw_host"] != "") | r["has_user"]
@@ -298,7 +313,7 @@ def resolve_url(base: Column, ref: Column) -> Column:
                 lambda path: merge_paths(F.when(own, path).otherwise(base["path"]), F.when(own, F.lit("")).otherwise(path)),
             ),
         )
-        return F.when(r["ok"], let(_fields(r, **changes), lambda w: _write(w)))
+        return F.when(r["ok"], _fields(r, **changes))
 
     return let(_split_gateway(ref), merged)
 

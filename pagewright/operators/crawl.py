@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as S
 from pagewright.functions import html as H
 from pagewright.functions.sql import fn as F
 from pagewright.functions.urls import normalize_url, url_parts
-from pagewright.operators.pages import anchor_hrefs, crawl_title, keep_link, resolved_links
+from pagewright.operators.pages import anchor_hrefs, crawl_title, followed_links
 from pagewright.session import cut_lineage
 from pagewright.sources.snapshot import FETCH_FAILED, cap_body, fetch_error, one_per_url
 
@@ -130,11 +130,11 @@ def _discover(level: DataFrame, levels: list[DataFrame], state: DataFrame, most_
     """The next level: new links of usable pages, first discovery wins."""
     usable = level.filter(S.col("error").isNull() & (S.col("bytes") > 0)).select("job_id", "url", "rank", "_hrefs")
     sources = usable.join(state.select("job_id", "_host", "_include", "_exclude"), "job_id")
-    linked = sources.withColumn("_links", resolved_links(F.col("url"), F.col("_hrefs")).col)
-    chosen = F.filter(F.col("_links"), lambda l: keep_link(l, F.col("_host"), F.col("_include"), F.col("_exclude")))
-    found = linked.select("job_id", S.col("rank").alias("_parent"), S.posexplode(chosen.col).alias("_pos", "url"))
+    links = followed_links(F.col("url"), F.col("_hrefs"), F.col("_host"), F.col("_include"), F.col("_exclude"))
+    found = sources.select("job_id", S.col("rank").alias("_parent"), S.posexplode(links.col).alias("_pos", "url"))
     first = (
-        found.withColumn("_norm", normalize_url(F.col("url")).col)
+        # A serialized link has no fragment and an encoded path; only slashes at its end remain.
+        found.withColumn("_norm", S.regexp_replace("url", r"/+\z", ""))
         .groupBy("job_id", "_norm")
         .agg(S.min(S.struct("_parent", "_pos", "url")).alias("_first"))
     )

@@ -6,8 +6,18 @@ from pyspark.sql import DataFrame, Window, functions as S
 
 from pagewright.functions import html as H
 from pagewright.functions.sql import Expr as Column, fn as F
-from pagewright.functions.text import decode_entities, let, trim_white
-from pagewright.functions.urls import base_parts, is_crawl_asset, is_web_scheme, passes_patterns, resolve_url, url_parts
+from pagewright.functions.text import decode_entities, let, percent_decode, trim_white
+from pagewright.functions.urls import (
+    base_parts,
+    decoded_host,
+    is_crawl_asset,
+    is_web_scheme,
+    passes_patterns,
+    resolve_url,
+    resolved_parts,
+    url_parts,
+    written_url,
+)
 
 # Subtrees that are dropped as boilerplate.
 BOILERPLATE_TAGS = ("script", "style", "nav", "footer", "aside", "noscript", "svg")
@@ -79,17 +89,38 @@ def keep_link(link: Column, seed_host: Column, include: Column, exclude: Column)
     """H4: web scheme, seed host, no asset, include and exclude patterns; in that order."""
 
     def test(p: Column) -> Column:
-        return (
-            p["ok"]
-            & is_web_scheme(p["scheme"])
-            & (p["host"] == seed_host)
-            & ~is_crawl_asset(p["path"])
-            & passes_patterns(link, include, exclude)
-        )
+        return p["ok"] & _keep(link, p["scheme"], p["host"], p["path"], seed_host, include, exclude)
 
     return let(url_parts(link), test)
 
 
+def _keep(link, scheme, host, path, seed_host, include, exclude) -> Column:
+    return is_web_scheme(scheme) & (host == seed_host) & ~is_crawl_asset(path) & passes_patterns(link, include, exclude)
+
+
+def followed_links(base: Column, hrefs: Column, seed_host: Column, include: Column, exclude: Column) -> Column:
+    """H3 and H4 in one walk: the kept links of a page in first-seen order. Each target is parsed once."""
+
+    def walk(b: Column) -> Column:
+        parts = F.filter(F.transform(hrefs, lambda h: resolved_parts(b, h)), lambda w: w.isNotNull())
+
+        def described(w: Column) -> Column:
+            return F.struct(
+                written_url(w).alias("link"),
+                w["scheme"].alias("scheme"),
+                decoded_host(w["raw_host"]).alias("host"),
+                percent_decode(w["path"]).alias("path"),
+            )
+
+        kept = F.filter(
+            F.transform(parts, described),
+            lambda d: _keep(d["link"], d["scheme"], d["host"], d["path"], seed_host, include, exclude),
+        )
+        return F.when(b["ok"], F.array_distinct(F.transform(kept, lambda d: d["link"])))
+
+    return let(base_parts(base), walk)
+
+
 def head_metadata(tags: Column) -> Column:
     """H5: seven nullable fields; the first match decides and an empty value is NULL (but ``lang=""`` stays)."""
 
