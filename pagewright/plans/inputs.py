@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.sources.snapshot import read_pages, read_table
+from pagewright.sources.snapshot import read_spread
 
 _SPARK = (r"HEXBYTE\((\w+), (\d+)\)", r"CAST(conv(substr(md5(\1), \2, 2), 16, 10) AS INT)"), ("DIV", "div"), ("MICROS\\((\\w+)\\)", r"unix_micros(CAST(\1 AS TIMESTAMP))")
 _CHECK = (r"HEXBYTE\((\w+), (\d+)\)", r"CAST('0x' || substr(md5(\1), \2, 2) AS INT)"), ("DIV", "//"), ("MICROS\\((\\w+)\\)", r"epoch_us(\1)")
@@ -146,7 +146,7 @@ STREAM_OF = "CASE event_type WHEN 'error' THEN 'stealth_jobs' WHEN 'purchase' TH
 
 def derive(spark: SparkSession, folder: str, sql: str, *tables: str) -> DataFrame:
     """Run a derivation over the named tables, without leaving views behind."""
-    frames = {t: read_pages(spark, folder) if t == "pages" else read_table(spark, folder, t) for t in tables}
+    frames = {t: read_spread(spark, folder, t) for t in tables}
     return spark.sql(spark_sql(re.sub(rf"\bFROM ({'|'.join(tables)})\b", r"FROM {\1}", _escape(sql))), **frames)
 
 

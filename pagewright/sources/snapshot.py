@@ -15,19 +15,23 @@ def read_table(spark, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def read_pages(spark, folder: str, name: str = "pages") -> DataFrame:
-    """Pages for parsing work.
+def read_spread(spark, folder: str, name: str) -> DataFrame:
+    """A table for work that is heavy per row.
 
     A file with fewer row groups than there are cores would leave cores idle, so a small table is spread
     out first. Its size is checked on the file listing; a large table is read as it lies.
     """
     df = read_table(spark, folder, name)
     cores = spark.sparkContext.defaultParallelism
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
-    size = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(fs_path).getLength()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
     return df.repartition(cores) if size < cores * 32 * 1024 * 1024 else df
 
 
+def read_pages(spark, folder: str) -> DataFrame:
+    return read_spread(spark, folder, "pages")
+
+
 def cap_body(html: Expr, mode: str = "truncate") -> Expr:
     """S3: bodies over the cap are cut (``truncate``) or become NULL (``fail``); sizes are bytes."""
     over = F.octet_length(html) > BODY_CAP
