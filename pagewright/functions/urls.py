@@ -121,15 +121,15 @@ def _split_gateway(url: Column, request: bool = False) -> Column:
 def _split_router(url: Column) -> Column:
     def fields(s: Column) -> Column:
         hostport = F.regexp_replace(s["netloc"], r"(?s)^.*@", "")
-        bracketed = hostport.contains("[")
-        inner = F.regexp_extract(hostport, r"(?s)\[([^\]]*)\]", 1)
-        host = F.when(bracketed, inner).otherwise(F.substring_index(hostport, ":", 1))
-        bracket_ok = (
-            hostport.startswith("[")
-            & hostport.rlike(r"(?s)^\[[^\]]*\](?::.*)?\z")
-            & (inner.rlike(r"^v[a-fA-F0-9]+\..+\z") | ipv6_hex(F.substring_index(inner, "%", 1)).isNotNull())
+        # The check looks at the first bracket of the whole authority, the host at that of its last part.
+        checked = F.regexp_extract(s["netloc"], r"(?s)^[^\[]*\[([^\]]*)", 1)
+        address = checked.rlike("(?s)^[^%]*(?:%[^%]+)?\\z") & ipv6_hex(F.substring_index(checked, "%", 1)).isNotNull()
+        future = checked.rlike(r"^v[a-fA-F0-9]+\..+\z")
+        brackets = s["netloc"].rlike(r"[\[\]]")
+        ok = ~brackets | (s["netloc"].contains("[") & s["netloc"].contains("]") & (future | (~checked.startswith("v") & address)))
+        host = F.when(hostport.contains("["), F.regexp_extract(hostport, r"(?s)^[^\[]*\[([^\]]*)", 1)).otherwise(
+            F.substring_index(hostport, ":", 1)
         )
-        ok = F.when(s["netloc"].rlike(r"[\[\]]"), s["netloc"].contains("[") & s["netloc"].contains("]") & bracket_ok).otherwise(F.lit(True))
         has_params = s["scheme"].isin("", "ftp", "hdl", "http", "https", "imap", "mms", "prospero", "rtsp", "rtspu", "sftp", "shttp", "sip", "sips", "tel")
         path = F.when(
             has_params,
