@@ -5,6 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from pagewright.functions.sql import Expr  # noqa: E402
 from pagewright.session import build_session  # noqa: E402
 
 
@@ -22,7 +23,7 @@ def evaluate(spark):
 
     def run(values, expression, kind="string"):
         rows = spark.createDataFrame(list(enumerate(values)), f"i int, x {kind}")
-        out = rows.select("i", expression.alias("y").col if hasattr(expression, "text") else expression.alias("y"))
+        out = rows.select("i", expression.alias("y").col if isinstance(expression, Expr) else expression.alias("y"))
         return [r.y for r in out.orderBy("i").collect()]
 
     return run
