@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # State timeouts are checked when data arrives; without this they keep starting empty batches.
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     "spark.ui.enabled": "false",
 }
 
