@@ -3,8 +3,8 @@
 All crawls advance together, one level per step. A page's rank in its crawl is fixed by the rank of the
 first page that links to it and the position of that link, so ranks need no queue: a level is one
 aggregation, one anti join against what was seen, and two windows per crawl. Pages are reduced once to
-narrow rows (outcome, size, link targets); bodies are joined back only at the end. Every level is
-checkpointed, so a lost executor never repeats earlier levels.
+narrow rows (outcome, size, link targets); bodies are joined back only at the end. Every level is written
+to the shared checkpoint folder, so a lost executor never repeats earlier levels.
 """
 
 from __future__ import annotations
@@ -17,29 +17,38 @@ from pagewright.functions import html as H
 from pagewright.functions.sql import fn as F
 from pagewright.functions.urls import normalize_url, url_parts
 from pagewright.operators.pages import anchor_hrefs, crawl_title, followed_links
-from pagewright.session import cut_lineage
-from pagewright.sources.snapshot import FETCH_FAILED, cap_body, fetch_error, one_per_url
+from pagewright.session import write_through
+from pagewright.sources.snapshot import FETCH_FAILED, cap_body, fetch_error
 
 CRAWL_BYTE_LIMIT = 100 * 1024 * 1024
 OVER_LIMIT = "total crawl size limit exceeded"
 
 
 def crawl_site(snapshot: DataFrame, key: str = "page_id") -> DataFrame:
-    """One narrow row per normalized URL: outcome, title, size and link targets of the page."""
-    pages = one_per_url(snapshot, key).withColumn("_error", fetch_error(F.col("status"), F.col("content_type")).col)
+    """One narrow row per normalized URL: outcome, title, size and link targets of its first page.
+
+    Pages are parsed where they lie; only the narrow rows are shuffled.
+    """
+    pages = snapshot.select(
+        key, "status", "html", normalize_url(F.col("url")).alias("_norm").col, fetch_error(F.col("status"), F.col("content_type")).alias("_error").col
+    )
     body = F.when(F.col("_error").isNull(), cap_body(F.col("html"))).otherwise("")
-    parsed = pages.select(
-        "_norm", key, "status", "_error", body.alias("_body").col
-    ).select("_norm", key, "status", "_error", "_body", H.tag_array(F.col("_body")).alias("_tags").col)
-    return parsed.select(
+    wanted = F.filter(H.tag_array(F.col("_body")), lambda t: H.is_tag(t, "a") | H.is_tag(t, "title"))
+    parsed = pages.select("_norm", key, "status", "_error", body.alias("_body").col).select(
+        "_norm", key, "status", "_error", S.octet_length("_body").cast("long").alias("_bytes"), wanted.alias("_tags").col
+    )
+    narrow = parsed.select(
         "_norm",
-        key,
-        S.col("status").cast("int").alias("_status"),
-        "_error",
-        S.octet_length("_body").cast("long").alias("_bytes"),
-        crawl_title(F.col("_tags")).alias("_title").col,
-        anchor_hrefs(F.col("_tags")).alias("_hrefs").col,
+        S.struct(
+            key,
+            S.col("status").cast("int").alias("_status"),
+            "_error",
+            "_bytes",
+            crawl_title(F.col("_tags")).alias("_title").col,
+            anchor_hrefs(F.col("_tags")).alias("_hrefs").col,
+        ).alias("_page"),
     )
+    return narrow.groupBy("_norm").agg(S.min_by("_page", S.col(f"_page.{key}")).alias("_page")).select("_norm", "_page.*")
 
 
 def _seeds(jobs: DataFrame) -> DataFrame:
@@ -66,15 +75,14 @@ def crawl(jobs: DataFrame, snapshot: DataFrame, key: str = "page_id", byte_limit
     limits = seeds.agg(S.max("_max_pages"), S.max("_max_depth")).first()
     if limits[0] is None:
         limits = (0, 0)
-    # The join key of every level; the checkpoint keeps this partitioning.
-    site = cut_lineage(crawl_site(snapshot, key).repartition("_norm"))
+    site = write_through(crawl_site(snapshot, key))
     state = seeds.select(
         "job_id", "_host", "_max_pages", "_max_depth", "_include", "_exclude", S.lit(0).cast("long").alias("_pages"), S.lit(0).cast("long").alias("_used")
     )
     frontier = seeds.filter("_max_pages > 0").select("job_id", "url", "_norm", S.lit(1).cast("long").alias("rank"), S.lit(0).cast("long").alias("_used"))
     levels: list[DataFrame] = []
     for depth in range(limits[1] + 1):
-        level = cut_lineage(_fetch(frontier, site, depth, byte_limit, key))
+        level = write_through(_fetch(frontier, site, depth, byte_limit, key))
         if level.isEmpty():
             break
         levels.append(level)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as S
+from pyspark.sql import DataFrame, functions as S
 
 from pagewright.functions import html as H
 from pagewright.functions.sql import Expr as Column, fn as F
@@ -176,31 +176,50 @@ def page_titles(pages: DataFrame, page_id: str = "page_id", html: str = "html")
     return pages.select(page_id, crawl_title(titles).alias("title").col)
 
 
-def page_text(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
-    """H8: visible text after the boilerplate subtrees are dropped.
+def visible_words(html: Column) -> Column:
+    """H8 over one page: text outside the boilerplate subtrees, white space collapsed.
 
-    Depth of open boilerplate elements is a running sum over the page's tokens. Pages are hash-partitioned
-    by id before they are exploded, so the raw page moves once and the windows sort locally.
+    The depth of open boilerplate elements is folded over the token array. An end tag without its start
+    never takes it below zero.
     """
-    placed = pages.select(page_id, html).repartition(page_id)
-    t = tokens(placed, page_id, html)
-    order = Window.partitionBy(page_id).orderBy("pos")
-    nested = [x for x in BOILERPLATE_TAGS if x not in H.RAW_TEXT]
-    step = (
-        S.when((S.col("kind") == "start") & S.col("tag").isin(*nested), 1)
-        .when((S.col("kind") == "end") & S.col("tag").isin(*nested), -1)
-        .otherwise(0)
-    )
-    running = t.withColumn("_sum", S.sum(step).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    # An end tag without its start never takes the depth below zero.
-    floor = S.least(S.lit(0), S.min("_sum").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    kept = running.withColumn("_depth", S.col("_sum") - floor).filter(
-        (S.col("_depth") == 0) & ((S.col("kind") == "text") | ((S.col("kind") == "raw") & S.col("tag").isin("textarea", "xmp")))
+    nested = "|".join(x for x in BOILERPLATE_TAGS if x not in H.RAW_TEXT)
+    starts, ends = rf"(?i)^<(?:{nested})[\s/>]", rf"(?i)^</(?:{nested})[\s/>]"
+    # Only text and the tags that open or close boilerplate matter; other tags still separate words.
+    shown_raw = "(?i)^<(?:textarea|xmp)[\\s/>]"
+    kept = F.filter(
+        H.token_array(html), lambda t: ~t.startswith("<") | t.rlike(starts) | t.rlike(ends) | (t == "<") | t.rlike(shown_raw)
     )
-    pieces = kept.groupBy(page_id).agg(S.sort_array(S.collect_list(S.struct("pos", "text"))).alias("_p"))
-    joined = S.array_join(S.transform("_p", lambda p: p["text"]), " ")
-    spaced = pieces.select(page_id, S.regexp_replace(joined, r"[ \t\n\f\r]+", " ").alias("text"))
-    return spaced.select(page_id, trim_white(F.col("text")).alias("text").col)
+    kind = "struct<depth:int,out:array<string>,done:array<array<string>>>"
+    none = F.array().cast("array<string>")
+    empty = F.struct(F.lit(0).alias("depth"), none.alias("out"), F.array().cast("array<array<string>>").alias("done"))
+
+    def state(depth, out, done) -> Column:
+        return F.struct(depth.alias("depth"), out.alias("out"), done.alias("done")).cast(kind)
+
+    def step(s: Column, t: Column) -> Column:
+        # Full buffers move aside so that appending stays cheap on long pages.
+        full = F.size(s["out"]) >= 255
+        text = decode_entities(F.when(t.rlike(shown_raw), H.raw_inner(t)).otherwise(t))
+        return (
+            F.when(t.rlike(starts), state(s["depth"] + 1, s["out"], s["done"]))
+            .when(t.rlike(ends), state(F.greatest(s["depth"] - 1, 0), s["out"], s["done"]))
+            .when(s["depth"] > 0, s.cast(kind))
+            .otherwise(
+                state(
+                    s["depth"],
+                    F.when(full, F.array(text)).otherwise(F.array_append(s["out"], text)),
+                    F.when(full, F.array_append(s["done"], s["out"])).otherwise(s["done"]),
+                )
+            )
+        )
+
+    words = F.aggregate(kept, empty.cast(kind), step, lambda s: F.array_join(F.flatten(F.array_append(s["done"], s["out"])), " "))
+    return trim_white(F.regexp_replace(words, "[ \\t\\n\\f\\r]+", " "))
+
+
+def page_text(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
+    """H8: (page_id, text). Stays inside the page's row; no shuffle."""
+    return pages.select(page_id, visible_words(F.col(html)).alias("text").col)
 
 
 def output_columns(fmt: Column, html: Column, markdown: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,7 +46,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+def write_through(df: DataFrame) -> DataFrame:
+    """Write a table to the shared checkpoint folder and read it back.
+
+    The rows survive the loss of any executor, are computed once, and later plans see their size. No
+    partitioning is remembered, so a join on a hot key is a shuffle on both sides that adaptive execution
+    can split.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of any executor."""
+    """Reliable checkpoint that keeps the partitioning, for evenly sized partitions that are joined again."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

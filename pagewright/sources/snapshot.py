@@ -57,19 +57,18 @@ def fetch_outcomes(requests: DataFrame, url: str, snapshot: DataFrame, key: str
     ``snapshot`` has (key, url, status, content_type, html). Copies of one normalized URL are reduced to
     the first key on narrow rows, before any body moves.
     """
-    first = one_per_url(snapshot, key)
-    asked = requests.withColumn("_norm", normalize_url(F.col(url)).col)
-    error = fetch_error(F.col("status"), F.col("content_type"))
-    joined = asked.join(first.select("_norm", "status", "content_type", "html"), "_norm", "left").withColumn("error", error.col)
+    first = first_keys(snapshot, key)
+    asked = requests.withColumn("_norm", normalize_url(F.col(url)).col).join(first, "_norm", "left")
+    # Bodies move once, by key, and only after the narrow match.
+    stored = snapshot.select(key, "status", "content_type", "html")
+    joined = asked.join(stored, key, "left").withColumn("error", fetch_error(F.col("status"), F.col("content_type")).col)
     content = F.when(F.col("error").isNull(), cap_body(F.col("html"))).otherwise("")
     return joined.withColumn("content", content.col).drop("_norm", "html", "content_type")
 
 
-def one_per_url(snapshot: DataFrame, key: str = "page_id") -> DataFrame:
-    """The snapshot with its normalized URL as ``_norm``, one row per normalized URL."""
-    keyed = snapshot.withColumn("_norm", normalize_url(F.col("url")).col)
-    winners = keyed.groupBy("_norm").agg(S.min(key).alias(key)).select(key)
-    return keyed.join(winners, key, "left_semi")
+def first_keys(snapshot: DataFrame, key: str = "page_id") -> DataFrame:
+    """(_norm, key): the first page of every normalized URL, from narrow rows."""
+    return snapshot.select(key, normalize_url(F.col("url")).alias("_norm").col).groupBy("_norm").agg(S.min(key).alias(key))
 
 
 def worker_pages(snapshot: DataFrame) -> DataFrame:

@@ -17,16 +17,16 @@ ROWS_PER_SLICE = 200_000
 MICROS = 1_000_000
 
 
-def slice_seconds(events: DataFrame, key: str, ts_us: str, shortest: int, longest: int = 3600) -> int:
+def slice_micros(events: DataFrame, key: str, ts_us: str, longest: int = 3600 * MICROS) -> int:
     """Slice length at which the densest key keeps about ``ROWS_PER_SLICE`` rows per slice."""
-    minute = F.floor(F.col(ts_us) / (60 * MICROS))
-    densest = events.groupBy(key, minute.alias("_m")).count().agg(F.max("count")).first()[0] or 1
-    return max(shortest, min(longest, 60 * ROWS_PER_SLICE // densest))
+    second = F.floor(F.col(ts_us) / MICROS)
+    densest = events.groupBy(key, second.alias("_s")).count().agg(F.max("count")).first()[0] or 1
+    return max(1, min(longest, MICROS * ROWS_PER_SLICE // densest))
 
 
-def cut_slices(events: DataFrame, key: str, ts_us: str, order: str, extra: list[str], seconds: int) -> DataFrame:
+def cut_slices(events: DataFrame, key: str, ts_us: str, order: str, extra: list[str], micros: int) -> DataFrame:
     """(key, slice, ts, order, extra...) with parallel arrays, sorted by time and then by ``order``."""
-    placed = events.withColumn("slice", F.floor(F.col(ts_us) / (seconds * MICROS)).cast("long"))
+    placed = events.withColumn("slice", F.expr(f"{ts_us} div {micros}"))
     fields = [F.col(ts_us).alias("ts"), F.col(order).alias("id"), *[F.col(e) for e in extra]]
     rows = placed.groupBy(F.col(key).alias("key"), "slice").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_r"))
     pick = lambda name: F.transform("_r", lambda r: r[name]).alias(name)

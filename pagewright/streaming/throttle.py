@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagewright.session import cut_lineage
-from pagewright.streaming.slices import MICROS, cut_slices, per_slice, scan_summaries, slice_seconds
+from pagewright.streaming.slices import MICROS, cut_slices, per_slice, scan_summaries, slice_micros
 
 # Why a signed plan was refused.
 REJECT_REASONS = ("bad_signature", "bad_timestamp", "stale_timestamp", "bad_owner", "bad_plan_encoding", "bad_plan_json")
@@ -84,9 +84,9 @@ def throttle_log(events: DataFrame, reason: str, ts: str, event_id: str, interva
     """G15 over an event table: (reason, ts, event_id, emitted, suppressed), suppressed only on written lines."""
     gap = interval_seconds * MICROS
     rows = events.select(F.col(reason), F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), F.col(event_id).cast("long").alias("_id"))
-    seconds = slice_length or slice_seconds(rows, reason, "_us", shortest=1)
-    cut = cut_slices(rows, reason, "_us", "_id", [], seconds)
-    slices = cut_lineage(cut.withColumns({"gap": F.lit(gap), "start": F.col("slice") * (seconds * MICROS)}))
+    micros = slice_length or slice_micros(rows, reason, "_us")
+    cut = cut_slices(rows, reason, "_us", "_id", [], micros)
+    slices = cut_lineage(cut.withColumns({"gap": F.lit(gap), "start": F.col("slice") * micros}))
     exits = per_slice(slices.select("key", "slice", "ts", "gap", "start"), _exit_summary, "key string, slice long, bound array<long>, leave array<long>")
     free = scan_summaries(exits, _scan_free, "key string, slice long, free long")
     edges = cut_lineage(

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagewright.session import cut_lineage
-from pagewright.streaming.slices import cut_slices, per_slice, scan_summaries, slice_seconds
+from pagewright.streaming.slices import cut_slices, per_slice, scan_summaries, slice_micros
 
 TOKEN = 60_000_000
 FULL_AFTER = 60_000_000  # microseconds in which any bucket refills completely
@@ -129,8 +129,8 @@ def limit_requests(requests: DataFrame, key: str, ts: str, request_id: str, rate
     """
     key_type = requests.schema[key].dataType.simpleString()
     events = requests.select(F.col(key), F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), F.col(request_id).cast("long").alias("_id"), rate.cast("long").alias("rate"))
-    seconds = slice_length or slice_seconds(events, key, "_us", shortest=1)
-    slices = cut_lineage(cut_slices(events, key, "_us", "_id", ["rate"], seconds))
+    micros = slice_length or slice_micros(events, key, "_us")
+    slices = cut_lineage(cut_slices(events, key, "_us", "_id", ["rate"], micros))
     clamps = per_slice(
         slices.select("key", "slice", "ts", "rate"),
         _clamp_summary,
