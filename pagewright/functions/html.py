@@ -83,9 +83,10 @@ def is_tag(token: Column, name: str) -> Column:
 
 def raw_inner(token: Column) -> Column:
     """Content of a raw element token."""
-    opened = F.regexp_extract(token, _START, 0)
-    return F.regexp_replace(
-        F.substring(token, F.length(opened) + 1, 1 << 30),
-        rf"(?is)</(?:{_RAW})(?=[{_WS}/>]){_ATTRS}>\z",
-        "",
-    )
+
+    def inner(t: Column) -> Column:
+        opened = F.regexp_extract(t, _START, 0)
+        rest = F.substring(t, F.length(opened) + 1, 1 << 30)
+        return F.regexp_replace(rest, rf"(?is)</(?:{_RAW})(?=[{_WS}/>]){_ATTRS}>\z", "")
+
+    return let(token, inner)

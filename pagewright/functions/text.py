@@ -108,8 +108,12 @@ def _reference_piece(piece: Column, attribute: bool) -> Column:
 
 def decode_entities(c: Column, attribute: bool = False) -> Column:
     """Character references to characters, in text or (``attribute=True``) in attribute values."""
-    pieces = F.transform(F.split(c, "(?=&)"), lambda p: _reference_piece(p, attribute))
-    return F.when(c.contains("&"), F.array_join(pieces, "")).otherwise(c)
+
+    def decode(text: Column) -> Column:
+        pieces = F.transform(F.split(text, "(?=&)"), lambda p: _reference_piece(p, attribute))
+        return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
+
+    return let(c, decode)
 
 
 # ---- percent encoding -------------------------------------------------------------------------

@@ -17,6 +17,7 @@ from pagewright.functions import html as H
 from pagewright.functions.sql import fn as F
 from pagewright.functions.urls import normalize_url, url_parts
 from pagewright.operators.pages import anchor_hrefs, crawl_title, followed_links
+from pagewright.operators.rows import explode_array
 from pagewright.session import write_through
 from pagewright.sources.snapshot import FETCH_FAILED, cap_body, fetch_error
 
@@ -139,7 +140,7 @@ def _discover(level: DataFrame, levels: list[DataFrame], state: DataFrame, most_
     usable = level.filter(S.col("error").isNull() & (S.col("bytes") > 0)).select("job_id", "url", "rank", "_hrefs")
     sources = usable.join(state.select("job_id", "_host", "_include", "_exclude"), "job_id")
     links = followed_links(F.col("url"), F.col("_hrefs"), F.col("_host"), F.col("_include"), F.col("_exclude"))
-    found = sources.select("job_id", S.col("rank").alias("_parent"), S.posexplode(links.col).alias("_pos", "url"))
+    found = explode_array(sources, ["job_id", S.col("rank").alias("_parent")], links.col, "_pos", "url")
     first = (
         # A serialized link has no fragment and an encoded path; only slashes at its end remain.
         found.withColumn("_norm", S.regexp_replace("url", r"/+\z", ""))

@@ -18,6 +18,7 @@ from pagewright.functions.urls import (
     url_parts,
     written_url,
 )
+from pagewright.operators.rows import explode_array
 
 # Subtrees that are dropped as boilerplate.
 BOILERPLATE_TAGS = ("script", "style", "nav", "footer", "aside", "noscript", "svg")
@@ -30,7 +31,7 @@ def tokens(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> Da
     Raw elements come as one ``raw`` token. The array is built inside the page's row, so exploding it
     moves nothing between executors; hash-partition ``pages`` by the id first if windows follow.
     """
-    exploded = pages.select(page_id, S.posexplode(H.token_array(F.col(html)).col).alias("pos", "token"))
+    exploded = explode_array(pages, [page_id], H.token_array(F.col(html)).col, "pos", "token")
     t = F.col("token")
     name = H.tag_name(t)
     kind = (
@@ -78,11 +79,8 @@ def resolved_links(base: Column, hrefs: Column) -> Column:
 def page_links(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """H3: (page_id, pos, link). De-duplication stays inside the page's row, so there is no shuffle."""
     hrefs = anchor_hrefs(H.tag_array(F.col(html)))
-    return (
-        pages.select(page_id, url, hrefs.alias("_hrefs").col)
-        .select(page_id, resolved_links(F.col(url), F.col("_hrefs")).alias("_links").col)
-        .select(page_id, S.posexplode("_links").alias("pos", "link"))
-    )
+    targets = pages.select(page_id, url, hrefs.alias("_hrefs").col)
+    return explode_array(targets, [page_id], resolved_links(F.col(url), F.col("_hrefs")).col, "pos", "link")
 
 
 def keep_link(link: Column, seed_host: Column, include: Column, exclude: Column) -> Column:

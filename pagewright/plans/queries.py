@@ -8,6 +8,7 @@ from pagewright.functions import urls as U
 from pagewright.functions.addresses import is_private_address
 from pagewright.functions.sql import fn as F
 from pagewright.operators import admission, chunks, crawl as crawls, health, jobs, markdown, pages as P, routing, safety
+from pagewright.operators.rows import explode_array
 from pagewright.plans import inputs as I
 from pagewright.sources.snapshot import fetch_outcomes, read_pages, read_table
 from pagewright.streaming.throttle import throttle_log
@@ -98,7 +99,7 @@ def private_ip(spark, folder):
     made = S.expr(
         "array(concat_ws('.', doc_id % 256, doc_id % 7 * 16, 3, 4), concat_ws('.', 172, doc_id % 40, 0, 1), concat_ws('.', 100, 60 + doc_id % 80, 0, 1), concat_ws('.', 169, 250 + doc_id % 6, 1, 300))"
     )
-    ips = docs.select("doc_id", S.explode(S.concat(written.col, made)).alias("ip")).distinct()
+    ips = explode_array(docs, ["doc_id"], S.concat(written.col, made), "pos", "ip").select("doc_id", "ip").distinct()
     return ips.select("doc_id", "ip", *[is_private_address(F.col("ip"), d).alias(d).col for d in ("gateway", "fast", "browser", "strict")])
 
 
@@ -237,7 +238,7 @@ def _markdown_docs(spark, folder):
 
 
 def chunk_headings(spark, folder):
-    sections = _markdown_docs(spark, folder).select("doc_id", S.posexplode(chunks.sections(F.col("md")).col).alias("section", "s"))
+    sections = explode_array(_markdown_docs(spark, folder), ["doc_id"], chunks.sections(F.col("md")).col, "section", "s")
     return sections.select("doc_id", "section", "s.heading", "s.body")
 
 

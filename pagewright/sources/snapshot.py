@@ -68,7 +68,9 @@ def fetch_outcomes(requests: DataFrame, url: str, snapshot: DataFrame, key: str
 
 def first_keys(snapshot: DataFrame, key: str = "page_id") -> DataFrame:
     """(_norm, key): the first page of every normalized URL, from narrow rows."""
-    return snapshot.select(key, normalize_url(F.col("url")).alias("_norm").col).groupBy("_norm").agg(S.min(key).alias(key))
+    # The coalesce makes the join key non-null, or a null test would evaluate the whole expression again.
+    norm = F.coalesce(normalize_url(F.col("url")), "").alias("_norm").col
+    return snapshot.filter("url IS NOT NULL").select(key, norm).groupBy("_norm").agg(S.min(key).alias(key))
 
 
 def worker_pages(snapshot: DataFrame) -> DataFrame:
