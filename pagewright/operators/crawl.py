@@ -67,30 +67,28 @@ def _seeds(jobs: DataFrame) -> DataFrame:
     )
 
 
+# What a crawl may follow and how far; carried along so that a level depends on the level before it only.
+_RULES = ["_host", "_include", "_exclude", "_max_pages", "_max_depth"]
+
+
 def crawl(jobs: DataFrame, snapshot: DataFrame, key: str = "page_id", byte_limit: int = CRAWL_BYTE_LIMIT) -> DataFrame:
     """(job_id, rank, depth, url, status_code, title, bytes, error, key), one row per processed page.
 
     ``jobs`` has (job_id, url, max_pages, max_depth, include_patterns, exclude_patterns).
     """
-    seeds = _seeds(jobs).filter("_seed_ok").drop("_seed_ok")
+    seeds = write_through(_seeds(jobs).filter("_seed_ok").drop("_seed_ok"))
     limits = seeds.agg(S.max("_max_pages"), S.max("_max_depth")).first()
-    if limits[0] is None:
-        limits = (0, 0)
+    most_pages, most_depth = limits[0] or 0, limits[1] or 0
     site = write_through(crawl_site(snapshot, key))
-    state = seeds.select(
-        "job_id", "_host", "_max_pages", "_max_depth", "_include", "_exclude", S.lit(0).cast("long").alias("_pages"), S.lit(0).cast("long").alias("_used")
-    )
-    frontier = seeds.filter("_max_pages > 0").select("job_id", "url", "_norm", S.lit(1).cast("long").alias("rank"), S.lit(0).cast("long").alias("_used"))
+    one, zero = S.lit(1).cast("long"), S.lit(0).cast("long")
+    frontier = seeds.filter("_max_pages > 0").select("job_id", "url", "_norm", one.alias("rank"), zero.alias("_used"), *_RULES)
     levels: list[DataFrame] = []
-    for depth in range(limits[1] + 1):
+    for depth in range(most_depth + 1):
         level = write_through(_fetch(frontier, site, depth, byte_limit, key))
         if level.isEmpty():
             break
         levels.append(level)
-        if depth == limits[1]:
-            break
-        state = _advance(state, level, depth)
-        frontier = _discover(level, levels, state, limits[0])
+        frontier = _discover(levels, _going_on(level, depth), most_pages)
     if not levels:
         levels = [_fetch(frontier, site, 0, byte_limit, key)]
     columns = ["job_id", "rank", "depth", "url", "status_code", "title", "bytes", "error", key]
@@ -120,25 +118,25 @@ def _fetch(frontier: DataFrame, site: DataFrame, depth: int, byte_limit: int, ke
         "_total",
         crossed.alias("_crossed"),
         "_hrefs",
+        *_RULES,
     )
 
 
-def _advance(state: DataFrame, level: DataFrame, depth: int) -> DataFrame:
-    """Crawls that go on after a level, with their page and byte counts."""
+def _going_on(level: DataFrame, depth: int) -> DataFrame:
+    """Crawls that go on after a level, with their page and byte counts and their rules."""
     done = level.groupBy("job_id").agg(
-        S.max("rank").alias("_done"), S.max("_total").alias("_spent"), S.bool_or("_crossed").alias("_stop")
-    )
-    return (
-        state.join(done, "job_id")
-        .filter(~S.col("_stop") & (S.col("_done") < S.col("_max_pages")) & (S.col("_max_depth") > depth))
-        .select("job_id", "_host", "_max_pages", "_max_depth", "_include", "_exclude", S.col("_done").alias("_pages"), S.col("_spent").alias("_used"))
+        S.max("rank").alias("_pages"),
+        S.max("_total").alias("_used"),
+        S.bool_or("_crossed").alias("_stop"),
+        *[S.first(c).alias(c) for c in _RULES],
     )
+    return done.filter(~S.col("_stop") & (S.col("_pages") < S.col("_max_pages")) & (S.col("_max_depth") > depth)).drop("_stop")
 
 
-def _discover(level: DataFrame, levels: list[DataFrame], state: DataFrame, most_pages: int) -> DataFrame:
+def _discover(levels: list[DataFrame], going_on: DataFrame, most_pages: int) -> DataFrame:
     """The next level: new links of usable pages, first discovery wins."""
-    usable = level.filter(S.col("error").isNull() & (S.col("bytes") > 0)).select("job_id", "url", "rank", "_hrefs")
-    sources = usable.join(state.select("job_id", "_host", "_include", "_exclude"), "job_id")
+    usable = levels[-1].filter(S.col("error").isNull() & (S.col("bytes") > 0)).drop("_used")
+    sources = usable.join(going_on.select("job_id"), "job_id", "left_semi")
     links = followed_links(F.col("url"), F.col("_hrefs"), F.col("_host"), F.col("_include"), F.col("_exclude"))
     found = explode_array(sources, ["job_id", S.col("rank").alias("_parent")], links.col, "_pos", "url")
     first = (
@@ -153,10 +151,10 @@ def _discover(level: DataFrame, levels: list[DataFrame], state: DataFrame, most_
     # The constant limit lets every task drop surplus links before the shuffle; each crawl's own limit follows.
     ranked = fresh.withColumn("_n", S.row_number().over(order)).filter(S.col("_n") <= most_pages)
     return (
-        ranked.join(state.select("job_id", "_max_pages", "_pages", "_used"), "job_id")
+        ranked.join(going_on, "job_id")
         .withColumn("rank", S.col("_pages") + S.col("_n"))
         .filter(S.col("rank") <= S.col("_max_pages"))
-        .select("job_id", S.col("_first.url").alias("url"), "_norm", "rank", "_used")
+        .select("job_id", S.col("_first.url").alias("url"), "_norm", "rank", "_used", *_RULES)
     )
 
 
