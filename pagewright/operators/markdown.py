@@ -22,7 +22,8 @@ from pagewright.functions import html as H
 from pagewright.functions.sql import Expr, fn as F
 from pagewright.functions.text import decode_entities, let, trim_white
 
-BLANK, LINE, QUOTE, UNQUOTE, OPEN, CLOSE = "﷐﷑﷒﷓﷔﷕"
+# Unicode noncharacters, removed from the input first.
+BLANK, LINE, QUOTE, UNQUOTE, OPEN, CLOSE = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3", "\ufdd4", "\ufdd5"
 _MARKERS = BLANK + LINE + QUOTE + UNQUOTE + OPEN + CLOSE
 
 # Element classes of the HTML standard.
@@ -114,8 +115,7 @@ _BREAKS = r"[ \t\n\f\r]+"
 
 def _prepared(html: Expr, d: Dialect) -> Expr:
     """Body tokens as structs: kind (s, e, t), tag, text, and the pieces written at open and close."""
-    raw_dropped = ["script", "style", "noscript", "iframe", "noembed", "noframes"] + ([] if d.keep_title else [])
-    ignored = r"(?i)^<(?:[!?]|/[^a-z]|(?:" + "|".join(raw_dropped[:3]) + r")[\s/>])"
+    ignored = r"(?i)^<(?:[!?]|/[^a-z]|(?:script|style|noscript)[\s/>])"
     clean = F.regexp_replace(F.translate(html, _MARKERS, ""), r"\r\n?", "\n")
     tokens = F.filter(H.token_array(clean), lambda t: ~t.rlike(ignored))
 
@@ -455,8 +455,8 @@ def _settle(text: Expr) -> Expr:
     b, l, either = BLANK, LINE, f"[{BLANK}{LINE}]"
     before = f"(?<![\n{BLANK}{LINE}])"
     for pattern, replacement in (
-        (f"{either}*+(?<={b}){either}*+|{either}*{b}{either}*+", b),
         (f"{l}++", l),
+        (f"{either}*{b}{either}*+", b),
         (rf"\A{either}", ""),
         (f"{before}\n?{b}", "\n\n"),
         (f"{before}(\n\n+){b}", "$1"),
