@@ -15,4 +15,11 @@ OP4 = f"""WITH lines AS ({_LINES}),
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
  FROM (SELECT *, key IN (SELECT key FROM frequent) AS gone FROM lines) GROUP BY doc_id"""
 
-ORACLES = {"op4_line_dedup": OP4}
+OP9 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM p)
+ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+ORACLES = {"op4_line_dedup": OP4, "op9_top_products": OP9}

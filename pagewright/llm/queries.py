@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as S
 
 from pagewright.functions.sql import fn as F
-from pagewright.llm import credentials, line_dedup, outliers, sharding
+from pagewright.llm import bpe, chat, credentials, line_dedup, outliers, packing, sharding, topk
 from pagewright.sources.snapshot import read_table
 
 
@@ -44,4 +44,29 @@ def op6_quality_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_hilbert_shards, op4_line_dedup, op6_quality_outliers)}
+def op7_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    out = bpe.decode_ids(bpe.encode_text(docs).select("doc_id", "ids"))
+    n = (S.octet_length("ids") / 4).cast("long")
+    return out.select("doc_id", n.alias("n_tokens"), S.sha2("ids", 256).alias("ids_sha256"), S.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_top_products(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_inner_products(read_table(spark, folder, "embeddings"), "vec_id", "embedding", "id % 50 = 0")
+
+
+def op10_chat_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.repair_turns(read_table(spark, folder, "conversations"))
+
+
+def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, folder, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing, op2_secret_scan, op3_hilbert_shards, op4_line_dedup, op6_quality_outliers, op7_bpe_round_trip, op9_top_products,
+        op10_chat_repair,
+    )
+}
