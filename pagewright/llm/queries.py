@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as S
 
 from pagewright.functions.sql import fn as F
-from pagewright.llm import bpe, chat, credentials, line_dedup, outliers, packing, sharding, topk
+from pagewright.llm import bpe, chat, credentials, line_dedup, outliers, packing, pii, sharding, topk
 from pagewright.sources.snapshot import read_table
 
 
@@ -51,6 +51,15 @@ def op7_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", n.alias("n_tokens"), S.sha2("ids", 256).alias("ids_sha256"), S.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    labelled = pii.labelled_runs(docs)
+    out = pii.find_personal_data(docs, pii.train_crf([f for f, _ in labelled], [t for _, t in labelled]))
+    base = F.col("_base")
+    spans = credentials.span_text(F.array_sort(F.concat(base, F.col("_field"))))
+    return out.select("doc_id", *[_count(base, k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(credentials.span_text(base), 256).alias("base_sha256").col, spans.alias("spans").col)
+
+
 def op9_top_products(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_inner_products(read_table(spark, folder, "embeddings"), "vec_id", "embedding", "id % 50 = 0")
 
@@ -66,7 +75,7 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_best_fit_packing, op2_secret_scan, op3_hilbert_shards, op4_line_dedup, op6_quality_outliers, op7_bpe_round_trip, op9_top_products,
+        op1_best_fit_packing, op2_secret_scan, op3_hilbert_shards, op4_line_dedup, op6_quality_outliers, op7_bpe_round_trip, op8_personal_data, op9_top_products,
         op10_chat_repair,
     )
 }
