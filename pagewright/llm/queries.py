@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as S
 
 from pagewright.functions.sql import fn as F
-from pagewright.llm import bpe, chat, credentials, line_dedup, outliers, packing, pii, sharding, topk
+from pagewright.llm import bpe, chat, credentials, line_dedup, ngram_join, outliers, packing, pii, sharding, topk
 from pagewright.sources.snapshot import read_table
 
 
@@ -39,6 +39,10 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(read_table(spark, folder, "documents"), words=4, percent=85)
+
+
 def op6_quality_outliers(spark: SparkSession, folder: str) -> DataFrame:
     verdicts = outliers.quality_verdicts(read_table(spark, folder, "documents"), ["doc_id"])
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -75,7 +79,7 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_best_fit_packing, op2_secret_scan, op3_hilbert_shards, op4_line_dedup, op6_quality_outliers, op7_bpe_round_trip, op8_personal_data, op9_top_products,
+        op1_best_fit_packing, op2_secret_scan, op3_hilbert_shards, op4_line_dedup, op5_shingle_join, op6_quality_outliers, op7_bpe_round_trip, op8_personal_data, op9_top_products,
         op10_chat_repair,
     )
 }
