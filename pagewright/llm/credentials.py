@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as S
 
 from pagewright.functions.sql import Expr, expr, fn as F
 
@@ -106,10 +106,11 @@ def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ``_base`` holds the base kinds. ``_linked`` adds identifiers, endpoints and weak secrets, each only where a
     complementary part co-occurs in the same scope (text between blank lines) at most NEAR characters off. NULL
     text is empty and holds nothing, equal rows get equal spans, an empty table gives no rows; other columns
-    pass through. Whole texts are read, in the row they stand in; nothing is shuffled.
+    pass through, but columns of these two names are replaced. Whole texts are read, in the row they stand in; nothing is shuffled.
     """
-    text = F.coalesce(F.col(f"`{text_col}`"), "")
-    return with_linked_spans(with_base_spans(docs, text), text)
+    whole = docs.select(S.struct("*").alias("row"), S.coalesce(S.col(f"`{text_col}`"), S.lit("")).alias("text"))
+    found = with_linked_spans(with_base_spans(whole, F.col("text")), F.col("text"))
+    return found.select(*[S.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("_base", "_linked")], "_base", "_linked")
 
 
 def span_text(spans) -> Expr:

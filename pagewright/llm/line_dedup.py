@@ -73,12 +73,15 @@ def kept_text(text: Expr, dropped: Expr) -> Expr:
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` with column ``_dropped``, its bitmap or NULL; the text moves once, by document."""
-    marked = bitmaps.select(S.col("doc").alias("_doc"), S.col("body").alias("_body"), S.col("dropped").alias("_dropped"))
-    return docs.join(marked, docs[id_col].eqNullSafe(S.col("_doc")) & (S.hash(docs[text_col]) == S.col("_body")), "left").drop("_doc", "_body")
+    """(row, text, dropped): every row of ``docs`` as a struct, its text, and its bitmap or NULL; the text moves once, by document."""
+    text = S.col(f"`{text_col}`")
+    rows = docs.select(S.struct("*").alias("row"), S.col(f"`{id_col}`").alias("id"), S.hash(text).alias("own"), text.alias("text"))
+    same = rows["id"].eqNullSafe(bitmaps["doc"]) & (rows["own"] == bitmaps["body"])
+    return rows.join(bitmaps, same, "left").select("row", "text", "dropped")
 
 
 def drop_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:
     """``docs`` with every frequent line taken out of its text; NULL text stays NULL, no row is dropped."""
     marked = with_bitmaps(docs, line_drop_bitmaps(docs, id_col, text_col, **rule), id_col, text_col)
-    return marked.withColumn(text_col, kept_text(F.col(f"`{text_col}`"), F.col("_dropped")).col).drop("_dropped")
+    text = kept_text(F.col("text"), F.col("dropped")).col
+    return marked.select(*[text.alias(c) if c == text_col else S.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -187,7 +187,7 @@ def binary_runs(values, bounds):
 
 
 def set_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(id, n, f1, f2, head) of every row of (id, text): set size, fingerprints, the lowest shingles' upper six bytes."""
+    """(id, body, n, f1, f2, head) of every row of (id, body, text): set size, fingerprints, the lowest shingles' upper six bytes."""
     kind = {f.name: f.dataType.simpleString() for f in docs.schema}["id"]
 
     def rows(batches):
@@ -202,11 +202,11 @@ def set_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
             inside = np.arange(len(sets)) - np.repeat(bounds[:-1], n) < np.repeat(size, n)
             low = sets[inside].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - TOKEN_BYTES :]
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), binary_runs(low, np.concatenate([[0], np.cumsum(size)]))],
-                ["id", "n", "f1", "f2", "head"],
+                [batch["id"], batch["body"], pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), binary_runs(low, np.concatenate([[0], np.cumsum(size)]))],
+                ["id", "body", "n", "f1", "f2", "head"],
             )
 
-    return docs.mapInArrow(rows, f"id {kind}, n long, f1 long, f2 long, head binary")
+    return docs.mapInArrow(rows, f"id {kind}, body long, n long, f1 long, f2 long, head binary")
 
 
 # ---- shared heads ----------------------------------------------------------------------------------
@@ -439,7 +439,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id) for every row of ``docs``.
+    """(id, text_hash, n_shingles, component_id) for every row of ``docs``; text_hash is xxhash64 of the text, '' for NULL.
 
     A document's set holds its distinct shingles of ``words`` words (``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased); with fewer
     words its whole sequence is the one shingle. Two documents link when 100 * intersection >= percent * union.
@@ -448,7 +448,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size but no component, and no link goes through them. Repeated rows and equal texts are one set; rows of
     one id with different texts are different documents. An empty table gives no rows; other columns are not read.
     """
-    own = docs.select(S.col(f"`{id_col}`").alias("id"), S.coalesce(S.col(f"`{text_col}`"), S.lit("")).alias("text"))
+    text = S.coalesce(S.col(f"`{text_col}`"), S.lit(""))
+    own = docs.select(S.col(f"`{id_col}`").alias("id"), S.xxhash64(text).alias("body"), text.alias("text"))
     rows = write_through(set_rows(own, words, percent))
     distinct = rows.filter("n > 0 AND id IS NOT NULL").groupBy("f1", "f2", "n").agg(S.min("id").alias("rep"), S.first("head").alias("head"))
     sets = write_through(distinct.withColumn("sid", S.monotonically_increasing_id()))
@@ -472,6 +473,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = write_through(placed.groupBy("root").agg(S.min("rep").alias("component_id")))
     found = write_through(placed.join(least, "root").select("sid", "component_id"))
     known = sets.join(found, "sid", "left").select("f1", "f2", S.coalesce("component_id", "rep").alias("component_id"))
-    out = rows.select("id", "n", "f1", "f2").join(write_through(known), ["f1", "f2"], "left")
+    out = rows.select("id", "body", "n", "f1", "f2").join(write_through(known), ["f1", "f2"], "left")
     component = S.when(S.col("id").isNull(), S.lit(None)).when(S.col("n") == 0, S.col("id")).otherwise(S.col("component_id"))
-    return out.select(S.col("id").alias(id_col), S.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select(S.col("id").alias(id_col), S.col("body").alias("text_hash"), S.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One document of each component of ``near_duplicates`` stays, that with the smallest id; of repeated rows one.
+
+    Rows with a NULL id have no component and stay. Of rows with one id and different texts, those stay whose own
+    component has that id. The text moves once, by id.
+    """
+    first = near_duplicates(docs, id_col, text_col, words, percent).filter(S.col(id_col) == S.col("component_id"))
+    first = first.select(S.col(id_col).alias("first"), S.col("text_hash").alias("body")).distinct()
+    hashed = docs.select(S.struct("*").alias("row"), S.col(f"`{id_col}`").alias("id"), S.xxhash64(S.coalesce(S.col(f"`{text_col}`"), S.lit(""))).alias("own"))
+    kept = hashed.join(first, (S.col("id") == S.col("first")) & (S.col("own") == S.col("body")), "left_semi").dropDuplicates(["id", "own"])
+    return kept.unionByName(hashed.filter("id IS NULL")).select("row.*")

@@ -267,7 +267,8 @@ def find_personal_data(docs: DataFrame, model: dict, text_col: str = "text", mar
 
     ``_base`` holds the fixed patterns. ``_field`` adds the spans of runs whose best path leads "all outside" by
     ``margin`` or more; a span that overlaps a base span adds nothing and is left out. NULL text is empty and holds
-    nothing, equal rows get equal spans, an empty table stays empty, other columns pass through. Whole texts are
+    nothing, equal rows get equal spans, an empty table stays empty, other columns pass through
+    but for columns of these two names. Whole texts are
     read, batch by batch, in the task that holds them; the model is small.
     """
     kind = "array<struct<start:int,rank:int,end:int,kind:string>>"
@@ -285,5 +286,6 @@ def find_personal_data(docs: DataFrame, model: dict, text_col: str = "text", mar
                 field[i] += [s for s in field_spans(run, tags) if not any(b[0] < s[2] and b[2] > s[0] for b in base[i])]
         return pd.DataFrame({"base": [named(b) for b in base], "field": [named(f) for f in field]})
 
-    found = docs.withColumn("_found", find(S.coalesce(S.col(f"`{text_col}`"), S.lit(""))))
-    return found.withColumns({"_base": S.col("_found.base"), "_field": S.col("_found.field")}).drop("_found")
+    found = docs.select(S.struct("*").alias("row"), find(S.coalesce(S.col(f"`{text_col}`"), S.lit(""))).alias("found"))
+    others = [S.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("_base", "_field")]
+    return found.select(*others, S.col("found.base").alias("_base"), S.col("found.field").alias("_field"))

@@ -31,16 +31,16 @@ def op3_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
     marked = line_dedup.with_bitmaps(docs, line_dedup.line_drop_bitmaps(docs))
-    gone = F.coalesce(F.aggregate(F.col("_dropped"), 0, lambda a, r: a + (r["last"] - r["first"]) + 1), 0)
-    kept = F.coalesce(line_dedup.kept_text(F.col("text"), F.col("_dropped")), "")
+    gone = F.coalesce(F.aggregate(F.col("dropped"), 0, lambda a, r: a + (r["last"] - r["first"]) + 1), 0)
+    kept = F.coalesce(line_dedup.kept_text(F.col("text"), F.col("dropped")), "")
     return marked.select(
-        "doc_id", F.size(line_dedup.text_lines(F.col("text"))).cast("long").alias("n_lines").col, gone.cast("long").alias("n_dropped").col,
+        "row.doc_id", F.size(line_dedup.text_lines(F.col("text"))).cast("long").alias("n_lines").col, gone.cast("long").alias("n_dropped").col,
         F.sha2(kept, 256).alias("kept_sha256").col,
     )
 
 
 def op5_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_join.near_duplicates(read_table(spark, folder, "documents"), words=4, percent=85)
+    return ngram_join.near_duplicates(read_table(spark, folder, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_quality_outliers(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as S
 
-from pagewright.llm import credentials, line_dedup, outliers
+from pagewright.llm import credentials, line_dedup, ngram_join, outliers, packing
 from pagewright.session import write_through
 from pagewright.sources.snapshot import read_table
 
@@ -26,12 +26,22 @@ def lines(spark, docs, sf_dir):
     return _documents(line_dedup.drop_frequent_lines(docs))
 
 
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each group of near duplicates stays: five-word shingles, similarity of 0.8 or more."""
+    return _documents(ngram_join.drop_near_duplicates(docs))
+
+
 def secrets(spark, docs, sf_dir):
     """Found secrets are replaced by a mark; every document stays."""
     return _documents(credentials.redact_secrets(docs))
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines), ("secret scans", secrets)]
+def pack(spark, docs, sf_dir):
+    """Where each piece of each document goes: (doc_id, piece, start, length, bin_id, capacity, offset)."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("near duplicates", near_duplicates), ("secret scans", secrets), ("best-fit packing", pack)]
 #: Robust estimates and packing have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 

@@ -39,7 +39,7 @@ def test_lines(make_docs):
     pool = ["Shared line", " shared LINE\t", "Éa", "éa", "", "  ", "b", "B ", "rare", "\x0b", "Straße", "STRASSE", "ÀB", "Àb"]
     rows = [(i, "\n".join(rng.choice(pool) + rng.choice(["", "", str(i)]) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
     rows += [(100 + i, t) for i, t in enumerate(ODD)] + [(None, "Shared line\nx"), (3, "other\nshared line"), rows[5], rows[5]]
-    docs = make_docs(rows, extra=("doc", "pos", "line", "key", "h1", "p", "body", "_dropped_"))
+    docs = make_docs(rows, extra=("doc", "pos", "line", "key", "h1", "p", "body", "dropped", "row", "id", "own"))
     for k in (2, 5, 10):
         out = line_dedup.drop_frequent_lines(docs, min_docs=k)
         assert out.columns == docs.columns
@@ -116,7 +116,7 @@ def test_base_secrets(make_docs):
     rng = random.Random(4)
     bits = ["password", "=", ":", " ", "'", "token", "abcdef", "AKIA", "ABCDEFGHIJKLMNOP", HEX, "é", "\n", "api_key", "x", "12345"]
     rows = [(i, t) for i, t in enumerate(SAMPLES + ODD)] + [(1000 + i, "".join(rng.choices(bits, k=rng.randrange(1, 25)))) for i in range(400)]
-    out = credentials.scan_secrets(make_docs(rows, extra=("_m_", "start", "kind"))).select("doc_id", "text", credentials.span_text("_base").alias("b").col).collect()
+    out = credentials.scan_secrets(make_docs(rows, extra=("_m", "_ms", "_gaps", "_s_hex", "_parts", "row", "start", "kind"))).select("doc_id", "text", credentials.span_text("_base").alias("b").col).collect()
     assert len(out) == len(rows)
     assert [(r.doc_id, r.b) for r in out if r.b != brute_base(r.text)] == []
 
@@ -139,7 +139,7 @@ def test_linked_parts(make_docs):
 
 
 def test_redaction(make_docs):
-    docs = make_docs([(1, f"a password={HEX} b"), (2, None), (3, "clean"), (4, f"user=bob {KEY}\n")], extra=("_base0",))
+    docs = make_docs([(1, f"a password={HEX} b"), (2, None), (3, "clean"), (4, f"user=bob {KEY}\n")], extra=("row",))
     out = {r.doc_id: r.text for r in credentials.redact_secrets(docs).collect()}
     assert out == {1: "a [SECRET] b", 2: None, 3: "clean", 4: "[SECRET] [SECRET]\n"}
 

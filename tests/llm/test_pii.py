@@ -35,7 +35,7 @@ def test_base_spans(make_docs):
     texts = SAMPLES[:-3] + ["".join(rng.choices(bits, k=rng.randrange(1, 30))) for _ in range(3000)]
     assert [t for t in texts if pii.base_spans(t or "") != plain_spans(t)] == []
     model = pii.train_crf([], [])
-    docs = make_docs(list(enumerate(SAMPLES)), extra=("start", "kind", "_found_"))
+    docs = make_docs(list(enumerate(SAMPLES)), extra=("start", "kind", "found", "row"))
     out = pii.find_personal_data(docs, model).collect()
     assert len(out) == len(SAMPLES)
     assert [r.doc_id for r in out if len(r.text or "") < 9999 and [tuple(s) for s in r["_base"]] != plain_spans(r.text)] == []
