@@ -105,11 +105,12 @@ def free_plan() -> Column:
 
 
 def with_plan(requests: DataFrame, owner: str, plans: DataFrame, trusted: str | None = None) -> DataFrame:
-    """Adds ``plan``. ``plans`` has (owner, plan fields), one row per owner.
+    """Adds ``plan``. ``plans`` has (owner, plan fields); of several rows of an owner the last by name counts.
 
     Whether the plan side is broadcast is left to the optimizer, which knows its size.
     """
-    side = plans.select(F.col("owner").alias("_owner"), F.struct(*[F.col(c).cast(t).alias(c) for c, t in _PLAN_TYPES.items()]).alias("_plan"))
+    plan = F.struct(*[F.col(c).cast(t).alias(c) for c, t in _PLAN_TYPES.items()])
+    side = plans.groupBy(F.col("owner").alias("_owner")).agg(F.max_by(plan, "name").alias("_plan"))
     joined = requests.join(side, F.col(owner) == F.col("_owner"), "left")
     given = [F.col(trusted)] if trusted else []
     return joined.withColumn("plan", F.coalesce(*given, "_plan", free_plan())).drop("_owner", "_plan")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from pagewright.operators.rows import entry_order
+
 # Monitored streams and the tier each serves.
 STREAMS = {"scrape_jobs": "fast", "browser_jobs": "browser", "stealth_jobs": "stealth", "crawl_jobs": "crawl"}
 
@@ -17,10 +19,10 @@ def queue_health(entries: DataFrame, consumers: DataFrame, pending: DataFrame) -
     """
     streams = entries.sparkSession.createDataFrame(list(STREAMS.items()), "stream string, tier string")
     length = entries.groupBy("stream").agg(F.count("*").alias("length"))
-    # A group's oldest entry is the one with the lowest id, not the one idle longest.
+    # A group's oldest entry is the one with the lowest id, as numbers, not the one idle longest.
     oldest = (
         pending.groupBy("stream", "grp")
-        .agg(F.min_by("idle_ms", "entry_id").alias("_idle"))
+        .agg(F.min_by("idle_ms", entry_order("entry_id")).alias("_idle"))
         .groupBy("stream")
         .agg(F.max("_idle").alias("oldest_pending_ms"))
     )

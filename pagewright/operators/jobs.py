@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pagewright.session import cut_lineage
+from pagewright.operators.rows import entry_order
+from pagewright.session import cut_lineage, write_through
 
 STREAM_CAP = 10_000
 CLAIM_IDLE_MS, CLAIM_BATCH = 60_000, 100
@@ -89,26 +90,41 @@ def split_entries(entries: DataFrame, dialect: str = "fast") -> tuple[DataFrame,
 
 
 def newest_per_stream(entries: DataFrame, cap: int = STREAM_CAP, stream="stream", at="enqueued_at", entry_id="entry_id") -> DataFrame:
-    """The newest ``cap`` entries of every stream.
+    """The newest ``cap`` entries of every stream, by time, then by id as numbers.
 
-    There are only a few streams, so each is first cut inside salted sub-groups: every sub-group keeps its
-    own newest ``cap``, which is enough, and the last step sees at most salts x cap rows per stream.
+    Counts per minute, then per instant of the one minute that holds the limit, give each stream the instant of
+    its oldest kept entry; both counts are partial before they are shuffled. Older entries are dropped where they are
+    read, at any cap, and only the rest is ranked. A NULL time is older than any other.
     """
-    salts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    newest = [F.col(at).desc(), F.col(entry_id).desc()]
-    salted = entries.withColumn("_salt", F.pmod(F.xxhash64(entry_id), F.lit(salts)))
-    first = salted.withColumn("_n", F.row_number().over(Window.partitionBy(stream, "_salt").orderBy(*newest))).filter(F.col("_n") <= cap)
-    last = first.withColumn("_n", F.row_number().over(Window.partitionBy(stream).orderBy(*newest))).filter(F.col("_n") <= cap)
-    return last.drop("_n", "_salt")
+    us = F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(-(1 << 62)))
+    timed = entries.select(F.col(stream).alias("_s"), us.alias("_us"))
+
+    def reach(counts: DataFrame, step: str, wanted: Column) -> DataFrame:
+        """(_s, step, _above): the newest step by which ``wanted`` entries are reached, and the entries after it."""
+        newest = Window.partitionBy("_s").orderBy(F.col(step).desc())
+        upto = counts.withColumn("_upto", F.sum("_n").over(newest)).withColumn("_above", F.col("_upto") - F.col("_n"))
+        return upto.filter(F.col("_above") < wanted).groupBy("_s").agg(F.min(step).alias(step), F.max("_above").alias("_above"))
+
+    minute = F.expr("_us div 60000000")
+    minutes = timed.groupBy("_s", minute.alias("_minute")).agg(F.count("*").alias("_n"))
+    last = write_through(reach(minutes, "_minute", F.lit(cap)))
+    same = lambda a, b: a["_s"].eqNullSafe(b["_s"])
+    inside = timed.alias("t").join(last.alias("l"), F.col("t._s").eqNullSafe(F.col("l._s"))).filter(F.expr("t._us div 60000000") == F.col("l._minute"))
+    instants = inside.groupBy("t._s", "t._us", "l._above").agg(F.count("*").alias("_n"))
+    limits = write_through(reach(instants.select("_s", "_us", "_n", F.col("_above").alias("_before")), "_us", F.lit(cap) - F.col("_before")).select(F.col("_s"), F.col("_us").alias("_limit")))
+    marked = entries.withColumns({"_s": F.col(stream), "_us": us})
+    recent = marked.join(limits, same(marked, limits)).filter(F.col("_us") >= F.col("_limit")).drop("_limit", limits["_s"])
+    order = Window.partitionBy(stream).orderBy(F.col("_us").desc(), entry_order(entry_id).desc())
+    return recent.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= cap).select(entries.columns)
 
 
 def orphaned_entries(claims: DataFrame, acks: DataFrame, batch: int = CLAIM_BATCH, idle_ms: int = CLAIM_IDLE_MS) -> DataFrame:
-    """Unacknowledged entries idle long enough, the first ``batch`` by id of each group.
+    """Unacknowledged entries idle long enough, the first ``batch`` of each group by id as numbers.
 
     The row-number limit is applied inside every task before the shuffle.
     """
     open_ = claims.filter(F.col("idle_ms") >= idle_ms).join(acks, ["stream", "grp", "entry_id"], "left_anti")
-    order = Window.partitionBy("stream", "grp").orderBy("entry_id")
+    order = Window.partitionBy("stream", "grp").orderBy(entry_order("entry_id"))
     return open_.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= batch).drop("_n")
 
 
@@ -136,9 +152,10 @@ def lookup_jobs(lookups: DataFrame, jobs: DataFrame, now: str | None = None) ->
     """Job status for its owner only.
 
     ``lookups`` has (job_id, caller, ...); ``jobs`` has (job_id, status, owner, pages_total, pages_completed,
-    expires_at). An unknown, expired or foreign job gives the same error.
+    expires_at); of several rows of a job the one that expires last counts. An unknown, expired or foreign job gives the same error.
     """
-    joined = lookups.join(jobs, "job_id", "left")
+    one = jobs.groupBy("job_id").agg(F.max_by(F.struct(*[c for c in jobs.columns if c != "job_id"]), "expires_at").alias("_j")).select("job_id", "_j.*")
+    joined = lookups.join(one, "job_id", "left")
     visible = F.coalesce(F.col("owner") == F.col("caller"), F.lit(False))
     if now is not None:
         visible = visible & (F.col("expires_at") > F.col(now))
@@ -162,8 +179,9 @@ def extractor_chain(jobs: DataFrame, strategy_results: DataFrame, generic_result
     ``jobs``: (job_id, requested). ``strategy_results``: (job_id, strategy, ok, page) for registered
     strategies. ``generic_results``: (job_id, ok, page).
     """
-    tried = strategy_results.select("job_id", F.col("strategy").alias("requested"), F.col("ok").alias("_s_ok"), F.col("page").alias("_s_page"))
-    plain = generic_results.select("job_id", F.col("ok").alias("_g_ok"), F.col("page").alias("_g_page"))
+    best = F.max_by(F.struct("ok", "page"), "ok").alias("_r")  # a repeated result counts once, a success first
+    tried = strategy_results.groupBy("job_id", F.col("strategy").alias("requested")).agg(best).select("job_id", "requested", F.col("_r.ok").alias("_s_ok"), F.col("_r.page").alias("_s_page"))
+    plain = generic_results.groupBy("job_id").agg(best).select("job_id", F.col("_r.ok").alias("_g_ok"), F.col("_r.page").alias("_g_page"))
     joined = jobs.join(tried, ["job_id", "requested"], "left").join(plain, "job_id", "left")
     won = F.coalesce(F.col("_s_ok"), F.lit(False))
     return joined.select(

@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.sources.snapshot import read_spread
+from pagewright.sources.snapshot import read_table
 
 _SPARK = (r"HEXBYTE\((\w+), (\d+)\)", r"CAST(conv(substr(md5(\1), \2, 2), 16, 10) AS INT)"), ("DIV", "div"), ("MICROS\\((\\w+)\\)", r"unix_micros(CAST(\1 AS TIMESTAMP))")
 _CHECK = (r"HEXBYTE\((\w+), (\d+)\)", r"CAST('0x' || substr(md5(\1), \2, 2) AS INT)"), ("DIV", "//"), ("MICROS\\((\\w+)\\)", r"epoch_us(\1)")
@@ -94,7 +94,9 @@ CRAWL_JOBS = f"""SELECT site, 'http://site' || CAST(site AS STRING) || '.example
  1 + site % 5 AS max_depth FROM (SELECT DISTINCT {_SITE} AS site FROM pages) AS s"""
 
 # Event time squeezed so that limits and throttles bite.
-SQUEEZED = "SELECT event_id, user_id, event_type, props, value, MICROS(ts) DIV 900 AS us FROM events"
+# Some events have no type, some no user, some no time.
+SQUEEZED = """SELECT event_id, CASE WHEN event_id % 41 <> 7 THEN user_id END AS user_id, CASE WHEN event_id % 37 <> 5 THEN event_type END AS event_type, props, value,
+ CASE WHEN event_id % 101 <> 3 THEN MICROS(ts) DIV 900 END AS us FROM events"""
 
 # Two addresses per host of the page table; some private, some hosts without any.
 DNS = """SELECT host, pos, CASE HEXBYTE(host, 1) % 8
@@ -141,12 +143,14 @@ PLANS = """SELECT c_custkey AS owner, lower(c_mktsegment) AS name, 1000 AS max_c
 STATUS_EVENTS = """SELECT user_id AS job_id, event_id AS seq,
   CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'queued' ELSE 'running' END AS status,
   CAST(event_id % 40 AS INT) AS pages_completed FROM events"""
+# Ids of entries as a queue gives them, in the order of event_id as numbers but not as text.
+ENTRY_ID = "CAST(event_id DIV 13 AS STRING) || '-' || CAST(event_id % 13 AS STRING)"
 STREAM_OF = "CASE event_type WHEN 'error' THEN 'stealth_jobs' WHEN 'purchase' THEN 'browser_jobs' ELSE 'scrape_jobs' END"
 
 
 def derive(spark: SparkSession, folder: str, sql: str, *tables: str) -> DataFrame:
     """Run a derivation over the named tables, without leaving views behind."""
-    frames = {t: read_spread(spark, folder, t) for t in tables}
+    frames = {t: read_table(spark, folder, t) for t in tables}
     return spark.sql(spark_sql(re.sub(rf"\bFROM ({'|'.join(tables)})\b", r"FROM {\1}", _escape(sql))), **frames)
 
 

@@ -343,7 +343,7 @@ def token_bucket(spark, folder):
 
 def token_bucket_owners(spark, folder):
     events = I.derive(spark, folder, I.SQUEEZED, "events").withColumn("ts", S.timestamp_micros("us"))
-    limited = limit_requests(events, "user_id", "ts", "event_id", S.col("user_id") % 2 + 1)
+    limited = limit_requests(events, "user_id", "ts", "event_id", S.coalesce(S.col("user_id"), S.lit(4)) % 2 + 1)
     return limited.select("user_id", "event_id", "allowed", "remaining")
 
 
@@ -385,16 +385,22 @@ def queue_entries(spark, folder):
 
 
 def queue_trim(spark, folder):
-    entries = I.derive(spark, folder, f"SELECT event_id AS entry_id, ts AS enqueued_at, {I.STREAM_OF} AS stream FROM events", "events")
+    entries = I.derive(spark, folder, f"SELECT {I.ENTRY_ID} AS entry_id, ts AS enqueued_at, {I.STREAM_OF} AS stream FROM events", "events")
     return jobs.newest_per_stream(entries, 50).select("stream", "entry_id")
 
 
-CLAIMS = f"SELECT event_id AS entry_id, {I.STREAM_OF} AS stream, 'g' || CAST(user_id % 3 AS STRING) AS grp, 'c' || CAST(user_id % 5 AS STRING) AS consumer, event_id * 7919 % 120000 AS idle_ms FROM events"
+def queue_trim_shipped(spark, folder):
+    """At the shipped cap, on a stream that is longer: all events in one, ten entries to a millisecond."""
+    entries = I.derive(spark, folder, f"SELECT {I.ENTRY_ID} AS entry_id, ts AS enqueued_at, CASE WHEN event_id % 50 = 0 THEN 'crawl_jobs' ELSE 'scrape_jobs' END AS stream FROM events", "events")
+    return jobs.newest_per_stream(entries).select("stream", "entry_id")
+
+
+CLAIMS = f"SELECT event_id, {I.ENTRY_ID} AS entry_id, {I.STREAM_OF} AS stream, 'g' || CAST(user_id % 3 AS STRING) AS grp, 'c' || CAST(user_id % 5 AS STRING) AS consumer, event_id * 7919 % 120000 AS idle_ms FROM events"
 
 
 def orphans(spark, folder):
     claims = I.derive(spark, folder, CLAIMS, "events")
-    acks = claims.filter("entry_id % 4 = 0").select("stream", "grp", "entry_id")
+    acks = claims.filter("event_id % 4 = 0").select("stream", "grp", "entry_id")
     return jobs.orphaned_entries(claims, acks).select("stream", "grp", "entry_id", "idle_ms")
 
 
@@ -437,7 +443,7 @@ def job_results(spark, folder):
 
 def _health(spark, folder):
     claims = I.derive(spark, folder, CLAIMS, "events")
-    return health.queue_health(claims, claims.filter("stream <> 'stealth_jobs'"), claims.filter("entry_id % 4 <> 0"))
+    return health.queue_health(claims, claims.filter("stream <> 'stealth_jobs'"), claims.filter("event_id % 4 <> 0"))
 
 
 def queue_health(spark, folder):
@@ -456,7 +462,7 @@ QUERIES = {
         page_tokens, page_title, page_metadata, page_metadata_browser, page_links, page_links_filtered, page_text, page_markdown,
         page_markdown_ai, page_markdown_browser, output_format, crawl_bfs, crawl_budget, crawl_summary, crawl_status, chunk_headings,
         chunk_pack, prompt_table, response_parse, admission_verdicts, crawl_caps, request_payloads, owner_hash, access_log, key_check,
-        signed_plan, token_bucket, token_bucket_owners, reject_throttle, usage_rollup, queue_entries, queue_trim, orphans,
+        signed_plan, token_bucket, token_bucket_owners, reject_throttle, usage_rollup, queue_entries, queue_trim, queue_trim_shipped, orphans,
         job_latest_status, job_lookup, extractor_chain, job_results, queue_health, overall_status,
     )
 }

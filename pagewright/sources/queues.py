@@ -20,7 +20,7 @@ def read_queue(spark: SparkSession, path: str, stream: str, files_per_batch: int
 
 
 def read_kafka_queue(spark: SparkSession, servers: str, topic: str, offsets_per_batch: int = 100_000) -> DataFrame:
-    """S4 over Kafka, for clusters that have the connector: (entry_id, enqueued_at, payload)."""
+    """S4 over Kafka, for clusters that have the connector: (entry_id, enqueued_at, fields), the fields from a JSON object."""
     source = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
@@ -28,4 +28,4 @@ def read_kafka_queue(spark: SparkSession, servers: str, topic: str, offsets_per_
         .option("maxOffsetsPerTrigger", offsets_per_batch)
         .load()
     )
-    return source.selectExpr("concat(partition, '-', offset) AS entry_id", "timestamp AS enqueued_at", "CAST(value AS STRING) AS payload")
+    return source.selectExpr("concat(partition, '-', offset) AS entry_id", "timestamp AS enqueued_at", "from_json(CAST(value AS STRING), 'map<string,string>') AS fields")

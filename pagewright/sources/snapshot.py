@@ -11,25 +11,19 @@ BODY_CAP = 10 * 1024 * 1024
 FETCH_FAILED = "fetch failed"
 
 
-def read_table(spark, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
+#: Session setting of a caller whose files have too few row groups to split: rows are dealt to so many partitions.
+READ_PARTITIONS = "spark.pagewright.read.partitions"
 
-def read_spread(spark, folder: str, name: str) -> DataFrame:
-    """A table for work that is heavy per row.
 
-    A file with fewer row groups than there are cores would leave cores idle, so a small table is spread
-    out first. Its size is checked on the file listing; a large table is read as it lies.
-    """
-    df = read_table(spark, folder, name)
-    cores = spark.sparkContext.defaultParallelism
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
-    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-    return df.repartition(cores) if size < cores * 32 * 1024 * 1024 else df
+def read_table(spark, folder: str, name: str) -> DataFrame:
+    """A stored table as its files lie, at any size, unless the caller set ``READ_PARTITIONS``."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    asked = spark.conf.get(READ_PARTITIONS, None)
+    return df.repartition(int(asked)) if asked else df
 
 
 def read_pages(spark, folder: str) -> DataFrame:
-    return read_spread(spark, folder, "pages")
+    return read_table(spark, folder, "pages")
 
 
 def cap_body(html: Expr, mode: str = "truncate") -> Expr:

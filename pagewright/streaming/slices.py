@@ -11,12 +11,22 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 ROWS_PER_SLICE = 200_000
 MICROS = 1_000_000
 
 
+def coded(key) -> Column:
+    """A key as text that is never NULL, so that NULL is a key like any other in joins and in Python."""
+    return F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+
+
+def decoded(key: str, kind: str) -> Column:
+    """The key that ``coded`` wrote, in its own type."""
+    return F.when(F.col(key) != "", F.substring(F.col(key), F.lit(2), F.length(key)).cast(kind))
+
+
 def slice_micros(events: DataFrame, key: str, ts_us: str, longest: int = 3600 * MICROS) -> int:
     """Slice length at which the densest key keeps about ``ROWS_PER_SLICE`` rows per slice."""
     second = F.floor(F.col(ts_us) / MICROS)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagewright.session import cut_lineage
-from pagewright.streaming.slices import MICROS, cut_slices, per_slice, scan_summaries, slice_micros
+from pagewright.streaming.slices import MICROS, coded, cut_slices, decoded, per_slice, scan_summaries, slice_micros
 
 # Why a signed plan was refused.
 REJECT_REASONS = ("bad_signature", "bad_timestamp", "stale_timestamp", "bad_owner", "bad_plan_encoding", "bad_plan_json")
@@ -81,11 +81,16 @@ def _mark(row) -> dict:
 
 
 def throttle_log(events: DataFrame, reason: str, ts: str, event_id: str, interval_seconds: int = INTERVAL_SECONDS, slice_length: int | None = None) -> DataFrame:
-    """G15 over an event table: (reason, ts, event_id, emitted, suppressed), suppressed only on written lines."""
-    gap = interval_seconds * MICROS
-    rows = events.select(F.col(reason), F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), F.col(event_id).cast("long").alias("_id"))
-    micros = slice_length or slice_micros(rows, reason, "_us")
-    cut = cut_slices(rows, reason, "_us", "_id", [], micros)
+    """G15 over an event table: (reason, ts, event_id, emitted, suppressed), suppressed only on written lines.
+
+    NULL is a reason like any other. An event without time or id is never written and not counted: emitted is NULL.
+    """
+    gap, kind = interval_seconds * MICROS, events.schema[reason].dataType.simpleString()
+    coded_rows = events.select(coded(reason).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), F.col(event_id).cast("long").alias("_id"))
+    whole = F.col("_us").isNotNull() & F.col("_id").isNotNull()
+    rows = coded_rows.filter(whole)
+    micros = slice_length or slice_micros(rows, "key", "_us")
+    cut = cut_slices(rows, "key", "_us", "_id", [], micros)
     slices = cut_lineage(cut.withColumns({"gap": F.lit(gap), "start": F.col("slice") * micros}))
     exits = per_slice(slices.select("key", "slice", "ts", "gap", "start"), _exit_summary, "key string, slice long, bound array<long>, leave array<long>")
     free = scan_summaries(exits, _scan_free, "key string, slice long, free long")
@@ -97,10 +102,9 @@ def throttle_log(events: DataFrame, reason: str, ts: str, event_id: str, interva
     marked = per_slice(
         slices.join(start, ["key", "slice"]), _mark, "key string, ts array<long>, id array<long>, emitted array<boolean>, suppressed array<long>"
     )
-    flat = marked.select("key", F.explode(F.arrays_zip("ts", "id", "emitted", "suppressed")).alias("r"))
-    return flat.select(
-        F.col("key").alias(reason), F.timestamp_micros("r.ts").alias(ts), F.col("r.id").alias(event_id), "r.emitted", "r.suppressed"
-    )
+    flat = marked.select("key", F.explode(F.arrays_zip("ts", "id", "emitted", "suppressed")).alias("r")).select("key", F.col("r.ts").alias("_us"), F.col("r.id").alias("_id"), "r.emitted", "r.suppressed")
+    none = coded_rows.filter(~whole).select("key", "_us", "_id", F.lit(None).cast("boolean").alias("emitted"), F.lit(None).cast("long").alias("suppressed"))
+    return flat.unionByName(none).select(decoded("key", kind).alias(reason), F.timestamp_micros("_us").alias(ts), F.col("_id").alias(event_id), "emitted", "suppressed")
 
 
 def throttle_stream(events: DataFrame, reason: str, ts: str, event_id: str, interval_seconds: int = INTERVAL_SECONDS) -> DataFrame:

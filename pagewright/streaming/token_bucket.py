@@ -19,11 +19,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pagewright.session import cut_lineage
-from pagewright.streaming.slices import cut_slices, per_slice, scan_summaries, slice_micros
+from pagewright.session import cut_lineage, write_through
+from pagewright.streaming.slices import coded, cut_slices, decoded, per_slice, scan_summaries, slice_micros
 
 TOKEN = 60_000_000
 FULL_AFTER = 60_000_000  # microseconds in which any bucket refills completely
@@ -122,39 +122,71 @@ def _decide_slice(row) -> dict:
     return {"key": row.key, "ts": row.ts, "id": row.id, "allowed": allowed, "remaining": remaining}
 
 
-def limit_requests(requests: DataFrame, key: str, ts: str, request_id: str, rate, slice_length: int | None = None) -> DataFrame:
-    """G5 over a request table: (key, ts, request_id, allowed, remaining), exact for any skew.
+def _calm_keys(events: DataFrame) -> DataFrame:
+    """(key, calm): whether a key can never be limited, as no two neighbouring minutes hold more requests than its rate.
 
-    Requests of a key are taken in order of time and then id. ``rate`` is a column of requests per minute.
+    Then no 60 seconds do, and a bucket that refills in 60 seconds never runs dry. Works on counts per minute.
     """
-    key_type = requests.schema[key].dataType.simpleString()
-    events = requests.select(F.col(key), F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), F.col(request_id).cast("long").alias("_id"), rate.cast("long").alias("rate"))
-    micros = slice_length or slice_micros(events, key, "_us")
-    slices = cut_lineage(cut_slices(events, key, "_us", "_id", ["rate"], micros))
+    minute = F.expr("_us div 60000000")
+    counts = events.groupBy("key", minute.alias("m")).agg(F.count("*").alias("n"), F.min("rate").alias("low"), F.max("rate").alias("high"))
+    before = Window.partitionBy("key").orderBy("m").rangeBetween(-1, 0)
+    pairs = counts.withColumn("pair", F.sum("n").over(before))
+    return pairs.groupBy("key").agg(((F.max("pair") <= F.min("low")) & (F.min("low") == F.max("high"))).alias("calm"))
+
+
+def _calm_decisions(events: DataFrame) -> DataFrame:
+    """Decisions for keys that are never limited: only the remaining tokens are wanted, a running minimum.
+
+    With y the content before request i (from 1) is paid, y - rate * time + TOKEN * i is the least of
+    capacity - rate * time + TOKEN * j over all requests j up to i.
+    """
+    order = Window.partitionBy("key").orderBy("_us", "_id")
+    wide = lambda c: c.cast("decimal(38,0)")
+    line = wide(F.col("rate")) * wide(F.col("_us")) - wide(F.lit(TOKEN)) * wide(F.row_number().over(order))
+    rows = events.withColumn("_line", wide(line))
+    least = F.min(wide(F.col("rate") * TOKEN) - F.col("_line")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    left = F.floor((least + F.col("_line") - TOKEN) / TOKEN).cast("long")
+    return rows.select("key", "_us", "_id", F.lit(True).alias("allowed"), left.alias("remaining"))
+
+
+def _sliced_decisions(events: DataFrame, slice_length: int | None) -> DataFrame:
+    micros = slice_length or slice_micros(events, "key", "_us")
+    slices = cut_lineage(cut_slices(events, "key", "_us", "_id", ["rate"], micros))
     clamps = per_slice(
         slices.select("key", "slice", "ts", "rate"),
         _clamp_summary,
-        f"key {key_type}, slice long, first_ts long, last_ts long, first_rate long, shift long, low long, high long",
+        "key string, slice long, first_ts long, last_ts long, first_rate long, shift long, low long, high long",
     )
-    lower = scan_summaries(clamps, _scan_lower, f"key {key_type}, slice long, lower long, opens boolean")
+    lower = scan_summaries(clamps, _scan_lower, "key string, slice long, lower long, opens boolean")
     rests = cut_lineage(
-        per_slice(
-            slices.select("key", "slice", "ts", "rate").join(lower, ["key", "slice"]),
-            _rest_summary,
-            f"key {key_type}, slice long, lower long, ops array<long>",
-        )
+        per_slice(slices.select("key", "slice", "ts", "rate").join(lower, ["key", "slice"]), _rest_summary, "key string, slice long, lower long, ops array<long>")
     )
-    rest = scan_summaries(rests.select("key", "slice", "ops"), _scan_rest, f"key {key_type}, slice long, rest long")
+    rest = scan_summaries(rests.select("key", "slice", "ops"), _scan_rest, "key string, slice long, rest long")
     start = rests.select("key", "slice", "lower").join(rest, ["key", "slice"])
     decided = per_slice(
-        slices.join(start, ["key", "slice"]),
-        _decide_slice,
-        f"key {key_type}, ts array<long>, id array<long>, allowed array<boolean>, remaining array<long>",
+        slices.join(start, ["key", "slice"]), _decide_slice, "key string, ts array<long>, id array<long>, allowed array<boolean>, remaining array<long>"
     )
     rows = decided.select("key", F.explode(F.arrays_zip("ts", "id", "allowed", "remaining")).alias("r"))
-    return rows.select(
-        F.col("key").alias(key), F.timestamp_micros("r.ts").alias(ts), F.col("r.id").alias(request_id), "r.allowed", "r.remaining"
+    return rows.select("key", F.col("r.ts").alias("_us"), F.col("r.id").alias("_id"), "r.allowed", "r.remaining")
+
+
+def limit_requests(requests: DataFrame, key: str, ts: str, request_id: str, rate, slice_length: int | None = None) -> DataFrame:
+    """G5 over a request table: (key, ts, request_id, allowed, remaining), exact for any skew.
+
+    Requests of a key are taken in order of time and then id. ``rate`` is a column of requests per minute; keys are
+    text or whole numbers. NULL is a key like any other. A request without time, rate or id takes no token and gets no
+    decision (NULL). Keys that can never be limited are decided in plain columns; the others slice by slice.
+    """
+    key_type = requests.schema[key].dataType.simpleString()
+    coded_rows = requests.select(
+        coded(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), F.col(request_id).cast("long").alias("_id"), rate.cast("long").alias("rate")
     )
+    whole = F.col("_us").isNotNull() & F.col("rate").isNotNull() & F.col("_id").isNotNull()
+    events = coded_rows.filter(whole)
+    flagged = cut_lineage(events.join(write_through(_calm_keys(events)), "key"))
+    none = coded_rows.filter(~whole).select("key", "_us", "_id", F.lit(None).cast("boolean").alias("allowed"), F.lit(None).cast("long").alias("remaining"))
+    decided = _calm_decisions(flagged.filter("calm")).unionByName(_sliced_decisions(flagged.filter("NOT calm"), slice_length)).unionByName(none)
+    return decided.select(decoded("key", key_type).alias(key), F.timestamp_micros("_us").alias(ts), F.col("_id").alias(request_id), "allowed", "remaining")
 
 
 def limit_stream(requests: DataFrame, key: str, ts: str, request_id: str, rate: str) -> DataFrame:

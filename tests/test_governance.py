@@ -104,6 +104,14 @@ def test_trim_and_orphans(spark):
     entries = spark.range(1000).selectExpr("id AS entry_id", "if(id % 3 = 0, 'a', 'b') AS stream", "timestamp_seconds(id div 10) AS enqueued_at")
     kept = J.newest_per_stream(entries, 20).groupBy("stream").agg(F.count("*").alias("n"), F.min("entry_id").alias("low")).orderBy("stream").collect()
     assert [(r.n, r.low) for r in kept] == [(20, 942), (20, 970)]
+    ids = spark.range(1000).selectExpr("concat(id div 13, '-', id % 13) AS entry_id", "'a' AS stream", "timestamp_seconds(id div 300) AS enqueued_at", "id")
+    kept = {r.id for r in J.newest_per_stream(ids, 25).collect()}
+    assert kept == set(range(975, 1000))
+    nulls = ids.withColumn("enqueued_at", F.when(F.col("id") >= 5, F.col("enqueued_at"))).withColumn("stream", F.when(F.col("id") % 2 == 0, "a"))
+    assert sorted(r.id for r in J.newest_per_stream(nulls, 499).collect()) == sorted({*range(3, 1000, 2), *range(2, 1000, 2)})
+    claims = ids.selectExpr("stream", "'g' AS grp", "entry_id", "70000L AS idle_ms", "id")
+    none = claims.filter("false").select("stream", "grp", "entry_id")
+    assert {r.id for r in J.orphaned_entries(claims, none, 30).collect()} == set(range(30))
     claims = spark.range(500).selectExpr("'s' AS stream", "'g' AS grp", "id AS entry_id", "if(id % 2 = 0, 60000L, 59999L) AS idle_ms")
     acks = claims.filter("entry_id % 4 = 0").select("stream", "grp", "entry_id")
     got = [r.entry_id for r in J.orphaned_entries(claims, acks).orderBy("entry_id").collect()]
@@ -145,3 +153,20 @@ def test_usage(spark):
     usage = spark.createDataFrame([("o", "2024-01-05 00:00:00", 400, 10, True), ("o", "2024-01-31 23:00:00", 200, 1 << 31, False), ("o", "2024-02-01 00:00:00", 1, 1, True)], "owner string, ts string, credits long, bytes long, success boolean").withColumn("ts", F.to_timestamp("ts"))
     got = A.usage_rollup(usage, plans).orderBy("month").collect()
     assert [(r.credits, r.requests, r.succeeded, r.over_credits, r.over_bandwidth) for r in got] == [(600, 2, 1, True, True), (1, 1, 1, False, False)]
+
+
+def test_shipped_cap_limits_rows_where_they_are_read(spark, tmp_path):
+    path = str(tmp_path / "entries")
+    spark.range(40_000).selectExpr("concat(id, '-0') AS entry_id", "'s' AS stream", "timestamp_seconds(id) AS enqueued_at").write.parquet(path)
+    kept = J.newest_per_stream(spark.read.parquet(path))
+    assert kept.count() == J.STREAM_CAP
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    before_exchange = plan[plan.rindex("Exchange hashpartitioning"):]
+    assert "BroadcastHashJoin" in before_exchange and ">= _limit" in before_exchange
+
+
+def test_repeated_rows_count_once(spark):
+    jobs = spark.createDataFrame([("j", "r")], "job_id string, requested string")
+    tried = spark.createDataFrame([], "job_id string, strategy string, ok boolean, page string")
+    plain = spark.createDataFrame([("j", False, "x"), ("j", True, "y")], "job_id string, ok boolean, page string")
+    assert [(r.ok, r.page) for r in J.extractor_chain(jobs, tried, plain).collect()] == [(True, "y")]

@@ -124,3 +124,23 @@ def test_status_stream(spark, tmp_path):
     last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out").iterdir())
     got = {r.job_id: r.status for r in spark.read.parquet(str(tmp_path / f"out/snapshot={last}")).collect()}
     assert last == 2 and got == {"a": "completed", "b": "running", "c": "queued"}
+
+
+def test_rows_without_key_or_time(spark):
+    rows = [(None, 1_000_000 * i, i, 2) for i in range(5)] + [("k", None, 10, 2), ("k", 0, 11, 2), (None, None, 12, 2), ("k", 5, 13, None), ("", 1, 14, 2)]
+    df = spark.createDataFrame(rows, "k string, us long, id long, rate long").withColumn("ts", F.timestamp_micros("us"))
+    got = {r.id: (r.k, r.allowed) for r in B.limit_requests(df, "k", "ts", "id", F.col("rate")).collect()}
+    assert got == {**{i: (None, i < 2) for i in range(5)}, 10: ("k", None), 11: ("k", True), 12: (None, None), 13: ("k", None), 14: ("", True)}
+    got = {r.id: (r.k, r.emitted, r.suppressed) for r in T.throttle_log(df.filter("rate IS NOT NULL"), "k", "ts", "id").collect()}
+    assert got == {**{i: (None, i == 0, 0 if i == 0 else None) for i in range(5)}, 10: ("k", None, None), 11: ("k", True, 0), 12: (None, None, None), 14: ("", True, 0)}
+
+
+def test_calm_keys_need_no_slices(spark):
+    rnd = random.Random(6)
+    rows = [(f"k{k}", 1_700_000_000_000_000 + t, k * 1000 + i, rate) for k in range(30) for rate in [rnd.choice([1, 3, 10])] for i, t in enumerate(sorted(rnd.randrange(0, 600_000_000) for _ in range(rnd.choice([1, 4, 9]))))]
+    df = spark.createDataFrame(rows, "k string, us long, id long, rate long").withColumn("ts", F.timestamp_micros("us"))
+    got = {r.id: (r.allowed, r.remaining) for r in B.limit_requests(df, "k", "ts", "id", F.col("rate")).collect()}
+    assert got == expected_bucket(rows)
+    coded = df.select(F.col("k").alias("key"), F.col("us").alias("_us"), F.col("id").alias("_id"), "rate")
+    calm = {r.key for r in B._calm_keys(coded).filter("calm").collect()}
+    assert calm and all(got[r[2]][0] for r in rows if r[0] in calm)
