@@ -18,7 +18,7 @@ from pagewright.functions.sql import fn as F
 from pagewright.functions.urls import normalize_url, url_parts
 from pagewright.operators.pages import anchor_hrefs, crawl_title, followed_links
 from pagewright.operators.rows import explode_array
-from pagewright.session import write_through
+from pagewright.session import cut_lineage, write_through
 from pagewright.sources.snapshot import FETCH_FAILED, cap_body, fetch_error
 
 CRAWL_BYTE_LIMIT = 100 * 1024 * 1024
@@ -52,6 +52,12 @@ def crawl_site(snapshot: DataFrame, key: str = "page_id") -> DataFrame:
     return narrow.groupBy("_norm").agg(S.min_by("_page", S.col(f"_page.{key}")).alias("_page")).select("_norm", "_page.*")
 
 
+def placed_site(site: DataFrame) -> DataFrame:
+    """The site dealt out and sorted by URL once; every level then joins it where it lies and moves only its own rows."""
+    parts = int(site.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return cut_lineage(site.repartition(parts, "_norm").sortWithinPartitions("_norm"))
+
+
 def _seeds(jobs: DataFrame) -> DataFrame:
     seeds = jobs.withColumn("_p", url_parts(F.col("url")).col)
     return seeds.select(
@@ -79,7 +85,7 @@ def crawl(jobs: DataFrame, snapshot: DataFrame, key: str = "page_id", byte_limit
     seeds = write_through(_seeds(jobs).filter("_seed_ok").drop("_seed_ok"))
     limits = seeds.agg(S.max("_max_pages"), S.max("_max_depth")).first()
     most_pages, most_depth = limits[0] or 0, limits[1] or 0
-    site = write_through(crawl_site(snapshot, key))
+    site = placed_site(crawl_site(snapshot, key))
     one, zero = S.lit(1).cast("long"), S.lit(0).cast("long")
     frontier = seeds.filter("_max_pages > 0").select("job_id", "url", "_norm", one.alias("rank"), zero.alias("_used"), *_RULES)
     levels: list[DataFrame] = []
@@ -97,7 +103,7 @@ def crawl(jobs: DataFrame, snapshot: DataFrame, key: str = "page_id", byte_limit
 
 def _fetch(frontier: DataFrame, site: DataFrame, depth: int, byte_limit: int, key: str) -> DataFrame:
     """Outcome of every page of a level, with the byte budget applied in rank order (C4)."""
-    met = frontier.join(site, "_norm", "left")
+    met = frontier.hint("merge").join(site, "_norm", "left")
     error = S.when(S.col(key).isNull(), S.lit(FETCH_FAILED)).otherwise(S.col("_error"))
     bytes_ = S.coalesce("_bytes", S.lit(0).cast("long"))
     in_order = Window.partitionBy("job_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)

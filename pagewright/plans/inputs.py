@@ -90,8 +90,8 @@ SITE_HTML = (
     "<a href=\"http://other.example/n1\">o</a><a href=\"mailto:x@y\">m</a>' || replace(html, '<a ', '<i ')"
 )
 CRAWL_PAGES = f"SELECT page_id, {SITE_URL} AS url, {STATUS} AS status, {CONTENT_TYPE} AS content_type, {SITE_HTML} AS html FROM pages"
-CRAWL_JOBS = f"""SELECT site, 'http://site' || CAST(site AS STRING) || '.example/n0' AS url, 5 + (site % 7) * 5 AS max_pages,
- 1 + site % 5 AS max_depth FROM (SELECT DISTINCT {_SITE} AS site FROM pages) AS s"""
+CRAWL_JOBS = f"""SELECT site, 'http://site' || CAST(site AS STRING) || '.example/n0' AS url, 3 + (site % 5) * 4 AS max_pages,
+ 2 + site % 4 AS max_depth FROM (SELECT DISTINCT {_SITE} AS site FROM pages) AS s"""
 
 # Event time squeezed so that limits and throttles bite.
 # Some events have no type, some no user, some no time.

@@ -217,16 +217,23 @@ def crawl_bfs(spark, folder):
 
 def crawl_budget(spark, folder):
     asked, snapshot = _crawl_inputs(spark, folder)
-    return crawls.crawl(asked, snapshot, byte_limit=30_000).select("job_id", "rank", "depth", "bytes", "error")
+    return crawls.crawl(asked, snapshot, byte_limit=9_000).select("job_id", "rank", "depth", "bytes", "error")
+
+
+def _with_bad_seed(asked):
+    bad = asked.limit(1).withColumns({"job_id": S.lit("job-bad"), "url": S.lit("http://example.com/%zz")})
+    return asked.unionByName(bad)
 
 
 def crawl_summary(spark, folder):
     asked, snapshot = _crawl_inputs(spark, folder)
+    asked = _with_bad_seed(asked)
     return crawls.crawl_summary(asked, crawls.crawl(asked, snapshot))
 
 
 def crawl_status(spark, folder):
     asked, snapshot = _crawl_inputs(spark, folder)
+    asked = _with_bad_seed(asked)
     return crawls.crawl_status_events(asked, crawls.crawl(asked, snapshot))
 
 
