@@ -113,6 +113,12 @@ MARKDOWN = """CASE doc_id % 4
  WHEN 2 THEN replace(text, '.' || chr(10), '.' || chr(10) || '## Part' || chr(10) || chr(10))
  ELSE text END"""
 
+# Pages with every Markdown element, made from the words of a document.
+ELEMENT_WORDS = "SELECT doc_id, 'Doc ' || CAST(doc_id AS STRING) AS a, 'w' || regexp_extract(text, '[A-Za-z]+ [A-Za-z]+', 0) AS b, 'v' || regexp_extract(text, '[a-z]{3,}', 0) AS c FROM documents"
+ELEMENT_PAGES = f"""SELECT doc_id, concat('<h2>', a, '</h2><p>', b, ' <a href="/p', c, '">', c, '</a> <img src="', c, '.png" alt="', a, '"> <a>n</a></p><ul><li>', b, '<ol><li>',
+ c, '</li><li>y</li></ol></li><li>x', c, '</li></ul><pre><code>', a, '  {{', chr(10), '  ', c, ' &lt; 1', chr(10), '}}</code></pre><blockquote><p>', b, '</p><p>', c,
+ '</p></blockquote><hr><h6>', c, '</h6><p><b>', a, '</b> <em>', b, '</em> <code>', c, '</code> t<br>u</p><aside>', c, '</aside>') AS html FROM ({ELEMENT_WORDS}) AS w"""
+
 # One request per order; one owner per customer, one plan per market segment.
 REQUESTS = """SELECT o_orderkey AS request_id, o_custkey AS owner,
   CASE o_orderkey % 3 WHEN 0 THEN 'scrape' WHEN 1 THEN 'crawl' ELSE 'extract' END AS kind,

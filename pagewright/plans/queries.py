@@ -184,6 +184,23 @@ def page_markdown_browser(spark, folder):
     return markdown.page_markdown(read_pages(spark, folder), dialect="browser")
 
 
+def _elements(spark, folder, dialect):
+    pages = I.derive(spark, folder, I.ELEMENT_PAGES, "documents")
+    return markdown.page_markdown(pages, "doc_id", dialect=dialect)
+
+
+def markdown_elements(spark, folder):
+    return _elements(spark, folder, "fast")
+
+
+def markdown_elements_ai(spark, folder):
+    return _elements(spark, folder, "ai")
+
+
+def markdown_elements_browser(spark, folder):
+    return _elements(spark, folder, "browser")
+
+
 def output_format(spark, folder):
     sql = "SELECT page_id, html, 'md' || CAST(page_id AS STRING) AS markdown, CASE page_id % 4 WHEN 0 THEN 'html' WHEN 1 THEN 'text' WHEN 2 THEN 'pdf' ELSE 'markdown' END AS format FROM pages"
     df = I.derive(spark, folder, sql, "pages")
@@ -467,7 +484,7 @@ QUERIES = {
         url_parts, url_parts_lenient, url_normalize, url_normalize_dedup, url_redact, url_skip, url_routing, url_routing_lenient,
         route_distribution, route_log, response_routing, private_ip, url_safety, url_safety_browser, redirect_safety, fetch_outcome,
         page_tokens, page_title, page_metadata, page_metadata_browser, page_links, page_links_filtered, page_text, page_markdown,
-        page_markdown_ai, page_markdown_browser, output_format, crawl_bfs, crawl_budget, crawl_summary, crawl_status, chunk_headings,
+        page_markdown_ai, page_markdown_browser, markdown_elements, markdown_elements_ai, markdown_elements_browser, output_format, crawl_bfs, crawl_budget, crawl_summary, crawl_status, chunk_headings,
         chunk_pack, prompt_table, response_parse, admission_verdicts, crawl_caps, request_payloads, owner_hash, access_log, key_check,
         signed_plan, token_bucket, token_bucket_owners, reject_throttle, usage_rollup, queue_entries, queue_trim, queue_trim_shipped, orphans,
         job_latest_status, job_lookup, extractor_chain, job_results, queue_health, overall_status,
