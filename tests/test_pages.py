@@ -7,20 +7,20 @@ from pagewright.operators import pages as P
 X = F.col("x")
 
 
-def _table(spark, htmls, url="https://example.com/start"):
+def _table(spark, htmls, url="https://pier.example/log"):
     return spark.createDataFrame([(i, url, h) for i, h in enumerate(htmls)], "page_id int, url string, html string")
 
 
 def test_links(spark):
-    html = """<a href="/page1">1</a><A HREF=https://other.com/ext>2</A><a href="#fragment"><a href="javascript:void(0)"><a href="mailto:t@t.com">
-    <a href=""><!-- <a href=/no> --><script>"<a href=/no2>"</script><a title="x>y" href='/p?a=1&amp;b=2' href=/dup><a href="/page1#z"><div t="<a href=/no3>"><a href="/cut"""
+    html = """<a href="/tides">1</a><A HREF=https://buoy.example/7>2</A><a href="#noon"><a href="javascript:tide()"><a href="mailto:crew@pier.example">
+    <a href=""><!-- <a href=/no> --><script>"<a href=/no2>"</script><a title="x>y" href='/p?a=1&amp;b=2' href=/dup><a href="/tides#z"><div t="<a href=/no3>"><a href="/cut"""
     got = [r.link for r in P.page_links(_table(spark, [html])).orderBy("pos").collect()]
-    assert got == ["https://example.com/page1", "https://other.com/ext", "https://example.com/p?a=1&b=2", "https://example.com/dup"]
+    assert got == ["https://pier.example/tides", "https://buoy.example/7", "https://pier.example/p?a=1&b=2", "https://pier.example/dup"]
 
 
 def test_relative_links(spark):
-    got = P.page_links(_table(spark, ['<a href="sub/page"></a><a href=" ../other ">'], "https://example.com/docs/intro")).orderBy("pos").collect()
-    assert [r.link for r in got] == ["https://example.com/docs/sub/page", "https://example.com/other"]
+    got = P.page_links(_table(spark, ['<a href="noon/high"></a><a href=" ../berths ">'], "https://pier.example/log/may")).orderBy("pos").collect()
+    assert [r.link for r in got] == ["https://pier.example/log/noon/high", "https://pier.example/berths"]
 
 
 def test_link_filter(evaluate):
@@ -32,8 +32,8 @@ def test_link_filter(evaluate):
 
 
 def test_titles(evaluate):
-    htmls = ["<title>Hello World</title>", "<title>  Trimmed  </title>", "<p>none</p>", "<title></title><title>B &lt;i&gt;</title>", "<!-- <title>no</title> --><TITLE a=b>Y</title >"]
-    assert evaluate(htmls, P.crawl_title(H.tag_array(X))) == ["Hello World", "Trimmed", "", "B <i>", "Y"]
+    htmls = ["<title>Tide log</title>", "<title>\t North pier </title>", "<b>no title</b>", "<title></title><title>B &lt;i&gt;</title>", "<!-- <title>no</title> --><TITLE a=b>Y</title >"]
+    assert evaluate(htmls, P.crawl_title(H.tag_array(X))) == ["Tide log", "North pier", "", "B <i>", "Y"]
 
 
 def test_metadata(spark):
