@@ -155,16 +155,26 @@ def crawl_caps(df: DataFrame, pages="max_pages", depth="max_depth", timeout="max
 def admit(requests: DataFrame, dns: DataFrame, extraction_available: bool = True) -> DataFrame:
     """Verdict of scrape, crawl and extract requests; first failing rule.
 
-    ``requests`` has (request_id, kind, url, format, extract_schema, plan, ...). Adds http_code, error,
+    ``requests`` has (request_id, kind, url, format, extract_schema, plan, ...), and ``readable`` if some bodies could not be
+    parsed: these are refused first, whatever they hold. Crawls are judged and passed on with their caps applied
+    (``crawl_caps``) if they have them. Adds http_code, error,
     tier, strategy, reason, pinned_ip and, for accepted rows, stream.
     """
+    limits = ("max_pages", "max_depth", "max_timeout")
+    if set(limits) <= set(requests.columns):
+        before = requests.withColumns({f"_{c}": F.col(c) for c in (*limits, "format")})
+        is_crawl = F.col("kind") == "crawl"
+        own = {c: F.when(is_crawl, F.col(c)).otherwise(F.col(f"_{c}")) for c in limits}
+        requests = crawl_caps(before).withColumns({**own, "format": F.col("_format")}).drop(*[f"_{c}" for c in (*limits, "format")])
     checked = validate_urls(requests, "url", dns).withColumn("_route", classify_url(Q.col("url")).col)
     is_extract = F.col("kind") == "extract"
     fmt = F.when(is_extract | (F.coalesce(F.col("format"), F.lit("")) == ""), F.lit("markdown")).otherwise(F.col("format"))
     bad_schema = schema_error(Q.col("extract_schema")).col
     allowed = is_tier_allowed(Q.col("_route.tier"), Q.col("plan.allowed_tiers")).col
+    readable = F.coalesce(F.col("readable"), F.lit(False)) if "readable" in requests.columns else F.lit(True)
     rules = [
         (is_extract & F.lit(not extraction_available), 503, F.lit("extraction service not configured")),
+        (~readable, 400, F.lit("invalid request body")),
         (is_extract & ~F.coalesce(F.col("plan.can_extract"), F.lit(False)), 403, F.lit("extract is not available on your current plan")),
         (F.coalesce(F.col("url"), F.lit("")) == "", 400, F.lit("url is required")),
         (~F.col("url_ok"), 400, F.col("url_error")),

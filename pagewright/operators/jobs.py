@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pagewright.operators.admission import effective_ttl_seconds
 from pagewright.operators.rows import entry_order
 from pagewright.session import cut_lineage, write_through
 
@@ -148,6 +149,13 @@ def upsert_status(current: DataFrame | None, batch: DataFrame, job="job_id", seq
     return latest_status(batch if current is None else current.unionByName(batch), job, seq)
 
 
+def status_writes(events: DataFrame, at: str, ttl_seconds: Column) -> DataFrame:
+    """Status events with ``expires_at`` and ``owner_expires_at``: every write sets both anew, so a job and the
+    record of its owner expire together."""
+    until = F.col(at) + effective_ttl_seconds(ttl_seconds)
+    return events.withColumn("expires_at", until).withColumn("owner_expires_at", until)
+
+
 def lookup_jobs(lookups: DataFrame, jobs: DataFrame, now: str | None = None) -> DataFrame:
     """Job status for its owner only.
 

@@ -76,11 +76,11 @@ def resolved_links(base: Column, hrefs: Column) -> Column:
     return let(base_parts(base), resolve)
 
 
-def page_links(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """H3: (page_id, pos, link). De-duplication stays inside the page's row, so there is no shuffle."""
+def page_links(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """H3: (page_id, keep, pos, link). De-duplication stays inside the page's row, so there is no shuffle."""
     hrefs = anchor_hrefs(H.tag_array(F.col(html)))
-    targets = pages.select(page_id, url, hrefs.alias("_hrefs").col)
-    return explode_array(targets, [page_id], resolved_links(F.col(url), F.col("_hrefs")).col, "pos", "link")
+    targets = pages.select(page_id, *{url: 0, **dict.fromkeys(keep)}, hrefs.alias("_hrefs").col)
+    return explode_array(targets, [page_id, *keep], resolved_links(F.col(url), F.col("_hrefs")).col, "pos", "link")
 
 
 def keep_link(link: Column, seed_host: Column, include: Column, exclude: Column) -> Column:
@@ -150,18 +150,19 @@ def head_metadata(tags: Column) -> Column:
     return let(F.transform(tags, parse), fields)
 
 
-def page_metadata(pages: DataFrame, page_id: str = "page_id", html: str = "html", dialect: str = "fast") -> DataFrame:
-    """H5-H7: one row per page.
+def page_metadata(pages: DataFrame, page_id: str = "page_id", html: str = "html", dialect: str = "fast", keep: tuple[str, ...] = ()) -> DataFrame:
+    """H5-H7: one row per page, with the columns ``keep`` of the page.
 
     ``fast`` falls back to the og fields for title and description; ``browser`` gives "" for what is missing.
     """
     # Only the tags that can carry metadata are kept before anything is parsed.
     wanted = F.filter(H.tag_array(F.col(html)), lambda t: t.rlike(r"(?i)^<(?:title|meta|html)[\s/>]"))
-    m = pages.select(page_id, wanted.alias("_tags").col).select(page_id, head_metadata(F.col("_tags")).alias("m").col)
+    m = pages.select(page_id, *keep, wanted.alias("_tags").col).select(page_id, *keep, head_metadata(F.col("_tags")).alias("m").col)
     if dialect == "browser":
-        return m.select(page_id, *[S.coalesce(f"m.{c}", S.lit("")).alias(c) for c in ("title", "description", "language")])
+        return m.select(page_id, *keep, *[S.coalesce(f"m.{c}", S.lit("")).alias(c) for c in ("title", "description", "language")])
     return m.select(
         page_id,
+        *keep,
         S.coalesce("m.title", "m.og_title").alias("title"),
         S.coalesce("m.description", "m.og_description").alias("description"),
         *[f"m.{c}" for c in ("language", "og_title", "og_description", "og_image", "og_url")],

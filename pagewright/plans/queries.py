@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as S
 from pagewright.functions import urls as U
 from pagewright.functions.addresses import is_private_address
 from pagewright.functions.sql import fn as F
-from pagewright.operators import admission, chunks, crawl as crawls, health, jobs, markdown, pages as P, routing, safety
+from pagewright.operators import admission, chunks, crawl as crawls, health, jobs, markdown, pages as P, routing, safety, scrape
 from pagewright.operators.rows import explode_array
 from pagewright.plans import inputs as I
 from pagewright.sources.snapshot import fetch_outcomes, read_pages, read_table
@@ -156,8 +156,7 @@ def page_links(spark, folder):
 
 
 def page_links_filtered(spark, folder):
-    pages = read_pages(spark, folder)
-    links = P.page_links(pages).join(pages.select("page_id", "url"), "page_id")
+    links = P.page_links(read_pages(spark, folder), keep=("url",))
     seeded = links.withColumn("seed_host", U.url_parts(F.col("url")).col["host"]).withColumns(
         {
             "include": S.when(S.col("page_id") % 2 == 0, S.array(S.lit("/t"), S.lit("/d"))).otherwise(S.array().cast("array<string>")),
@@ -455,9 +454,7 @@ def extractor_chain(spark, folder):
 
 
 def job_results(spark, folder):
-    pages = read_pages(spark, folder)
-    meta = P.page_metadata(pages)
-    rows = meta.join(pages.select("page_id", "url"), "page_id").withColumn("ok", S.col("page_id") % 4 != 0)
+    rows = P.page_metadata(read_pages(spark, folder), keep=("url",)).withColumn("ok", S.col("page_id") % 4 != 0)
     data = jobs.result_data(
         S.col("url"), S.lit(None).cast("string"), S.regexp_replace("title", r'["\\]', ""), S.col("description"), S.col("language"), S.lit(200),
         S.lit("generic"), S.when(S.col("page_id") % 3 == 0, S.lit("hn_thread")),
@@ -465,6 +462,20 @@ def job_results(spark, folder):
     return rows.select("page_id", jobs.job_status_json(S.concat(S.lit("job-"), S.col("page_id")), S.col("ok"), data).alias("status_json"))
 
 
+def scrape_results(spark, folder):
+    asked = I.derive(spark, folder, I.SCRAPES, "pages")
+    requests = admission.with_plan(asked, "owner", _plans(spark, folder))
+    snapshot = I.derive(spark, folder, f"SELECT page_id, url, {I.STATUS} AS status, {I.CONTENT_TYPE} AS content_type, html FROM pages", "pages")
+    dns = I.derive(spark, folder, I.SCRAPE_DNS, "pages")
+    return scrape.scrape_results(requests, snapshot, dns, body_cap=I.SCRAPE_CAP)
+
+
+def status_expiry(spark, folder):
+    rows = I.derive(spark, folder, f"SELECT * FROM ({I.STATUS_EVENTS}) AS s", "events")
+    kept = jobs.latest_status(jobs.status_writes(rows, "seq", admission.result_ttl_seconds(S.col("job_id") % 5 * 6)))
+    return kept.select("job_id", "seq", "status", "expires_at", "owner_expires_at")
+
+
 def _health(spark, folder):
     claims = I.derive(spark, folder, CLAIMS, "events")
     return health.queue_health(claims, claims.filter("stream <> 'stealth_jobs'"), claims.filter("event_id % 4 <> 0"))
@@ -487,6 +498,6 @@ QUERIES = {
         page_markdown_ai, page_markdown_browser, markdown_elements, markdown_elements_ai, markdown_elements_browser, output_format, crawl_bfs, crawl_budget, crawl_summary, crawl_status, chunk_headings,
         chunk_pack, prompt_table, response_parse, admission_verdicts, crawl_caps, request_payloads, owner_hash, access_log, key_check,
         signed_plan, token_bucket, token_bucket_owners, reject_throttle, usage_rollup, queue_entries, queue_trim, queue_trim_shipped, orphans,
-        job_latest_status, job_lookup, extractor_chain, job_results, queue_health, overall_status,
+        job_latest_status, job_lookup, extractor_chain, job_results, scrape_results, status_expiry, queue_health, overall_status,
     )
 }

@@ -26,12 +26,12 @@ def read_pages(spark, folder: str) -> DataFrame:
     return read_table(spark, folder, "pages")
 
 
-def cap_body(html: Expr, mode: str = "truncate") -> Expr:
+def cap_body(html: Expr, mode: str = "truncate", cap: int = BODY_CAP) -> Expr:
     """S3: bodies over the cap are cut (``truncate``) or become NULL (``fail``); sizes are bytes."""
-    over = F.octet_length(html) > BODY_CAP
+    over = F.octet_length(html) > cap
     if mode == "fail":
         return F.when(~over, html)
-    cut = F.make_valid_utf8(F.substring(F.encode(html, "UTF-8"), 1, BODY_CAP).cast("string"))
+    cut = F.make_valid_utf8(F.substring(F.encode(html, "UTF-8"), 1, cap).cast("string"))
     return F.when(over, cut).otherwise(html)
 
 
@@ -67,6 +67,6 @@ def first_keys(snapshot: DataFrame, key: str = "page_id") -> DataFrame:
     return snapshot.filter("url IS NOT NULL").select(key, norm).groupBy("_norm").agg(S.min(key).alias(key))
 
 
-def worker_pages(snapshot: DataFrame) -> DataFrame:
+def worker_pages(snapshot: DataFrame, cap: int = BODY_CAP) -> DataFrame:
     """Pages as the workers see them: bodies over the cap fail, any status is a result."""
-    return snapshot.withColumn("html", cap_body(F.col("html"), "fail").col)
+    return snapshot.withColumn("html", cap_body(F.col("html"), "fail", cap).col)

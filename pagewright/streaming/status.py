@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagewright.operators.jobs import upsert_status
+from pagewright.session import write_through
 
+BUCKETS = 64
 
-def maintain_status(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the latest status per job after every micro-batch.
 
-    Batch ``n`` reads snapshot ``n - 1`` and writes snapshot ``n``; a repeated batch rewrites the same
-    snapshot, so at-least-once delivery gives exactly one result.
+def maintain_status(events: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Keep the latest status per job, in folders by a hash of the job.
+
+    A micro-batch reads and rewrites the folders of its own jobs only, and what they held before is gone. A
+    repeated batch changes nothing, so at-least-once delivery gives exactly one result. The merged rows lie in
+    the shared checkpoint folder before a folder is replaced.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        current = spark.read.parquet(f"{path}/snapshot={batch_id - 1}") if batch_id > 0 else None
-        upsert_status(current, batch).write.mode("overwrite").parquet(f"{path}/snapshot={batch_id}")
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int"))
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        if not touched:
+            return
+        try:
+            current = spark.read.schema(new.schema).parquet(path).filter(F.col("bucket").isin(touched))
+        except AnalysisException:  # nothing written yet
+            current = None
+        merged = write_through(upsert_status(current, new))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

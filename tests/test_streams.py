@@ -121,9 +121,15 @@ def test_status_stream(spark, tmp_path):
     events = [("a", 1, "queued"), ("b", 2, "queued"), ("a", 3, "running"), ("a", 4, "completed"), ("b", 5, "running"), ("c", 6, "queued")]
     stream = _files(spark, events, schema, str(tmp_path / "in"))
     maintain_status(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out").iterdir())
-    got = {r.job_id: r.status for r in spark.read.parquet(str(tmp_path / f"out/snapshot={last}")).collect()}
-    assert last == 2 and got == {"a": "completed", "b": "running", "c": "queued"}
+    stored = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.job_id, r.status) for r in stored.collect()) == [("a", "completed"), ("b", "running"), ("c", "queued")]
+    assert all(len(list(p.glob("*.parquet"))) == 1 for p in (tmp_path / "out").glob("bucket=*"))
+    again = _files(spark, [("a", 9, "failed"), ("a", 3, "running")], schema, str(tmp_path / "in2"))
+    before = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "out").glob("bucket=*/*.parquet")}
+    maintain_status(again, str(tmp_path / "out"), str(tmp_path / "cp2")).awaitTermination(120)
+    assert sorted((r.job_id, r.status) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", "failed"), ("b", "running"), ("c", "queued")]
+    kept = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "out").glob("bucket=*/*.parquet")}
+    assert set(before.items()) & set(kept.items()) and len(kept) == len(before) and kept != before
 
 
 def test_rows_without_key_or_time(spark):
