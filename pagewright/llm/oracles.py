@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pagewright.llm import credentials
+
 #: The white space of the line and word rules, as a list of characters.
 _WS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -15,6 +17,56 @@ OP4 = f"""WITH lines AS ({_LINES}),
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
  FROM (SELECT *, key IN (SELECT key FROM frequent) AS gone FROM lines) GROUP BY doc_id"""
 
+# ---- secrets -----------------------------------------------------------------------------------
+
+
+def _text(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _places(name: str, pattern: str) -> str:
+    """Tables name(doc_id, i, m, s, e): the matches of a pattern with their places, from the pieces between them."""
+    return f"""{name}_r AS (SELECT doc_id, regexp_extract_all(t, {_text(pattern)}) AS ms, regexp_split_to_array(t, {_text(pattern)}) AS ps FROM d),
+ {name}_u AS (SELECT doc_id, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS p, unnest(range(len(ms))) AS i FROM {name}_r),
+ {name}_s AS (SELECT *, CAST(sum(length(p)) OVER w + sum(length(m)) OVER w - length(m) AS BIGINT) AS s FROM {name}_u WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ {name} AS (SELECT *, s + length(m) AS e FROM {name}_s)"""
+
+
+def _secret_sql() -> str:
+    base = ", ".join(_places(kind, pattern) for kind, pattern, _, _ in credentials.BASE)
+    kept = " UNION ALL ".join(
+        f"SELECT doc_id, s, {rank} AS rank, e, '{kind}' AS kind FROM {kind} WHERE length(regexp_extract(m, {_text(pattern)}, {group})) >= {least}"
+        for rank, (kind, pattern, group, least) in enumerate(credentials.BASE)
+    )
+    starts = lambda name: f"regexp_matches(m, {_text('^(?i:' + credentials.PARTS[name] + ')')})"
+    kinds = " ".join(f"WHEN {starts(k)} THEN '{k}'" for k in ("secret", "access", "ident", "endpoint"))
+    named = _text(r"^(?i:pwd|passphrase|credential|private_?key|auth_?key)[^:=]*[:=]")
+    links = " OR ".join(f"(p.kind = '{k}' AND q.kind IN ({', '.join(map(_text, v))}))" for k, v in credentials.LINKS.items())
+    ranks = " ".join(f"WHEN '{k}' THEN {credentials.RANK[k]}" for k in credentials.LINKS)
+    joined = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank), '')"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {base}, base AS ({kept}),
+ {_places("part", credentials.COMBINED)},
+ parts AS (SELECT *, CASE WHEN starts_with(m, chr(10)) THEN NULL {kinds} WHEN regexp_matches(m, {named}) OR (regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]')) THEN 'key' END AS kind,
+   count(*) FILTER (WHERE starts_with(m, chr(10))) OVER (PARTITION BY doc_id ORDER BY i) AS scope FROM part),
+ linked AS (SELECT doc_id, s, CASE kind {ranks} END AS rank, e, kind FROM parts AS p WHERE EXISTS (SELECT 1 FROM parts AS q WHERE q.doc_id = p.doc_id AND q.scope = p.scope AND q.s - p.e <= {credentials.NEAR} AND p.s - q.e <= {credentials.NEAR} AND ({links}))),
+ b AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex, {joined} AS base FROM base GROUP BY doc_id),
+ a AS (SELECT doc_id, {joined} AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM linked) GROUP BY doc_id)
+ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+ FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)"""
+
+
+# ---- near duplicates ---------------------------------------------------------------------------
+
+#: All pairs that share a shingle, and the closure of their links; for small tables.
+OP5 = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+ sets AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+   ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS xs FROM w),
+ n AS (SELECT doc_id, CAST(len(xs) AS BIGINT) AS n FROM sets), s AS (SELECT doc_id, unnest(xs) AS x FROM sets),
+ pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+ links AS (SELECT a, b FROM pairs JOIN n AS na ON na.doc_id = a JOIN n AS nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+ reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+ SELECT doc_id, any_value(n) AS n_shingles, min(reach.b) AS component_id FROM n JOIN reach ON reach.a = doc_id GROUP BY doc_id"""
+
 OP9 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
  p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
@@ -22,4 +74,4 @@ OP9 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floo
  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM p)
  SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
-ORACLES = {"op4_line_dedup": OP4, "op9_top_products": OP9}
+ORACLES = {"op2_secret_scan": _secret_sql(), "op4_line_dedup": OP4, "op5_shingle_join": OP5, "op9_top_products": OP9}
