@@ -1,7 +1,7 @@
 """Sequential rules over ordered events, cut into time slices so that no key has to fit in one task.
 
 A rule like a token bucket depends on all earlier events of its key. Each (key, time slice) is reduced
-to a small summary of what it does to the state; one short pass per key over the summaries gives every
+to a small summary of what it does to the state; short passes per key over the summaries give every
 slice its exact starting state; then all slices run in parallel. The slice length follows the densest
 key, so a key with a third of all rows only has more slices.
 """
@@ -56,7 +56,8 @@ def per_slice(slices: DataFrame, fn: Callable, schema: str) -> DataFrame:
 def scan_summaries(summaries: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """Run ``fn(list of summaries in slice order) -> list of dicts`` once per key.
 
-    A key has one summary row per slice, so the list is bounded by the time span, not by the rows.
+    A summary is a few hundred numbers at most, whatever its slice holds, and a slice holds about ``ROWS_PER_SLICE``
+    rows of its densest key; a key with fewer rows a second has longer slices.
     """
     fields = [c for c in summaries.columns if c != "key"]
     grouped = summaries.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("slice", *[c for c in fields if c != "slice"]))).alias("s"))

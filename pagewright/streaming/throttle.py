@@ -1,8 +1,8 @@
 """Throttled reject log per reason (G15): exact batch form and streaming form.
 
 A line is written when at least the interval has passed since the last written line of its reason, and
-it reports how many were held back since. Where a slice starts matters only through the earliest time a
-line may be written; a slice maps that time to the one it leaves behind, a step function with few steps.
+it reports how many were held back since. That is a token bucket of one token that refills in the interval:
+a line is written where a token is left. The counts then follow from one number per slice.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagewright.session import cut_lineage
-from pagewright.streaming.slices import MICROS, coded, cut_slices, decoded, per_slice, scan_summaries, slice_micros
+from pagewright.streaming.slices import MICROS, coded, decoded, per_slice, scan_summaries
+from pagewright.streaming.token_bucket import slice_decisions
 
 # Why a signed plan was refused.
 REJECT_REASONS = ("bad_signature", "bad_timestamp", "stale_timestamp", "bad_owner", "bad_plan_encoding", "bad_plan_json")
@@ -23,31 +24,6 @@ INTERVAL_SECONDS = 10
 _ALWAYS = -(1 << 62)
 
 
-def _exit_summary(row) -> dict:
-    """Steps (bound, leave): a first line at or before ``bound`` leads to ``leave`` as the next free time."""
-    ts, gap = np.asarray(row.ts, dtype="int64"), int(row.gap)
-    following = np.searchsorted(ts, ts + gap)
-    leave = ts + gap
-    for i in range(len(ts) - 1, -1, -1):
-        if following[i] < len(ts):
-            leave[i] = leave[following[i]]
-    # An earlier line lies before the slice, so only events up to its first interval can come first.
-    first = int(np.searchsorted(ts, int(row.start) + gap)) + 1
-    ts, leave = ts[:first], leave[:first]
-    last_of_step = np.append(leave[1:] != leave[:-1], True)
-    return {"key": row.key, "slice": row.slice, "bound": ts[last_of_step].tolist(), "leave": leave[last_of_step].tolist()}
-
-
-def _scan_free(summaries: list) -> list[dict]:
-    out, free = [], _ALWAYS
-    for s in summaries:
-        out.append({"slice": s["slice"], "free": free})
-        step = int(np.searchsorted(np.asarray(s["bound"], dtype="int64"), free))
-        if step < len(s["leave"]):
-            free = int(s["leave"][step])
-    return out
-
-
 def _written(ts: np.ndarray, free: int, gap: int) -> list[int]:
     lines, i = [], int(np.searchsorted(ts, free))
     while i < len(ts):
@@ -57,9 +33,9 @@ def _written(ts: np.ndarray, free: int, gap: int) -> list[int]:
 
 
 def _edges(row) -> dict:
-    ts = np.asarray(row.ts, dtype="int64")
-    lines = _written(ts, int(row.free), int(row.gap))
-    return {"key": row.key, "slice": row.slice, "free": int(row.free), "writes": bool(lines), "after": len(ts) - lines[-1] - 1 if lines else len(ts)}
+    """Whether a slice writes, and how many events come after its last line."""
+    lines = np.flatnonzero(np.asarray(row.allowed, dtype=bool))
+    return {"key": row.key, "slice": row.slice, "writes": bool(len(lines)), "after": len(row.allowed) - int(lines[-1]) - 1 if len(lines) else len(row.allowed)}
 
 
 def _scan_held(summaries: list) -> list[dict]:
@@ -71,11 +47,10 @@ def _scan_held(summaries: list) -> list[dict]:
 
 
 def _mark(row) -> dict:
-    ts = np.asarray(row.ts, dtype="int64")
-    emitted, suppressed = np.zeros(len(ts), dtype=bool), [None] * len(ts)
+    emitted, suppressed = np.asarray(row.allowed, dtype=bool), [None] * len(row.ts)
     held, previous = int(row.held), -1
-    for i in _written(ts, int(row.free), int(row.gap)):
-        emitted[i], suppressed[i] = True, held + i - previous - 1
+    for i in np.flatnonzero(emitted).tolist():
+        suppressed[i] = held + i - previous - 1
         held, previous = 0, i
     return {"key": row.key, "ts": row.ts, "id": row.id, "emitted": emitted.tolist(), "suppressed": suppressed}
 
@@ -88,19 +63,12 @@ def throttle_log(events: DataFrame, reason: str, ts: str, event_id: str, interva
     gap, kind = interval_seconds * MICROS, events.schema[reason].dataType.simpleString()
     coded_rows = events.select(coded(reason).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), F.col(event_id).cast("long").alias("_id"))
     whole = F.col("_us").isNotNull() & F.col("_id").isNotNull()
-    rows = coded_rows.filter(whole)
-    micros = slice_length or slice_micros(rows, "key", "_us")
-    cut = cut_slices(rows, "key", "_us", "_id", [], micros)
-    slices = cut_lineage(cut.withColumns({"gap": F.lit(gap), "start": F.col("slice") * micros}))
-    exits = per_slice(slices.select("key", "slice", "ts", "gap", "start"), _exit_summary, "key string, slice long, bound array<long>, leave array<long>")
-    free = scan_summaries(exits, _scan_free, "key string, slice long, free long")
-    edges = cut_lineage(
-        per_slice(slices.select("key", "slice", "ts", "gap").join(free, ["key", "slice"]), _edges, "key string, slice long, free long, writes boolean, after long")
-    )
-    held = scan_summaries(edges.select("key", "slice", "writes", "after"), _scan_held, "key string, slice long, held long")
-    start = edges.select("key", "slice", "free").join(held, ["key", "slice"])
+    rows = coded_rows.filter(whole).withColumn("rate", F.lit(1).cast("long"))
+    decided = cut_lineage(slice_decisions(rows, slice_length, token=gap, full_after=gap).drop("remaining"))
+    edges = per_slice(decided.select("key", "slice", "allowed"), _edges, "key string, slice long, writes boolean, after long")
+    held = scan_summaries(edges, _scan_held, "key string, slice long, held long")
     marked = per_slice(
-        slices.join(start, ["key", "slice"]), _mark, "key string, ts array<long>, id array<long>, emitted array<boolean>, suppressed array<long>"
+        decided.join(held, ["key", "slice"]), _mark, "key string, ts array<long>, id array<long>, emitted array<boolean>, suppressed array<long>"
     )
     flat = marked.select("key", F.explode(F.arrays_zip("ts", "id", "emitted", "suppressed")).alias("r")).select("key", F.col("r.ts").alias("_us"), F.col("r.id").alias("_id"), "r.emitted", "r.suppressed")
     none = coded_rows.filter(~whole).select("key", "_us", "_id", F.lit(None).cast("boolean").alias("emitted"), F.lit(None).cast("long").alias("suppressed"))

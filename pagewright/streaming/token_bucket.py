@@ -9,15 +9,21 @@ denied requests too (never below zero). Then x - L is always less than one token
 * L changes by steps "add, then clamp to a range", which compose to a step of the same kind, so a slice
   is summarized by three numbers;
 * given L, the rest d = x - L changes only by "d = (d + L) mod token" where L could not pay and
-  "d = min(d, capacity - L)" close to a full bucket, so a slice is summarized by those operations.
+  "d = min(d, capacity - L)" close to a full bucket. Seen on a circle of one token, both keep the order of
+  values, so a slice maps an interval of rests to the interval between the images of its ends.
 
-Both summaries are scanned per key, and the slices then decide their requests from the exact x.
+The rest at a slice's start is first known to lie anywhere. Each round tells every slice's images of a few
+hundred points of its interval; one scan per key then bounds the rest at every start by two of them. The
+intervals shrink by that factor from round to round, and at least one more slice of a key becomes exact in
+each. No summary grows with the rows of its slice. The slices then decide their requests from the exact x.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -28,37 +34,38 @@ from pagewright.streaming.slices import coded, cut_slices, decoded, per_slice, s
 TOKEN = 60_000_000
 FULL_AFTER = 60_000_000  # microseconds in which any bucket refills completely
 IDLE_TIMEOUT_MS = 5 * 60 * 1000
+POINTS = 256  # of a slice's interval of rests whose images one round tells
 _UNBOUNDED = 1 << 62
 
 
-def refill(tokens: int, elapsed: int, rate: int) -> int:
-    return min(rate * TOKEN, tokens + rate * min(elapsed, FULL_AFTER))
+def refill(tokens: int, elapsed: int, rate: int, token: int = TOKEN, full_after: int = FULL_AFTER) -> int:
+    return min(rate * token, tokens + rate * min(elapsed, full_after))
 
 
-def decide(tokens: int, last: int | None, ts, rate) -> tuple[int, list[bool], list[int]]:
+def decide(tokens: int, last: int | None, ts, rate, token: int = TOKEN, full_after: int = FULL_AFTER) -> tuple[int, list[bool], list[int]]:
     """Run requests in order from a bucket content; returns the content, decisions and remaining tokens."""
     allowed, remaining = [], []
     for t, r in zip(ts, rate):
         t, r = int(t), int(r)
-        tokens = r * TOKEN if last is None else refill(tokens, t - last, r)
+        tokens = r * token if last is None else refill(tokens, t - last, r, token, full_after)
         last = t
-        ok = tokens >= TOKEN
+        ok = tokens >= token
         if ok:
-            tokens -= TOKEN
+            tokens -= token
         allowed.append(ok)
-        remaining.append(tokens // TOKEN if ok else 0)
+        remaining.append(tokens // token if ok else 0)
     return tokens, allowed, remaining
 
 
-def _clamp_summary(row) -> dict:
+def clamp_summary(row, token: int, full_after: int) -> dict:
     """Effect of a slice on L, from just after the refill at its first request."""
     shift, low, high, last = 0, 0, _UNBOUNDED, None
     for t, r in zip(row.ts, row.rate):
         t, r = int(t), int(r)
         if last is not None:
-            gain, cap = r * min(t - last, FULL_AFTER), r * TOKEN
+            gain, cap = r * min(t - last, full_after), r * token
             shift, low, high = shift + gain, min(low + gain, cap), min(high + gain, cap)
-        shift, low, high = shift - TOKEN, max(low - TOKEN, 0), max(high - TOKEN, 0)
+        shift, low, high = shift - token, max(low - token, 0), max(high - token, 0)
         last = t
     return {
         "key": row.key, "slice": row.slice, "first_ts": int(row.ts[0]), "last_ts": int(row.ts[-1]), "first_rate": int(row.rate[0]),
@@ -66,60 +73,109 @@ def _clamp_summary(row) -> dict:
     }
 
 
-def _scan_lower(summaries: list) -> list[dict]:
+def scan_lower(summaries: list, token: int, full_after: int) -> list[dict]:
     """L after the refill at the first request of every slice."""
     out, level, last = [], None, None
     for s in summaries:
-        level = s["first_rate"] * TOKEN if last is None else refill(level, s["first_ts"] - last, s["first_rate"])
+        level = s["first_rate"] * token if last is None else refill(level, s["first_ts"] - last, s["first_rate"], token, full_after)
         out.append({"slice": s["slice"], "lower": level, "opens": last is None})
         level = min(s["high"], max(s["low"], level + s["shift"]))
         last = s["last_ts"]
     return out
 
 
-def _rest_summary(row) -> dict:
-    """Operations of a slice on d: a number >= 0 rotates d, a number -1-m caps d at m."""
-    ops: list[int] = []
+def rest_steps(row, token: int, full_after: int) -> Iterator[int]:
+    """What a slice does to d: a number >= 0 rotates d, a number -1-m caps d at m."""
     level, last = int(row.lower), None
     for t, r in zip(row.ts, row.rate):
         t, r = int(t), int(r)
         if last is not None:
-            level = refill(level, t - last, r)
+            level = refill(level, t - last, r, token, full_after)
         last = t
-        room = r * TOKEN - level
-        if room == 0:
-            ops = [-1]
-        elif room < TOKEN:
-            if ops and ops[-1] < 0:
-                ops[-1] = max(ops[-1], -1 - room)
-            else:
-                ops.append(-1 - room)
-        if level >= TOKEN:
-            level -= TOKEN
+        room = r * token - level
+        if room < token:
+            yield -1 - room
+        if level >= token:
+            level -= token
         else:
-            if ops and ops[-1] >= 0:
-                ops[-1] = (ops[-1] + level) % TOKEN
-            else:
-                ops.append(level)
+            yield level
             level = 0
-    return {"key": row.key, "slice": row.slice, "lower": int(row.lower), "ops": ops}
 
 
-def _scan_rest(summaries: list) -> list[dict]:
-    out, rest = [], 0
+def rest_images(row, token: int, full_after: int, points: int = POINTS) -> dict:
+    """Images of evenly spaced points of the interval (lo, hi) of rests under a slice, on the line that winds
+    around the circle of one token; their order is the points'."""
+    lo, hi = int(row.lo), int(row.hi)
+    n = min(points, hi - lo)
+    at = [lo + (hi - lo) * i // n for i in range(n + 1)] if n else [lo]
+    y, group, steps = np.array(at, dtype=np.int64), np.arange(len(at)), 0
+    for step in rest_steps(row, token, full_after):
+        if step >= 0:
+            y += step
+        else:
+            np.minimum(y, y // token * token - 1 - step, out=y)
+            steps += 1
+            if steps % 64 == 0 and len(y) > 1:  # points that met stay together
+                y, same = np.unique(y, return_inverse=True)
+                group = same[group]
+    return {"key": row.key, "slice": row.slice, "lo": lo, "hi": hi, "points": at, "images": y[group].tolist()}
+
+
+def scan_rests(summaries: list, token: int) -> list[dict]:
+    """Interval of the rest at the start of every slice, from that of the first, by the images of the last round."""
+    out, low, high = [], 0, 0
     for s in summaries:
-        out.append({"slice": s["slice"], "rest": rest})
-        for op in s["ops"]:
-            rest = (rest + int(op)) % TOKEN if op >= 0 else min(rest, -1 - int(op))
+        if high - low >= token - 1:
+            low, high = 0, token - 1
+        out.append({"slice": s["slice"], "lo": low, "hi": high})
+        # The points cover the interval; a turn of the circle further, images are a token higher.
+        turn, below = divmod(low - s["lo"], token)
+        first = bisect_right(s["points"], s["lo"] + below) - 1
+        image_low = s["images"][first] + turn * token
+        turn, below = divmod(high - s["lo"], token)
+        last = bisect_left(s["points"], s["lo"] + below)
+        image_high = (s["images"][last] if last < len(s["points"]) else s["images"][0] + token) + turn * token
+        base = image_low // token * token
+        low, high = image_low - base, image_high - base
     return out
 
 
-def _decide_slice(row) -> dict:
+def decide_slice(row, token: int, full_after: int) -> dict:
     # The content after the first refill is known, so the first request sees no elapsed time.
-    cap = int(row.rate[0]) * TOKEN
-    start = min(cap, int(row.lower) + int(row.rest))
-    _, allowed, remaining = decide(start, int(row.ts[0]), row.ts, row.rate)
-    return {"key": row.key, "ts": row.ts, "id": row.id, "allowed": allowed, "remaining": remaining}
+    cap = int(row.rate[0]) * token
+    start = min(cap, int(row.lower) + int(row.lo))
+    _, allowed, remaining = decide(start, int(row.ts[0]), row.ts, row.rate, token, full_after)
+    return {"key": row.key, "slice": row.slice, "ts": row.ts, "id": row.id, "allowed": allowed, "remaining": remaining}
+
+
+def slice_decisions(events: DataFrame, slice_length: int | None, token: int = TOKEN, full_after: int = FULL_AFTER, points: int = POINTS) -> DataFrame:
+    """(key, slice, ts, id, allowed, remaining) with parallel arrays, from events (key, _us, _id, rate)."""
+    micros = slice_length or slice_micros(events, "key", "_us")
+    slices = cut_lineage(cut_slices(events, "key", "_us", "_id", ["rate"], micros))
+    clamps = per_slice(
+        slices.select("key", "slice", "ts", "rate"),
+        lambda row: clamp_summary(row, token, full_after),
+        "key string, slice long, first_ts long, last_ts long, first_rate long, shift long, low long, high long",
+    )
+    lower = scan_summaries(clamps, lambda s: scan_lower(s, token, full_after), "key string, slice long, lower long, opens boolean")
+    entry = F.when(F.col("opens"), F.lit(0)).otherwise(F.lit(token - 1)).cast("long")
+    starts = write_through(lower.select("key", "slice", "lower", F.lit(0).cast("long").alias("lo"), entry.alias("hi")))
+    while not starts.filter("lo < hi").isEmpty():
+        # Keys that are exact throughout rest.
+        open_keys = write_through(starts.filter("lo < hi").select("key").distinct())
+        images = per_slice(
+            slices.select("key", "slice", "ts", "rate").join(starts.join(open_keys, "key"), ["key", "slice"]),
+            lambda row: rest_images(row, token, full_after, points),
+            "key string, slice long, lo long, hi long, points array<long>, images array<long>",
+        )
+        bounds = scan_summaries(images, lambda s: scan_rests(s, token), "key string, slice long, lo long, hi long")
+        news = bounds.select("key", "slice", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+        starts = write_through(starts.join(news, ["key", "slice"], "left").select("key", "slice", "lower", F.coalesce("_lo", "lo").alias("lo"), F.coalesce("_hi", "hi").alias("hi")))
+    return per_slice(
+        slices.join(starts, ["key", "slice"]),
+        lambda row: decide_slice(row, token, full_after),
+        "key string, slice long, ts array<long>, id array<long>, allowed array<boolean>, remaining array<long>",
+    )
 
 
 def _calm_keys(events: DataFrame) -> DataFrame:
@@ -150,22 +206,7 @@ def _calm_decisions(events: DataFrame) -> DataFrame:
 
 
 def _sliced_decisions(events: DataFrame, slice_length: int | None) -> DataFrame:
-    micros = slice_length or slice_micros(events, "key", "_us")
-    slices = cut_lineage(cut_slices(events, "key", "_us", "_id", ["rate"], micros))
-    clamps = per_slice(
-        slices.select("key", "slice", "ts", "rate"),
-        _clamp_summary,
-        "key string, slice long, first_ts long, last_ts long, first_rate long, shift long, low long, high long",
-    )
-    lower = scan_summaries(clamps, _scan_lower, "key string, slice long, lower long, opens boolean")
-    rests = cut_lineage(
-        per_slice(slices.select("key", "slice", "ts", "rate").join(lower, ["key", "slice"]), _rest_summary, "key string, slice long, lower long, ops array<long>")
-    )
-    rest = scan_summaries(rests.select("key", "slice", "ops"), _scan_rest, "key string, slice long, rest long")
-    start = rests.select("key", "slice", "lower").join(rest, ["key", "slice"])
-    decided = per_slice(
-        slices.join(start, ["key", "slice"]), _decide_slice, "key string, ts array<long>, id array<long>, allowed array<boolean>, remaining array<long>"
-    )
+    decided = slice_decisions(events, slice_length)
     rows = decided.select("key", F.explode(F.arrays_zip("ts", "id", "allowed", "remaining")).alias("r"))
     return rows.select("key", F.col("r.ts").alias("_us"), F.col("r.id").alias("_id"), "r.allowed", "r.remaining")
 

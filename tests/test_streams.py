@@ -150,3 +150,56 @@ def test_calm_keys_need_no_slices(spark):
     coded = df.select(F.col("k").alias("key"), F.col("us").alias("_us"), F.col("id").alias("_id"), "rate")
     calm = {r.key for r in B._calm_keys(coded).filter("calm").collect()}
     assert calm and all(got[r[2]][0] for r in rows if r[0] in calm)
+
+
+def slice_row(rows, rate, **more):
+    return type("Row", (), {"key": "k", "slice": 0, "ts": [r[0] for r in rows], "rate": [rate] * len(rows), **more})
+
+
+@pytest.mark.parametrize("kind", ["dense", "spaced"])
+def test_summaries_do_not_grow_with_rows(kind):
+    """200,000 events in one second of one reason, and 200,000 requests at rate 1 about 20 seconds apart."""
+    rnd = random.Random(1)
+    if kind == "dense":
+        rows, rate, token, full = sorted((rnd.randrange(1_000_000), i) for i in range(200_000)), 1, 10_000_000, 10_000_000
+    else:
+        t, rows, rate, token, full = 0, [], 1, B.TOKEN, B.FULL_AFTER
+        for i in range(200_000):
+            t += rnd.randrange(15_000_000, 25_000_000)
+            rows.append((t, i))
+    clamp = B.clamp_summary(slice_row(rows, rate), token, full)
+    assert len(clamp) == 8
+    out = B.rest_images(slice_row(rows, rate, lower=0, lo=0, hi=token - 1), token, full)
+    assert len(out["points"]) == len(out["images"]) == B.POINTS + 1
+    assert out["images"] == sorted(out["images"]) and out["images"][-1] - out["images"][0] <= token
+
+
+def test_images_equal_single_rests():
+    rnd = random.Random(3)
+    for _ in range(200):
+        token, rate = rnd.choice([50, 1000]), rnd.choice([1, 2, 3])
+        t, rows = 0, []
+        for i in range(rnd.randrange(1, 30)):
+            t += rnd.randrange(0, token)
+            rows.append((t, i))
+        lower = rnd.randrange(0, rate * token + 1)
+        out = B.rest_images(slice_row(rows, rate, lower=lower, lo=0, hi=token - 1), token, token, points=20)
+        for d, image in zip(out["points"], out["images"]):
+            if lower + d <= rate * token:
+                low = B.decide(lower, rows[0][0], [], [])[0]
+                level, last = lower, None
+                for ts, _ in rows:  # the bucket that pays for denied requests, too
+                    level = level if last is None else B.refill(level, ts - last, rate, token, token)
+                    level, last = max(level - token, 0), ts
+                true = B.decide(min(rate * token, low + d), rows[0][0], [r[0] for r in rows], [rate] * len(rows), token, token)[0]
+                assert true - level == image % token
+
+
+def test_rounds_end_exactly(spark):
+    """Many slices and few points a round: the intervals need several rounds."""
+    rnd = random.Random(8)
+    rows = [("hot", int(t * 1000), i, 2) for i, t in enumerate(sorted(rnd.uniform(0, 400_000) for _ in range(4000)))]
+    df = spark.createDataFrame(rows, "key string, _us long, _id long, rate long")
+    out = B.slice_decisions(df, 20_000_000, points=8)
+    got = {i: (a, n) for r in out.collect() for i, a, n in zip(r.id, r.allowed, r.remaining)}
+    assert got == expected_bucket(rows)
