@@ -163,6 +163,26 @@ SCRAPE_DNS = """SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS
  UNION SELECT 'public.example', 0, '93.184.216.34' UNION SELECT 'www.linkedin.com', 0, '13.107.42.14'"""
 
 
+# IPv6 addresses of every kind: text before and after a document's number in hexadecimal, and what each dialect says.
+IP6_KINDS = [
+    ("fc00::", "", "TTTT"), ("fdff:a:", "::9", "TTTT"), ("fe80::1:", "", "TTTT"), ("febf::", ":2", "TTTT"), ("fec0::", "", "FFFF"), ("ff02::", "", "TFFT"), ("ff05::", ":1", "FFFF"),
+    ("2001:db8::", "", "FFFF"), ("2606:4700:0:0:0:0:", ":1111", "FFFF"), ("::ffff:0a00:", "", "TTTT"), ("::ffff:5db8:", "", "FFFF"), ("0:0:0:0:0:FFFF:e000:", "", "?FTT"), ("1::", "::3", "NNTT"),
+    ("12345::", "", "NNTT"), ("FE80:0:0:0:0:0:0:", "", "TTTT"), ("fbff::", "", "FFFF"),
+]
+IP6 = " UNION ALL ".join(f"SELECT doc_id, {i} AS kind, '{a}' || lower(hex(doc_id % 65536)) || '{b}' AS ip FROM documents" for i, (a, b, _) in enumerate(IP6_KINDS))
+
+# Pages made from the stored ones whose heads hold every metadata field, some of them, or empty ones.
+HEADS = """SELECT page_id, concat(CASE page_id % 4 WHEN 3 THEN '<html>' ELSE '<html lang="l' END, CASE page_id % 4 WHEN 3 THEN '' ELSE concat(CAST(page_id AS STRING), '">') END, '<head>',
+  CASE page_id % 4 WHEN 1 THEN '<title> </title>' ELSE concat('<title> T', CAST(page_id AS STRING), ' &amp; more </title><title>no</title>') END,
+  CASE page_id % 3 WHEN 0 THEN concat('<meta name="description" content="D', CAST(page_id AS STRING), '"><meta name="description" content="second">') WHEN 1 THEN '<meta name="description" content="">' ELSE '' END,
+  CASE page_id % 2 WHEN 0 THEN concat('<meta property="og:title" content="O', CAST(page_id AS STRING), '"/><meta content=''od'' property=''og:description''><meta property=og:image content=/i', CAST(page_id AS STRING), '.png><meta property="og:url" content="', url, '">') ELSE '' END,
+  '</head>', html) AS html FROM pages"""
+# Pages whose links have other schemes and hosts, assets, skipped paths and relative forms.
+LINKED = """SELECT page_id, concat('http://h', CAST(page_id % 5 AS STRING), '.example/a/b?x=1') AS url, concat('<a href="ftp://h', CAST(page_id % 5 AS STRING), '.example/f">1</a><a href="https://other.example/o">2</a><a href="/f',
+  CAST(page_id AS STRING), '.PDF">3</a><a href="c', CAST(page_id AS STRING), '">4</a><a href="../up/">5</a><a href="?q=', CAST(page_id AS STRING), '">6</a><a href="//h', CAST((page_id + page_id % 2) % 5 AS STRING),
+  '.example/net">7</a><a href="tel:1">8</a><a href="/style.css">9</a><a href="/keep.html#x">10</a><a href="/drop/me">11</a>') AS html FROM pages"""
+
+
 def derive(spark: SparkSession, folder: str, sql: str, *tables: str) -> DataFrame:
     """Run a derivation over the named tables, without leaving views behind."""
     frames = {t: read_table(spark, folder, t) for t in tables}

@@ -103,6 +103,11 @@ def private_ip(spark, folder):
     return ips.select("doc_id", "ip", *[is_private_address(F.col("ip"), d).alias(d).col for d in ("gateway", "fast", "browser", "strict")])
 
 
+def private_ip6(spark, folder):
+    ips = I.derive(spark, folder, I.IP6, "documents")
+    return ips.select("doc_id", "ip", *[is_private_address(F.col("ip"), d).alias(d).col for d in ("gateway", "fast", "browser", "strict")])
+
+
 def _dns(spark, folder):
     return I.derive(spark, folder, I.DNS, "pages")
 
@@ -151,6 +156,23 @@ def page_metadata_browser(spark, folder):
     return P.page_metadata(read_pages(spark, folder), dialect="browser")
 
 
+def page_metadata_heads(spark, folder):
+    return P.page_metadata(I.derive(spark, folder, I.HEADS, "pages"))
+
+
+def page_metadata_heads_browser(spark, folder):
+    return P.page_metadata(I.derive(spark, folder, I.HEADS, "pages"), dialect="browser")
+
+
+def page_links_schemes(spark, folder):
+    links = P.page_links(I.derive(spark, folder, I.LINKED, "pages"), keep=("url",))
+    host = U.url_parts(F.col("url")).col["host"]
+    none = S.array().cast("array<string>")
+    rules = links.withColumns({"seed_host": host, "include": none, "exclude": S.array(S.lit("/drop"))})
+    keep = P.keep_link(F.col("link"), F.col("seed_host"), F.col("include"), F.col("exclude"))
+    return rules.select("page_id", "pos", "link", keep.alias("kept").col)
+
+
 def page_links(spark, folder):
     return P.page_links(read_pages(spark, folder))
 
@@ -276,6 +298,12 @@ def prompt_table(spark, folder):
     return chunks.extraction_prompts(I.derive(spark, folder, sql, "documents"), "doc_id", "html", "schema", "any-model").select("doc_id", "prompt")
 
 
+def prompt_request(spark, folder):
+    sql = """SELECT doc_id, '<h1>Doc ' || CAST(doc_id AS STRING) || '</h1><p>' || replace(regexp_extract(text, '[A-Za-z]+ [A-Za-z]+', 0), '<', '') || '</p>' AS html,
+      '{"type": "object", "id": ' || CAST(doc_id AS STRING) || '}' AS schema FROM documents"""
+    return chunks.extraction_prompts(I.derive(spark, folder, sql, "documents"), "doc_id", "html", "schema", "any-model", "Answer in \"JSON\".\nNothing else").select("doc_id", "request")
+
+
 def response_parse(spark, folder):
     sql = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{"choices": []}' WHEN 1 THEN '{"choices": [{"message": {"content": "oops ' || event_type || '"}}]}'
       WHEN 2 THEN 'gateway timeout' ELSE '{"choices": [{"message": {"content": "' || replace(props, '"', '\\\\"') || '"}}]}' END AS body FROM events"""
@@ -489,6 +517,13 @@ def overall_status(spark, folder):
     return health.overall_status(_health(spark, folder))
 
 
+def overall_status_cases(spark, folder):
+    known = _health(spark, folder)
+    cases = {"all": (known, True), "no fast worker": (known.filter("tier <> 'fast'"), True), "no connection": (known, False)}
+    rows = [health.overall_status(h, connected).select(S.lit(name).alias("case"), "status") for name, (h, connected) in cases.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -499,5 +534,6 @@ QUERIES = {
         chunk_pack, prompt_table, response_parse, admission_verdicts, crawl_caps, request_payloads, owner_hash, access_log, key_check,
         signed_plan, token_bucket, token_bucket_owners, reject_throttle, usage_rollup, queue_entries, queue_trim, queue_trim_shipped, orphans,
         job_latest_status, job_lookup, extractor_chain, job_results, scrape_results, status_expiry, queue_health, overall_status,
+        overall_status_cases, private_ip6, page_metadata_heads, page_metadata_heads_browser, page_links_schemes, prompt_request,
     )
 }
