@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+#: Folders that ``write_through`` made and nobody has emptied yet.
+_written: list[str] = []
+
+
 def write_through(df: DataFrame) -> DataFrame:
     """Write a table to the shared checkpoint folder and read it back.
 
@@ -56,9 +61,26 @@ def write_through(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """``write_through(make())``; the tables that ``make`` wrote on the way are emptied once its result is stored."""
+    before = len(_written)
+    out = write_through(make())
+    empty_tables(spark, before, len(_written) - 1)
+    return out
+
+
+def empty_tables(spark: SparkSession, first: int = 0, last: int | None = None) -> None:
+    """Replace the rows of intermediate tables by none; for tables that no DataFrame in use reads any more."""
+    last = len(_written) if last is None else last
+    for path in _written[first:last]:
+        spark.range(0).write.mode("overwrite").parquet(path)
+    del _written[first:last]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint that keeps the partitioning, for evenly sized partitions that are joined again."""
     ensure_checkpoint_dir(df.sparkSession)
