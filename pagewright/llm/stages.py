@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, functions as S
 
 from pagewright.llm import credentials, line_dedup, ngram_join, outliers, packing
-from pagewright.session import write_through
+from pagewright.session import stored
 from pagewright.sources.snapshot import read_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -47,8 +49,9 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again; what a stage wrote on its way
+    is emptied with it."""
     docs = read_table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = write_through(stage(spark, docs, sf_dir))
+        docs = stored(spark, partial(stage, spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
