@@ -130,5 +130,6 @@ def redact(text: Expr, spans: Expr, mark: str = "[SECRET]") -> Expr:
 
 def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every found span of its text replaced by a mark; all rows stay."""
-    done = redact(F.col(f"`{text_col}`"), F.concat(F.col("_base"), F.col("_linked")))
-    return scan_secrets(docs, text_col).withColumn(text_col, F.when(F.col(f"`{text_col}`").isNotNull(), done).col).drop("_base", "_linked")
+    whole = docs.select(S.struct("*").alias("row"), S.col(f"`{text_col}`").alias("text"))
+    done = F.when(F.col("text").isNotNull(), redact(F.col("text"), F.concat(F.col("_base"), F.col("_linked")))).col
+    return scan_secrets(whole).select(*[done.alias(c) if c == text_col else S.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -14,8 +14,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _documents(df: DataFrame) -> DataFrame:
-    """The columns of documents, ``n_chars`` counted anew."""
-    return df.withColumn("n_chars", S.char_length("text").cast("long")).select(*COLUMNS)
+    """The columns that came in, ``n_chars`` counted anew."""
+    return df.withColumn("n_chars", S.char_length("text").cast("long"))
 
 
 def quality(spark, docs, sf_dir):

@@ -83,6 +83,14 @@ def test_run(spark, folder):
     assert out.columns == ["doc_id", "piece", "start", "length", "bin_id", "capacity", "offset"] and out.count() > 80
 
 
+def test_further_columns(spark, make_docs):
+    extra = ("_base", "row", "id", "n_words", "kept", "_text", "dropped", "own", "component_id", "size", "_group")
+    docs = make_docs([(i, f"line {i}\nshared words of every text " + "w%d " % i * 3 + " ".join(f"x{i}y{j}" for j in range(30)), None, None) for i in range(20)] + [(None, None, None, None)] * 2, extra)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and {r._base for r in out.collect()} == {"x"}
+
+
 def test_stages_of_nothing(spark, make_docs):
     docs = make_docs([])
     for _, stage in corpus_pipeline.STAGES:
