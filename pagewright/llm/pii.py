@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, functions as S
 
+from pagewright.session import write_through
+
 KINDS = ("email", "ip", "card", "phone")
 EMAIL_HOST = r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 #: Begun at the first digit of a run, as the leftmost match is, and without giving digits back: linear in any text.
@@ -244,7 +246,10 @@ def labelled_runs(docs: DataFrame, text_col: str = "text", sample_rows: int = SA
     Runs over ``longest_run`` tokens are not trained on. Both are bounds of the training sample only.
     """
     text = S.col(f"`{text_col}`")
-    seen = docs.filter(text.rlike(OPEN_TOKEN)).select(text.alias("text"), text.rlike(LIKELY).alias("likely"))
+    seen = docs.filter(text.rlike(OPEN_TOKEN)).select(text.alias("text"), S.xxhash64(text).alias("hash"))
+    # Only hashes are ordered and reach the driver; equal texts count once.
+    hashes = write_through(seen.select("hash", S.col("text").rlike(LIKELY).alias("likely")).distinct())
+    picked = [r.hash for c in ("likely", "NOT likely") for r in hashes.filter(c).orderBy("hash").limit(sample_rows).select("hash").collect()]
 
     @S.pandas_udf("array<struct<features:array<array<string>>,tags:array<int>>>")
     def runs_of(texts):
@@ -257,9 +262,9 @@ def labelled_runs(docs: DataFrame, text_col: str = "text", sample_rows: int = SA
             out.append([{"features": [item[3] for item in run], "tags": tags_of(run, spans)} for run in runs])
         return pd.Series(out)
 
-    picked = [seen.filter(c).orderBy(S.xxhash64("text"), "text").limit(sample_rows) for c in (S.col("likely"), ~S.col("likely"))]
-    rows = picked[0].unionByName(picked[1]).select(runs_of("text").alias("runs")).collect()
-    return [(r.features, r.tags) for row in rows for r in row.runs]
+    texts = seen.filter(S.col("hash").isin(picked)).groupBy("hash").agg(S.min("text").alias("text"))
+    rows = texts.select("hash", runs_of("text").alias("runs")).collect()
+    return [(r.features, r.tags) for row in sorted(rows, key=lambda r: r.hash) for r in row.runs]
 
 
 def find_personal_data(docs: DataFrame, model: dict, text_col: str = "text", margin: float = MARGIN) -> DataFrame:
