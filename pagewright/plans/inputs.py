@@ -93,6 +93,13 @@ CRAWL_PAGES = f"SELECT page_id, {SITE_URL} AS url, {STATUS} AS status, {CONTENT_
 CRAWL_JOBS = f"""SELECT site, 'http://site' || CAST(site AS STRING) || '.example/n0' AS url, 3 + (site % 5) * 4 AS max_pages,
  2 + site % 4 AS max_depth FROM (SELECT DISTINCT {_SITE} AS site FROM pages) AS s"""
 
+
+
+def with_stored(made: str, key: str = "page_id", extra: str = "") -> str:
+    """The stored URLs and, under other ids, the made ones."""
+    return f"SELECT page_id AS {key}, url{extra} FROM pages UNION ALL SELECT page_id + 1000000000 AS {key}, {made} AS url{extra} FROM pages"
+
+
 # Event time squeezed so that limits and throttles bite.
 # Some events have no type, some no user, some no time.
 SQUEEZED = """SELECT event_id, CASE WHEN event_id % 41 <> 7 THEN user_id END AS user_id, CASE WHEN event_id % 37 <> 5 THEN event_type END AS event_type, props, value,
@@ -104,8 +111,8 @@ DNS = """SELECT host, pos, CASE HEXBYTE(host, 1) % 8
   WHEN 1 THEN '::1'
   WHEN 2 THEN '2606:4700::' || CAST(pos AS STRING)
   ELSE '93.' || CAST(HEXBYTE(host, 3) AS STRING) || '.' || CAST(HEXBYTE(host, 5) AS STRING) || '.' || CAST(pos + 1 AS STRING) END AS ip
- FROM (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages) AS h
- CROSS JOIN (SELECT 0 AS pos UNION ALL SELECT 1) AS p WHERE HEXBYTE(host, 1) % 8 <> 3"""
+ FROM (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, 0 AS pos FROM pages UNION ALL SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, 1 AS pos FROM pages) AS h
+ WHERE HEXBYTE(host, 1) % 8 <> 3"""
 
 MARKDOWN = """CASE doc_id % 4
  WHEN 0 THEN replace(text, chr(10), chr(10) || chr(10))

@@ -21,20 +21,20 @@ SECRET = "0123456789abcdef0123456789abcdef"
 
 
 def url_parts(spark: SparkSession, folder: str) -> DataFrame:
-    df = I.derive(spark, folder, f"SELECT page_id, {I.WRITTEN} AS url FROM pages", "pages")
+    df = I.derive(spark, folder, I.with_stored(I.WRITTEN), "pages")
     parts = df.select("page_id", U.url_parts(F.col("url")).alias("p").col)
     return parts.select("page_id", "p.ok", *[S.when(S.col("p.ok"), S.col(f"p.{c}")).alias(c) for c in ("scheme", "userinfo", "host", "port", "path", "query", "fragment")])
 
 
 def url_parts_lenient(spark, folder):
-    df = I.derive(spark, folder, f"SELECT page_id, {I.SKIPPABLE} AS url FROM pages", "pages")
+    df = I.derive(spark, folder, I.with_stored(I.SKIPPABLE), "pages")
     return df.select("page_id", U.url_parts(F.col("url"), U.ROUTER).alias("p").col).select(
         "page_id", *[f"p.{c}" for c in ("scheme", "host", "path", "query", "fragment")]
     )
 
 
 def url_normalize(spark, folder):
-    df = I.derive(spark, folder, f"SELECT page_id, {I.WRITTEN} AS url FROM pages", "pages")
+    df = I.derive(spark, folder, I.with_stored(I.WRITTEN), "pages")
     return df.select("page_id", U.normalize_url(F.col("url")).alias("url").col)
 
 
@@ -44,19 +44,19 @@ def url_normalize_dedup(spark, folder):
 
 
 def url_redact(spark, folder):
-    df = I.derive(spark, folder, f"SELECT page_id, {I.WRITTEN} AS url FROM pages", "pages")
+    df = I.derive(spark, folder, I.with_stored(I.WRITTEN), "pages")
     return df.select(
         "page_id", U.redact_url(F.col("url")).alias("gateway_url").col, U.redact_url(F.col("url"), U.BROWSER).alias("browser_url").col
     )
 
 
 def url_skip(spark, folder):
-    df = I.derive(spark, folder, f"SELECT page_id, {I.SKIPPABLE} AS url FROM pages", "pages")
+    df = I.derive(spark, folder, I.with_stored(I.SKIPPABLE), "pages")
     return df.select("page_id", U.skip_decision(F.col("url")).alias("s").col).select("page_id", "s.skip", "s.reason")
 
 
 def _routes(spark, folder, dialect=U.GATEWAY):
-    df = I.derive(spark, folder, f"SELECT page_id, {I.ROUTED} AS url, {I.CONTENT_TYPE} AS content_type FROM pages", "pages")
+    df = I.derive(spark, folder, I.with_stored(I.ROUTED, extra=f", {I.CONTENT_TYPE} AS content_type"), "pages")
     headers = F.map("Content-Type", F.col("content_type")) if dialect == U.ROUTER else None
     return df.select("page_id", routing.classify_url(F.col("url"), dialect, headers).alias("r").col).select("page_id", "r.*")
 
@@ -74,7 +74,7 @@ def route_distribution(spark, folder):
 
 
 def route_log(spark, folder):
-    df = I.derive(spark, folder, f"SELECT page_id AS job_id, {I.ROUTED} AS url FROM pages", "pages")
+    df = I.derive(spark, folder, I.with_stored(I.ROUTED, "job_id"), "pages")
     return routing.route_log(df, "job_id", "url")
 
 
