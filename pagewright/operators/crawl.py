@@ -18,7 +18,7 @@ from pagewright.functions.sql import fn as F
 from pagewright.functions.urls import normalize_url, url_parts
 from pagewright.operators.pages import anchor_hrefs, crawl_title, followed_links
 from pagewright.operators.rows import explode_array
-from pagewright.session import cut_lineage, write_through
+from pagewright.session import write_bucketed, write_through
 from pagewright.sources.snapshot import FETCH_FAILED, cap_body, fetch_error
 
 CRAWL_BYTE_LIMIT = 100 * 1024 * 1024
@@ -53,9 +53,8 @@ def crawl_site(snapshot: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def placed_site(site: DataFrame) -> DataFrame:
-    """The site dealt out and sorted by URL once; every level then joins it where it lies and moves only its own rows."""
-    parts = int(site.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return cut_lineage(site.repartition(parts, "_norm").sortWithinPartitions("_norm"))
+    """The site dealt out by URL once; every level then joins it where it lies and moves only its own rows."""
+    return write_bucketed(site, "_norm")
 
 
 def _seeds(jobs: DataFrame) -> DataFrame:

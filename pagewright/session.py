@@ -65,6 +65,20 @@ def write_through(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_bucketed(df: DataFrame, column: str) -> DataFrame:
+    """``write_through`` dealt out by a column: joins on it move the other side only.
+
+    As many buckets as the session has shuffle partitions, one file each; the table's name is a fresh one in the catalog.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    name = f"table_{uuid.uuid4().hex}"
+    path, buckets = f"{spark.sparkContext.getCheckpointDir()}/{name}", int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column).option("path", path).saveAsTable(name)
+    _written.append(path)
+    return spark.table(name)
+
+
 def stored(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     """``write_through(make())``; the tables that ``make`` wrote on the way are emptied once its result is stored."""
     before = len(_written)
@@ -82,6 +96,6 @@ def empty_tables(spark: SparkSession, first: int = 0, last: int | None = None) -
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint that keeps the partitioning, for evenly sized partitions that are joined again."""
+    """Reliable checkpoint, for rows that later steps read several times."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -93,3 +93,18 @@ def test_body_cap(evaluate):
     (cut,) = evaluate([long], F.octet_length(cap_body(F.col("x"))))
     assert cut == BODY_CAP
     assert evaluate([long, "x"], cap_body(F.col("x"), "fail")) == [None, "x"]
+
+
+def test_levels_do_not_move_the_site(spark, tmp_path):
+    """The site is dealt out once; a level joins it without an exchange on its side."""
+    pages = [(i, f"http://h/p{i}", 200, "text/html", f'<a href="/p{i + 1}">n</a>') for i in range(40)]
+    site = C.placed_site(C.crawl_site(spark.createDataFrame(pages, PAGES)))
+    path = str(tmp_path / "frontier")
+    frontier = spark.createDataFrame([("j", "http://h/p0", "http://h/p0", 1, 0, "h", [], [], 5, 3)],
+        "job_id string, url string, _norm string, rank long, _used long, _host string, _include array<string>, _exclude array<string>, _max_pages long, _max_depth int")
+    frontier.write.parquet(path)
+    level = C._fetch(spark.read.parquet(path), site, 0, 1 << 30, "page_id")
+    plan = level._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("SortMergeJoin"):]
+    assert below.count("Exchange hashpartitioning(_norm") == 1
+    assert level.count() == 1
