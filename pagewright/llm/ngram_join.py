@@ -393,10 +393,11 @@ def component_edges(named: DataFrame, members: DataFrame, percent: int) -> DataF
     per = held.groupBy("token").agg(S.count(S.lit(1)).alias("_k")).filter("_k > 1")
     lists = held.join(write_through(per), "token").withColumn("_part", S.pmod(S.xxhash64("gid"), S.ceil(S.col("_k") / 64)))
     lists = write_through(lists.groupBy("token", "_part").agg(S.collect_list(S.struct("top", "gid")).alias("groups")).drop("_part"))
-    asks = named.select("sid", "token").join(members.select("sid", S.col("gid").alias("own"), rank.alias("mine")), "sid")
-    asks = write_through(asks).join(lists, "token").select("sid", S.expr("transform(filter(groups, g -> g.top > mine AND g.gid <> own), g -> g.gid)").alias("gids")).filter("size(gids) > 0")
-    pairs = write_through(asks.groupBy("sid").agg(S.array_distinct(S.flatten(S.collect_list("gids"))).alias("gids")).select("sid", S.explode("gids").alias("gid")))
-    parts = pairs.groupBy("gid").agg(S.ceil(S.count(S.lit(1)) / GROUP_DOCS).alias("_p"))
+    asks = named.select("sid", "n", "token").join(members.select("sid", S.col("gid").alias("own"), rank.alias("mine")), "sid")
+    asks = write_through(asks).join(lists, "token").select("sid", "n", S.expr("transform(filter(groups, g -> g.top > mine AND g.gid <> own), g -> g.gid)").alias("gids")).filter("size(gids) > 0")
+    pairs = write_through(asks.groupBy("sid", "n").agg(S.array_distinct(S.flatten(S.collect_list("gids"))).alias("gids")).select("sid", "n", S.explode("gids").alias("gid")))
+    # Queries come in parts of bounded number and size.
+    parts = pairs.groupBy("gid").agg(S.greatest(S.ceil(S.count(S.lit(1)) / GROUP_DOCS), S.ceil(S.sum("n") / GROUP_TOKENS)).alias("_p"))
     dealt = pairs.join(write_through(parts), "gid").select("sid", "gid", S.pmod(S.xxhash64("sid"), S.col("_p")).alias("part"))
     queries = dealt.join(members.select("sid", "label", "set"), "sid").select(*[S.col(c).alias(c) for c in ("gid", "part", "label", "set")])
     wanted = dealt.select("gid", "part").distinct()

@@ -195,7 +195,8 @@ def nearest(rows: DataFrame, est: DataFrame, names: list[str], support: float) -
     w = Window.partitionBy("_group", "_start")
     inside = S.sum("_k").over(w.orderBy("_bin")) - S.col("_k") < S.ceil(S.sum("_k").over(w) * support)
     limit = counts.withColumn("_in", inside).filter("_in").groupBy("_group", "_start").agg(S.max("_bin").alias("_limit"))
-    return near.join(limit, ["_group", "_start"]).filter("_bin <= _limit")
+    # A written table of one row per group and start: its size is known, and a hot group's rows need not meet in a task.
+    return near.join(write_through(limit), ["_group", "_start"]).filter("_bin <= _limit")
 
 
 def fit(rows: DataFrame, floors: dict[str, float], support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
@@ -246,7 +247,9 @@ def with_verdicts(rows: DataFrame, estimates: DataFrame, n_by: int, tail: float)
     same = [S.col(f"_by{i}").eqNullSafe(S.col(f"_by{i}g")) for i in range(n_by)]
     judged = rows.withColumns(features()).join(estimates, same, "left")
     judged = judged.withColumn("distance", S.when(~S.col("base_failed"), distance(list(FEATURES))))
-    kept = ~S.col("base_failed") & (S.coalesce("distance", S.lit(0.0)) <= chi2_quantile(1 - tail, len(FEATURES)))
+    # One expression over both sides of the join: a filter on it stays above the join, and statistics are computed once.
+    near = S.coalesce("distance", S.lit(0.0)) <= chi2_quantile(1 - tail, len(FEATURES))
+    kept = S.when(S.col("base_failed"), S.lit(False)).otherwise(near)
     return judged.withColumn("kept", kept).drop(*FEATURES, "_m", "_w", *[f"_by{i}{g}" for i in range(n_by) for g in ("", "g")])
 
 
