@@ -67,6 +67,44 @@ OP5 = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_L
  reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
  SELECT doc_id, any_value(n) AS n_shingles, min(reach.b) AS component_id FROM n JOIN reach ON reach.a = doc_id GROUP BY doc_id"""
 
+# ---- shards ------------------------------------------------------------------------------------
+
+
+def _shard_sql(shards: int = 24, bits: int = 5) -> str:
+    """Checksums byte by byte, equally filled cells per value, and the curve's index by turning each level's cell.
+
+    Names are grouped by value here, where the operator groups them by 4,096 hash bins; the same while no two names share one.
+    """
+    table = "(SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc FROM (SELECT unnest(range(256)) AS i))"
+    crc = "xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"
+    dims = {"a": "lang", "b": "source", "c": "step"}
+    codes = ", ".join(
+        f"{k}_n AS (SELECT {v}, count(*) AS n FROM d GROUP BY {v}), {k}_c AS (SELECT {v}, CAST(floor((sum(n) OVER (ORDER BY {v}) - n) * {1 << bits} / sum(n) OVER ()) AS BIGINT) AS {k} FROM {k}_n)"
+        for k, v in dims.items()
+    )
+    steps, last = [], "k0"
+    for level in range(bits - 1, 0, -1):
+        q, p = 1 << level, (1 << level) - 1
+        for axis in "abc":
+            if axis == "a":
+                cols = f"CASE WHEN a & {q} <> 0 THEN xor(a, {p}) ELSE a END AS a, b, c"
+            else:
+                keep = {x: x for x in "bc"} | {axis: f"CASE WHEN {axis} & {q} <> 0 THEN {axis} ELSE xor({axis}, xor(a, {axis}) & {p}) END"}
+                cols = f"CASE WHEN {axis} & {q} <> 0 THEN xor(a, {p}) ELSE xor(a, xor(a, {axis}) & {p}) END AS a, " + ", ".join(f"{e} AS {x}" for x, e in keep.items())
+            steps.append(f"k{len(steps) + 1} AS (SELECT id, size, sum32, {cols} FROM {last})")
+            last = f"k{len(steps)}"
+    turn = "0"
+    for level in range(bits - 1, 0, -1):
+        turn = f"xor({turn}, CASE WHEN c & {1 << level} <> 0 THEN {(1 << level) - 1} ELSE 0 END)"
+    index = " | ".join(f"((({x} >> {n}) & 1) << {n * 3 + 2 - i})" for n in range(bits) for i, x in enumerate("abc"))
+    return f"""WITH d AS (SELECT doc_id AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t, strlen(coalesce(text, '')) + 8 AS size,
+   CAST(floor(log2(CAST(strlen(coalesce(text, '')) + 8 AS DOUBLE)) * 8 + 1e-9) AS BIGINT) AS step FROM documents),
+ {codes}, k0 AS (SELECT id, size, CAST({crc} AS BIGINT) AS sum32, a, b, c FROM d JOIN a_c USING (lang) JOIN b_c USING (source) JOIN c_c USING (step), {table} AS crc_table),
+ {", ".join(steps)}, g AS (SELECT id, size, sum32, a, xor(b, a) AS b, xor(c, xor(b, a)) AS c FROM {last}), h AS (SELECT *, {turn} AS f FROM g),
+ x AS (SELECT id, size, sum32, xor(a, f) AS a, xor(b, f) AS b, xor(c, f) AS c FROM h), r AS (SELECT *, row_number() OVER (ORDER BY {index}, id NULLS FIRST, size, sum32) - 1 AS rank, count(*) OVER () AS total FROM x)
+ SELECT id AS doc_id, size, sum32 AS text_crc32, 'rows' AS law, CAST(rank * {shards} // total AS INT) AS shard, rank - (rank * {shards} // total * total + {shards - 1}) // {shards} AS slot, CAST(NULL AS INT) AS grown_shard FROM r"""
+
+
 OP9 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
  p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
@@ -74,4 +112,4 @@ OP9 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floo
  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM p)
  SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
-ORACLES = {"op2_secret_scan": _secret_sql(), "op4_line_dedup": OP4, "op5_shingle_join": OP5, "op9_top_products": OP9}
+ORACLES = {"op2_secret_scan": _secret_sql(), "op3_hilbert_shards": _shard_sql(), "op4_line_dedup": OP4, "op5_shingle_join": OP5, "op9_top_products": OP9}

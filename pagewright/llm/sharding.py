@@ -53,7 +53,8 @@ def category(c: Column) -> Column:
 
 def magnitude(c: Column) -> Column:
     """A dimension of sizes in steps of an eighth of a doubling; NULL and values under 1 share the first bin."""
-    step = S.least(S.floor(S.log2(S.greatest(S.coalesce(c, S.lit(0)), S.lit(1)).cast("double")) * 8), S.lit(BINS - 1)).cast("int")
+    # The small addend keeps exact powers of two on their step, however the logarithm is rounded.
+    step = S.least(S.floor(S.log2(S.greatest(S.coalesce(c, S.lit(0)), S.lit(1)).cast("double")) * 8 + 1e-9), S.lit(BINS - 1)).cast("int")
     return S.struct(step.alias("bin"), S.lpad(step.cast("string"), 8, "0").alias("low"))
 
 
