@@ -112,4 +112,42 @@ OP9 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floo
  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM p)
  SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
-ORACLES = {"op2_secret_scan": _secret_sql(), "op3_hilbert_shards": _shard_sql(), "op4_line_dedup": OP4, "op5_shingle_join": OP5, "op9_top_products": OP9}
+# ---- chats -------------------------------------------------------------------------------------
+
+
+def _chat_sql() -> str:
+    """Costs by state carried forward turn by turn, then the cheapest path walked back. States: 0 nothing yet, 1 system,
+    2 user, 3 assistant; equal costs prefer the lower state before."""
+
+    def costs(known: str | None) -> list[int]:
+        other = [0 if known == r else 3 if known else 1 for r in ("system", "user", "assistant")]
+        out = [1 << 40] * 16
+        for before, after, cost in (
+            (0, 1, other[0]), (0, 2, other[1]), (1, 2, other[1]), (2, 3, other[2]), (3, 2, other[1]),  # a message begins
+            (1, 1, 1 + other[0]), (2, 2, 1 + other[1]), (3, 3, 1 + other[2]),  # the message before goes on
+            (0, 3, 2 + other[2]), (1, 3, 2 + other[2]),  # an empty user message first
+        ):
+            out[4 * before + after] = cost
+        return out
+
+    matrix = "CASE role " + " ".join(f"WHEN '{r}' THEN {costs(r)}" for r in ("system", "user", "assistant")) + f" ELSE {costs(None)} END"
+    ways = "list_transform([0, 1, 2, 3], lambda a: f.best[a + 1] + t.m[4 * a + z + 1])"
+    start, end = "'<|im_start|>'", "'<|im_end|>' || chr(10)"
+    empty = lambda r: f"{start} || '{r}' || chr(10) || {end}"
+    close = f"CASE WHEN a > 0 THEN {end} ELSE '' END"
+    return f"""WITH RECURSIVE t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, {matrix} AS m, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(coalesce(text, ''))) AS n,
+   count(*) OVER (PARTITION BY conv_id) AS turns FROM conversations),
+ f AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS n, [0, {1 << 40}, {1 << 40}, {1 << 40}] AS best, CAST([] AS BIGINT[]) AS origin FROM t
+  UNION ALL SELECT t.conv_id, t.n, list_transform([0, 1, 2, 3], lambda z: least({1 << 40}, list_min({ways}))), list_transform([0, 1, 2, 3], lambda z: CAST(list_position({ways}, list_min({ways})) - 1 AS BIGINT))
+  FROM f JOIN t ON t.conv_id IS NOT DISTINCT FROM f.conv_id AND t.n = f.n + 1),
+ ends AS (SELECT f.conv_id, f.n, [best[1], best[2] + 4, best[3] + 2, best[4]] AS e FROM f JOIN t ON t.conv_id IS NOT DISTINCT FROM f.conv_id AND t.n = f.n AND t.n = t.turns),
+ walk AS (SELECT conv_id, n, CAST(list_position(e, list_min(e)) - 1 AS BIGINT) AS z FROM ends
+  UNION ALL SELECT w.conv_id, w.n - 1, f.origin[w.z + 1] FROM walk AS w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.n = w.n WHERE w.n > 0),
+ p AS (SELECT t.*, w.z, v.z AS a, t.m[4 * v.z + w.z + 1] AS c, CASE WHEN v.z = w.z THEN 'merge' WHEN w.z = 3 AND v.z < 2 THEN 'insert' ELSE 'place' END AS action
+  FROM t JOIN walk AS w ON w.conv_id IS NOT DISTINCT FROM t.conv_id AND w.n = t.n JOIN walk AS v ON v.conv_id IS NOT DISTINCT FROM t.conv_id AND v.n = t.n - 1)
+ SELECT conv_id, turn, role, action, ['system', 'user', 'assistant'][z] AS new_role, CAST(c + CASE WHEN n < turns THEN 0 WHEN z = 1 THEN 4 WHEN z = 2 THEN 2 ELSE 0 END AS INT) AS cost,
+  CASE action WHEN 'merge' THEN chr(10) WHEN 'insert' THEN {close} || {empty("user")} || {start} || 'assistant' || chr(10) ELSE {close} || {start} || ['system', 'user', 'assistant'][z] || chr(10) END || text
+   || CASE WHEN n < turns THEN '' WHEN z = 1 THEN {end} || {empty("user")} || {empty("assistant")} WHEN z = 2 THEN {end} || {empty("assistant")} ELSE {end} END AS rendered FROM p"""
+
+
+ORACLES = {"op2_secret_scan": _secret_sql(), "op3_hilbert_shards": _shard_sql(), "op4_line_dedup": OP4, "op5_shingle_join": OP5, "op9_top_products": OP9, "op10_chat_repair": _chat_sql()}
