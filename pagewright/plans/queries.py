@@ -144,6 +144,15 @@ def page_tokens(spark, folder):
     return t.groupBy("page_id", "kind").agg(S.count("*").alias("n"), S.max("pos").alias("last_pos"))
 
 
+def page_token_text(spark, folder):
+    """Tags, attributes and texts of all tokens, in order, as one checksum per page, kind and tag."""
+    t = P.tokens(read_pages(spark, folder)).withColumn("tag", S.coalesce("tag", S.lit("")))
+    attrs = S.array_join(S.transform("attrs", lambda a: S.concat(a["name"], S.lit("="), a["value"])), ";")
+    said = S.concat(S.coalesce(attrs, S.lit("")), S.lit(">"), S.coalesce("text", S.lit("")))
+    rows = t.groupBy("page_id", "kind", "tag").agg(S.sort_array(S.collect_list(S.struct("pos", said.alias("said")))).alias("r"))
+    return rows.select("page_id", "kind", "tag", S.size("r").alias("n"), S.md5(S.array_join(S.transform("r", lambda x: x["said"]), "|")).alias("said"))
+
+
 def page_title(spark, folder):
     return P.page_titles(read_pages(spark, folder))
 
@@ -534,6 +543,6 @@ QUERIES = {
         chunk_pack, prompt_table, response_parse, admission_verdicts, crawl_caps, request_payloads, owner_hash, access_log, key_check,
         signed_plan, token_bucket, token_bucket_owners, reject_throttle, usage_rollup, queue_entries, queue_trim, queue_trim_shipped, orphans,
         job_latest_status, job_lookup, extractor_chain, job_results, scrape_results, status_expiry, queue_health, overall_status,
-        overall_status_cases, private_ip6, page_metadata_heads, page_metadata_heads_browser, page_links_schemes, prompt_request,
+        overall_status_cases, page_token_text, private_ip6, page_metadata_heads, page_metadata_heads_browser, page_links_schemes, prompt_request,
     )
 }
