@@ -106,3 +106,14 @@ def test_field_adds_spans_to_text(make_docs):
     assert [s.kind for s in out[0]["_base"]] == ["phone"]
     assert not out[1]["_field"] and not out[2]["_field"]
     assert [(s.kind, out[3].text[s.start:s.end]) for s in out[3]["_field"]] == [("email", "a.b@c")]
+
+
+def test_addresses_with_endless_parts(make_docs):
+    """A dotted form with a part of thousands of digits is no address, or one with leading zeros; the query goes on."""
+    texts = ["1.2.3." + "9" * 5000, "1.2.3." + "0" * 5000 + "4", "9" * 5000 + ".1.2.3 and 1.2.3.4", "1.2.3." + "0" * 5000]
+    want = [[], [(0, 1, 5007, "ip")], [(5011, 1, 5018, "ip")], [(0, 1, 5006, "ip")]]
+    assert [[s for s in pii.base_spans(t) if s[3] == "ip"] for t in texts] == want
+    docs = make_docs(list(enumerate(texts)))
+    pii.labelled_runs(docs)
+    out = {r.doc_id: r for r in pii.find_personal_data(docs, pii.train_crf([], [])).collect()}
+    assert [[tuple(s) for s in out[i]["_base"] if s.kind == "ip"] for i in range(4)] == want
