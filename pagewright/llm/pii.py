@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 from pyspark.sql import DataFrame, functions as S
 
-from pagewright.session import write_through
-
 KINDS = ("email", "ip", "card", "phone")
 EMAIL_HOST = r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 #: Begun at the first digit of a run, as the leftmost match is, and without giving digits back: linear in any text.
@@ -20,11 +19,13 @@ TOKEN = r"[^\x20\x09-\x0D]+"
 #: falls apart into runs of such tokens and the rest of a text needs no decoding.
 OPEN_TOKEN = r"[0-9@]"
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-SAMPLE_ROWS = 400  # documents with base spans, and as many without, that the query's model is trained on
+SAMPLE_ROWS = 400  # documents with base spans that the query's model is trained on
+MADE_ROWS = 4_000  # rows from templates that it is trained on
 LONGEST_RUN = 64  # tokens of a run that is trained on
 #: Texts that may hold a span of a fixed pattern.
 LIKELY = r"@|\+[0-9]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[\x20-]?[0-9]){11}"
 EPOCHS, RATE, DECAY = 150, 0.5, 1e-4
+EDGE = ".,;:!?\"'<>[]{}#$%&*"  # punctuation that no span begins or ends with
 MARGIN = 4.0  # log odds against "all outside" that a run's best path must reach
 
 Span = tuple[int, int, int, str]
@@ -84,11 +85,14 @@ def shape(token: str) -> str:
 
 def token_features(token: str, before: str, after: str) -> list[str]:
     """Word-shape features of a token and its neighbours ('' at the ends of a text)."""
-    digits = sum("0" <= c <= "9" for c in token)
+    digits, left, right = (sum("0" <= c <= "9" for c in t) for t in (token, before, after))
     own, bare = shape(token), shape(token.strip(".,;:!?\"'()"))
+    groups = ",".join(str(len(g)) for g in re.findall("[0-9]+", token)) if digits <= 20 else ""
     return [
         "bias", f"@={'@' in token}", f"c={''.join(sorted(set(bare)))}", f"s={own}", f"b={bare}", f"d={min(digits, 20)}", f"b={bare},d={min(digits, 20)}", f"f={own[:2]}", f"l={own[-2:]}", f"n={min(len(token), 24)}",
         f"p={shape(before)}", f"q={shape(after)}", f"p={shape(before)},b={bare}", f"b={bare},q={shape(after)}",
+        f"g={min(left, 20)},{min(digits, 20)},{min(right, 20)}", f"s={own},g={groups}", f"b={bare},g={groups}", f"p={shape(before)},b={bare},q={shape(after)}",
+        f"z={token.lstrip('.,;:!?(')[:1] == '0'},b={bare}",
     ]
 
 
@@ -221,36 +225,116 @@ def viterbi(model: dict, runs: list[list[list[str]]]) -> list[tuple[list[int], f
     return out
 
 
-def field_spans(run: list[tuple], tags: list[int]) -> list[Span]:
-    """Spans of a tagged run, outer punctuation left out."""
-    out: list[list] = []
-    for (start, end, token, _), tag in zip(run, tags):
-        if tag == 0:
-            continue
-        lead = len(token) - len(token.lstrip(".,;:!?\"'<>[]{}"))
-        tail = len(token) - len(token.rstrip(".,;:!?\"'<>[]{}"))
-        if (tag - 1) % 2 and out:
-            out[-1][2] = end - tail
+def trimmed(tokens: list[tuple]) -> tuple[int, int]:
+    """Start and end of neighbouring tokens without outer punctuation and without brackets around the whole or half open."""
+    signs = [(start + i, c) for start, _, token, *_ in tokens for i, c in enumerate(token)]
+    other, open_at = {}, []  # the bracket that each bracket closes or is closed by
+    for i, (_, c) in enumerate(signs):
+        if c == "(":
+            open_at.append(i)
+        elif c == ")" and open_at:
+            other[i] = open_at.pop()
+            other[other[i]] = i
+    first, last = 0, len(signs) - 1
+    while first <= last:
+        a, z = signs[first][1], signs[last][1]
+        if a in EDGE or a == ")" or (a == "(" and other.get(first, last) >= last):
+            first += 1
+        elif z in EDGE or z == "(" or (z == ")" and other.get(last, -1) < first):
+            last -= 1
         else:
-            kind = (tag - 1) // 2
-            out.append([start + lead, kind, end - tail, KINDS[kind]])
-    return [tuple(s) for s in out if s[0] < s[2]]
+            break
+    return (signs[first][0], signs[last][0] + 1) if first <= last else (tokens[0][0], tokens[0][0])
+
+
+def field_spans(run: list[tuple], tags: list[int]) -> list[Span]:
+    """Spans of a tagged run, outer punctuation left out. A card number has 12 to 19 digits that pass the Luhn test."""
+    groups: list[list] = []
+    for item, tag in zip(run, tags):
+        if tag and (tag - 1) % 2 and groups:
+            groups[-1][1].append(item)
+        elif tag:
+            groups.append([(tag - 1) // 2, [item]])
+    out = []
+    for kind, tokens in groups:
+        digits = "".join(c for t in tokens for c in t[2] if "0" <= c <= "9")
+        if KINDS[kind] != "card" or (12 <= len(digits) <= 19 and luhn(digits)):
+            start, end = trimmed(tokens)
+            out.append((start, kind, end, KINDS[kind]))
+    return [s for s in out if s[0] < s[2]]
+
+
+# ---- labelled rows -----------------------------------------------------------------------------
+
+
+def with_check_digit(digits: str) -> str:
+    return next(digits + d for d in "0123456789" if luhn(digits + d))
+
+
+def made_row(rng: random.Random) -> tuple[str, list[Span]]:
+    """A text from a template and its true spans: personal data in forms that the fixed patterns take or miss, or other
+    tokens with digits or @, which are told apart by how they were made and not by the patterns."""
+    d = lambda n: "".join(rng.choices("0123456789", k=n))
+    n = lambda low, high: str(rng.randrange(low, high))
+    letters = lambda low, high: "".join(rng.choices("aeiourstlnmdécü" if rng.random() < 0.15 else "aeiourstlnmd", k=rng.randrange(low, high)))
+    word = lambda: rng.choice((letters, lambda a, b: letters(a, b).title()))(2, 9)
+    sep, host = rng.choice(".-/"), rng.choice(("localhost", letters(2, 9), letters(2, 6) + n(1, 30), letters(2, 6) + "-" + letters(2, 6)))
+    name = letters(1, 8) + rng.choice(("", d(1), d(2), "." + letters(1, 8), "_" + letters(1, 8), "." + d(2), "-" + letters(1, 8), "+" + letters(2, 6)))
+    area = lambda: n(2, 10) + d(2)
+    kind = rng.choice((0, 1, 2, 3, 3, None, None, None, None, None))
+    if kind == 0:
+        made = rng.choice((f"{name}@{host}", f"{name}@{host}", f"{name}@{letters(2, 8)}.{rng.choice(('com', 'org', 'de', 'example.com'))}", f"{name}ü{letters(1, 5)}@ü{letters(2, 8)}.{letters(2, 4)}"))
+    elif kind == 1:
+        h = lambda: f"{rng.randrange(1, 65536):x}"
+        made = rng.choice((".".join(n(0, 256) for _ in range(4)), ":".join(h() for _ in range(8)), f"2001:db8::{h()}:{h()}:{h()}", f"fe80::{h()}:{h()}:{h()}:{h()}"))
+    elif kind == 2:
+        c = with_check_digit(rng.choice("3456") + d(14))
+        made = rng.choice((c, f"{c[:4]}.{c[4:8]}.{c[8:12]}.{c[12:]}", f"{c[:4]}/{c[4:8]}/{c[8:12]}/{c[12:]}", f"{c[:4]}_{c[4:8]}_{c[8:12]}_{c[12:]}"))
+    elif kind == 3:
+        made = rng.choice((
+            f"({area()}) {area()}-{d(4)}", f"({area()}) {area()}-{d(4)}", f"({area()}){area()}-{d(4)}", f"({area()}) {area()}.{d(4)}", f"{area()}-{area()}-{d(4)}", f"{area()}.{area()}.{d(4)}", f"1-{area()}-{area()}-{d(4)}",
+            f"+{n(1, 99)} ({area()}) {area()}-{d(4)}", f"+{n(1, 99)} {d(3)} {d(3)} {d(4)}", f"+{n(10, 99)}/{d(3)}/{d(7)}", f"0{area()} {area()} {d(4)}", f"0{d(rng.choice((2, 3)))}{sep}{d(7)}", f"(0{d(2)}) {d(7)}", f"0{n(1, 10)} {d(2)} {d(2)} {d(2)} {d(2)}",
+        ))
+    else:
+        made = rng.choice((
+            f"{n(0, 20)}.{n(0, 20)}", f"{n(0, 20)}.{n(0, 20)}.{n(0, 40)}", f"v{n(0, 9)}.{n(0, 30)}", f"{n(1800, 2030)}", f"{n(1, 10000)}", f"{n(1, 100)} %", f"{n(1, 100)}%", f"${n(1, 900)},{d(3)}.{d(2)}", f"{n(1, 900)}.{d(2)}", f"{n(1, 30)},{d(3)},{d(3)}",
+            f"{n(1900, 2030)}-{n(10, 13)}-{n(10, 31)}", f"0{n(1, 10)}.{n(10, 13)}.{n(1900, 2030)}", f"{n(1, 13)}/{n(1, 31)}/{n(1900, 2030)}", f"{n(10, 24)}:{n(10, 60)}", f"0{n(1, 10)}:{n(10, 60)}:{n(10, 60)}", f"{n(1900, 2000)}-{n(2000, 2030)}", f"{n(1, 90)}-{n(90, 400)}",
+            f"[{n(1, 200)}]", f"({n(1800, 2030)})", f"({n(1800, 2030)}) {n(1, 90)}-{n(90, 400)}", f"({n(1, 99)}) {n(1, 90)}", f"{n(1, 30)}th", f"{word()}{n(1, 100)}", f"#{d(5)}", f"#{d(4)}-{d(6)}", f"{d(3)}-{d(2)}-{d(4)}", f"978-{n(0, 10)}-{d(2)}-{d(6)}-{n(0, 10)}",
+            f'"{rng.randrange(1 << 159, 1 << 160):x}"', f"{rng.randrange(1 << 127, 1 << 128):x}", f"{d(8)}", f"{d(10)}", f"{d(13)}", f"1{d(15)}", f"{d(4)} {d(4)} {d(4)} {d(4)}", f"{n(100, 999)} {n(100, 999)} {n(1000, 9999)}", f"{n(10, 99)} {n(10, 99)} {n(10, 99)} {n(10, 99)}",
+            f"{d(8)}-{d(4)}-{d(4)}-{d(4)}-{d(12)}", f"{n(1, 40)} x {n(1, 40)}", f"{n(1, 9)}/{n(2, 9)}", f"-{n(1, 90)}.{d(6)}, {n(1, 90)}.{d(6)}", f"https://{letters(2, 8)}.org/{n(1, 9999)}/{letters(2, 8)}", f"{letters(3, 8)}.html?id={n(1, 99999)}",
+            f"@{name}", f"@{word()}", "@", f"{n(1, 9)} @ {n(1, 99)}", f"{word()}@", f"{letters(2, 8)}@{n(1, 30)}", f"@{letters(2, 8)}:", f"{n(1, 20)}.", f"{n(1, 9)}.{n(0, 9)}.", f"{n(0, 9)}.{n(0, 9)}.{n(0, 9)}.{n(300, 999)}", f"{n(1, 999)} {n(1, 999)}", f"0.{d(4)}", f"00{d(4)}",
+        ))
+    lead, tail = rng.choice(("", "", "", "(", "<", '"')), rng.choice(("", "", "", ".", ",", ";", "###", "!"))
+    tail = {"(": ")", "<": ">", '"': '"'}.get(lead, "") + tail
+    head = "".join(word() + rng.choice((" ", " ", " ", ", ", ": ", "\n")) for _ in range(rng.randrange(4)))
+    start = len(head) + len(lead)
+    spans = [] if kind is None else [(start, kind, start + len(made), KINDS[kind])]
+    return head + lead + made + tail + "".join(" " + word() for _ in range(rng.randrange(4))), spans
+
+
+def made_runs(rows: int = MADE_ROWS, seed: int = 0) -> list[tuple[list, list]]:
+    """(features, tags) of the open runs of made rows, the same in every call."""
+    rng = random.Random(seed)
+    made = [made_row(rng) for _ in range(rows)]
+    return [([item[3] for item in run], tags_of(run, spans)) for text, spans in made for run in open_runs(text)]
 
 
 # ---- on tables ---------------------------------------------------------------------------------
 
 
 def labelled_runs(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, longest_run: int = LONGEST_RUN) -> list[tuple[list, list]]:
-    """A small labelled table from the fixed patterns: the (features, tags) of open runs in at most ``sample_rows``
-    texts that may hold personal data and as many with other numbers, taken in order of a hash of the text.
+    """The labelled table: made rows, and runs of at most ``sample_rows`` texts that may hold personal data, taken in order
+    of a hash of the text.
 
-    Runs over ``longest_run`` tokens are not trained on. Both are bounds of the training sample only.
+    Of the texts only runs are taken of which the fixed patterns cover every token: their tags are sure. What the patterns
+    leave uncovered may be personal data in a form they miss, so it counts neither as inside nor as outside; "outside" is
+    learnt from made rows alone. Runs over ``longest_run`` tokens are not trained on. Both are bounds of the training
+    sample only.
     """
     text = S.col(f"`{text_col}`")
-    seen = docs.filter(text.rlike(OPEN_TOKEN)).select(text.alias("text"), S.xxhash64(text).alias("hash"))
+    seen = docs.filter(text.rlike(LIKELY)).select(text.alias("text"), S.xxhash64(text).alias("hash"))
     # Only hashes are ordered and reach the driver; equal texts count once.
-    hashes = write_through(seen.select("hash", S.col("text").rlike(LIKELY).alias("likely")).distinct())
-    picked = [r.hash for c in ("likely", "NOT likely") for r in hashes.filter(c).orderBy("hash").limit(sample_rows).select("hash").collect()]
+    picked = [r.hash for r in seen.select("hash").distinct().orderBy("hash").limit(sample_rows).collect()]
 
     @S.pandas_udf("array<struct<features:array<array<string>>,tags:array<int>>>")
     def runs_of(texts):
@@ -259,13 +343,13 @@ def labelled_runs(docs: DataFrame, text_col: str = "text", sample_rows: int = SA
         out = []
         for t in texts:
             spans = base_spans(t)
-            runs = [run for run in open_runs(t) if len(run) <= longest_run]
-            out.append([{"features": [item[3] for item in run], "tags": tags_of(run, spans)} for run in runs])
+            tagged = [(run, tags_of(run, spans)) for run in open_runs(t) if len(run) <= longest_run]
+            out.append([{"features": [item[3] for item in run], "tags": tags} for run, tags in tagged if all(tags)])
         return pd.Series(out)
 
     texts = seen.filter(S.col("hash").isin(picked)).groupBy("hash").agg(S.min("text").alias("text"))
     rows = texts.select("hash", runs_of("text").alias("runs")).collect()
-    return [(r.features, r.tags) for row in sorted(rows, key=lambda r: r.hash) for r in row.runs]
+    return made_runs() + [(r.features, r.tags) for row in sorted(rows, key=lambda r: r.hash) for r in row.runs]
 
 
 def find_personal_data(docs: DataFrame, model: dict, text_col: str = "text", margin: float = MARGIN) -> DataFrame:

@@ -117,3 +117,32 @@ def test_addresses_with_endless_parts(make_docs):
     pii.labelled_runs(docs)
     out = {r.doc_id: r for r in pii.find_personal_data(docs, pii.train_crf([], [])).collect()}
     assert [[tuple(s) for s in out[i]["_base"] if s.kind == "ip"] for i in range(4)] == want
+
+
+def test_field_finds_forms_beyond_the_patterns_at_the_query_margin(make_docs):
+    """Trained over a table full of forms that the patterns miss, the field still adds them, with no margin but the query's."""
+    probes = ["call (555) 123-4567 now", "write to (jane.doe@localhost), please", "ask at 0171/2345678 today", "version 4.2.1 in 1999, 12 % of 1,200.50", "of 2026-12-01 at 10:15, ISBN 978-3-16-148410-0"]
+    docs = make_docs([(i, f"{t} +1 (555) 010-{9000 + i}") for i, t in enumerate(probes * 40)])
+    labelled = pii.labelled_runs(docs)
+    model = pii.train_crf([f for f, _ in labelled], [t for _, t in labelled])
+    out = {r.doc_id: r for r in pii.find_personal_data(make_docs(list(enumerate(probes))), model).collect()}
+    assert [[(s.kind, probes[i][s.start:s.end]) for s in out[i]["_field"]] for i in range(5)] == [[("phone", "(555) 123-4567")], [("email", "jane.doe@localhost")], [("phone", "0171/2345678")], [], []]
+
+    rng = random.Random(99)
+    right = wrong = wanted = 0
+    for text, spans in (pii.made_row(rng) for _ in range(2000)):
+        base = pii.base_spans(text)
+        beyond = lambda found: {s for s in found if not any(b[0] < s[2] and b[2] > s[0] for b in base)}  # noqa: E731, B023
+        runs = pii.open_runs(text)
+        tagged = zip(runs, pii.viterbi(model, [[i[3] for i in r] for r in runs]))
+        added = beyond([s for run, (tags, lead) in tagged if lead >= pii.MARGIN for s in pii.field_spans(run, tags)])
+        want = beyond(spans)
+        right, wrong, wanted = right + len(added & want), wrong + len(added - want), wanted + len(want)
+    assert wanted > 500 and right / wanted > 0.7 and wrong / right < 0.01
+
+
+def test_outer_brackets_are_no_part_of_spans():
+    for text, want in [("((555) 123-4567).", "(555) 123-4567"), ("(a@b)", "a@b"), ("a@b)###", "a@b"), ("(" * 50000 + "1", "1"), ("(1) (2)", "(1) (2)")]:
+        run = [item for run in pii.open_runs(text) for item in run]
+        start, end = pii.trimmed(run)
+        assert text[start:end] == want
