@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 
@@ -78,20 +79,25 @@ def base_spans(text: str) -> list[Span]:
 
 
 def shape(token: str) -> str:
-    """Capitals to A, small letters to a, digits to 9, white space and marks as they are; runs of one sign shortened."""
-    s = "".join("9" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c for c in token[:64])
-    return re.sub(r"(.)\1+", r"\1", s)
+    """Capitals to A, small letters to a, digits to 9, white space and marks as they are; runs of one sign shortened.
+
+    The whole token is read. A shape that stays longer than 64 signs is named by its ends and a hash of all of it.
+    """
+    s = re.sub(r"(.)\1+", r"\1", "".join("9" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c for c in token))
+    return s if len(s) <= 64 else f"{s[:24]}~{hashlib.md5(s.encode('utf-8', 'surrogatepass')).hexdigest()}~{s[-24:]}"
 
 
 def token_features(token: str, before: str, after: str) -> list[str]:
     """Word-shape features of a token and its neighbours ('' at the ends of a text)."""
     digits, left, right = (sum("0" <= c <= "9" for c in t) for t in (token, before, after))
-    own, bare = shape(token), shape(token.strip(".,;:!?\"'()"))
+    stripped = token.strip(".,;:!?\"'()")
+    own, bare, p, q = shape(token), shape(stripped), shape(before), shape(after)
+    signs = "".join(sorted({shape(c) for c in set(stripped)}))
     groups = ",".join(str(len(g)) for g in re.findall("[0-9]+", token)) if digits <= 20 else ""
     return [
-        "bias", f"@={'@' in token}", f"c={''.join(sorted(set(bare)))}", f"s={own}", f"b={bare}", f"d={min(digits, 20)}", f"b={bare},d={min(digits, 20)}", f"f={own[:2]}", f"l={own[-2:]}", f"n={min(len(token), 24)}",
-        f"p={shape(before)}", f"q={shape(after)}", f"p={shape(before)},b={bare}", f"b={bare},q={shape(after)}",
-        f"g={min(left, 20)},{min(digits, 20)},{min(right, 20)}", f"s={own},g={groups}", f"b={bare},g={groups}", f"p={shape(before)},b={bare},q={shape(after)}",
+        "bias", f"@={'@' in token}", f"c={signs}", f"s={own}", f"b={bare}", f"d={min(digits, 20)}", f"b={bare},d={min(digits, 20)}", f"f={own[:2]}", f"l={own[-2:]}", f"n={min(len(token), 24)}",
+        f"p={p}", f"q={q}", f"p={p},b={bare}", f"b={bare},q={q}",
+        f"g={min(left, 20)},{min(digits, 20)},{min(right, 20)}", f"s={own},g={groups}", f"b={bare},g={groups}", f"p={p},b={bare},q={q}",
         f"z={token.lstrip('.,;:!?(')[:1] == '0'},b={bare}",
     ]
 

@@ -146,3 +146,15 @@ def test_outer_brackets_are_no_part_of_spans():
         run = [item for run in pii.open_runs(text) for item in run]
         start, end = pii.trimmed(run)
         assert text[start:end] == want
+
+
+def test_shapes_read_whole_tokens():
+    """The end of a long token reaches its shape and features; shapes stay short; short ones are as they were."""
+    long = "https://h.example/" + "ab/" * 30
+    a, b = (pii.token_features(long + end, "", "") for end in ("jane@host9", "index"))
+    for prefix in ("s=", "b=", "c=", "l="):
+        pick = lambda feats: [f for f in feats if f.startswith(prefix)]  # noqa: E731, B023
+        assert pick(a) != pick(b)
+    assert pii.shape("1" * 100 + "X") == "9A" and pii.shape("(555)") == "(9)"
+    middle = [pii.shape("a1" * 100 + mark + "a1" * 100) for mark in ("@", "-")]
+    assert middle[0] != middle[1] and all(len(s) < 100 for s in middle)
