@@ -7,7 +7,7 @@ a line is written where a token is left. The counts then follow from one number
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,12 +38,11 @@ def _edges(row) -> dict:
     return {"key": row.key, "slice": row.slice, "writes": bool(len(lines)), "after": len(row.allowed) - int(lines[-1]) - 1 if len(lines) else len(row.allowed)}
 
 
-def _scan_held(summaries: list) -> list[dict]:
-    out, held = [], 0
+def _scan_held(summaries: Iterable[dict]) -> Iterator[dict]:
+    held = 0
     for s in summaries:
-        out.append({"slice": s["slice"], "held": held})
+        yield {"slice": s["slice"], "held": held}
         held = int(s["after"]) + (0 if s["writes"] else held)
-    return out
 
 
 def _mark(row) -> dict:

@@ -21,7 +21,7 @@ each. No summary grows with the rows of its slice. The slices then decide their
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagewright.session import cut_lineage, write_through
-from pagewright.streaming.slices import coded, cut_slices, decoded, per_slice, scan_summaries, slice_micros
+from pagewright.streaming.slices import coded, cut_slices, decoded, per_slice, scan_summaries
 
 TOKEN = 60_000_000
 FULL_AFTER = 60_000_000  # microseconds in which any bucket refills completely
@@ -73,15 +73,14 @@ def clamp_summary(row, token: int, full_after: int) -> dict:
     }
 
 
-def scan_lower(summaries: list, token: int, full_after: int) -> list[dict]:
+def scan_lower(summaries: Iterable[dict], token: int, full_after: int) -> Iterator[dict]:
     """L after the refill at the first request of every slice."""
-    out, level, last = [], None, None
+    level, last = None, None
     for s in summaries:
         level = s["first_rate"] * token if last is None else refill(level, s["first_ts"] - last, s["first_rate"], token, full_after)
-        out.append({"slice": s["slice"], "lower": level, "opens": last is None})
+        yield {"slice": s["slice"], "lower": level, "opens": last is None}
         level = min(s["high"], max(s["low"], level + s["shift"]))
         last = s["last_ts"]
-    return out
 
 
 def rest_steps(row, token: int, full_after: int) -> Iterator[int]:
@@ -121,23 +120,22 @@ def rest_images(row, token: int, full_after: int, points: int = POINTS) -> dict:
     return {"key": row.key, "slice": row.slice, "lo": lo, "hi": hi, "points": at, "images": y[group].tolist()}
 
 
-def scan_rests(summaries: list, token: int) -> list[dict]:
+def scan_rests(summaries: Iterable[dict], token: int) -> Iterator[dict]:
     """Interval of the rest at the start of every slice, from that of the first, by the images of the last round."""
-    out, low, high = [], 0, 0
+    low, high = 0, 0
     for s in summaries:
         if high - low >= token - 1:
             low, high = 0, token - 1
-        out.append({"slice": s["slice"], "lo": low, "hi": high})
+        yield {"slice": s["slice"], "lo": low, "hi": high}
         # The points cover the interval; a turn of the circle further, images are a token higher.
         turn, below = divmod(low - s["lo"], token)
         first = bisect_right(s["points"], s["lo"] + below) - 1
-        image_low = s["images"][first] + turn * token
+        image_low = int(s["images"][first]) + turn * token
         turn, below = divmod(high - s["lo"], token)
         last = bisect_left(s["points"], s["lo"] + below)
-        image_high = (s["images"][last] if last < len(s["points"]) else s["images"][0] + token) + turn * token
+        image_high = int(s["images"][last] if last < len(s["points"]) else s["images"][0] + token) + turn * token
         base = image_low // token * token
         low, high = image_low - base, image_high - base
-    return out
 
 
 def decide_slice(row, token: int, full_after: int) -> dict:
@@ -150,8 +148,7 @@ def decide_slice(row, token: int, full_after: int) -> dict:
 
 def slice_decisions(events: DataFrame, slice_length: int | None, token: int = TOKEN, full_after: int = FULL_AFTER, points: int = POINTS) -> DataFrame:
     """(key, slice, ts, id, allowed, remaining) with parallel arrays, from events (key, _us, _id, rate)."""
-    micros = slice_length or slice_micros(events, "key", "_us")
-    slices = cut_lineage(cut_slices(events, "key", "_us", "_id", ["rate"], micros))
+    slices = cut_lineage(cut_slices(events, "key", "_us", "_id", ["rate"], slice_length))
     clamps = per_slice(
         slices.select("key", "slice", "ts", "rate"),
         lambda row: clamp_summary(row, token, full_after),

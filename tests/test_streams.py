@@ -203,3 +203,21 @@ def test_rounds_end_exactly(spark):
     out = B.slice_decisions(df, 20_000_000, points=8)
     got = {i: (a, n) for r in out.collect() for i, a, n in zip(r.id, r.allowed, r.remaining)}
     assert got == expected_bucket(rows)
+
+
+def test_a_burst_cuts_only_its_own_rows(spark, monkeypatch):
+    """Slices follow each key's rows: a burst of one key leaves another key's slices, and its own calm hours, as long as they were."""
+    from pagewright.streaming import slices
+
+    monkeypatch.setattr(slices, "ROWS_PER_SLICE", 100)
+    rnd = random.Random(12)
+    day = sorted(rnd.randrange(-3_600_000_000, 82_800_000_000) for _ in range(3000))
+    burst = [40_000_000_000 + (rnd.randrange(1_000_000) if i % 2 else rnd.randrange(50)) for i in range(2400)]
+    rows = [("hot", t, i, 2) for i, t in enumerate(day)] + [("burst", t, 10_000 + i, 10) for i, t in enumerate([*burst, *day[:900]])]
+    df = spark.createDataFrame(rows, "key string, _us long, _id long, rate long")
+    out = B.slice_decisions(df, None).collect()
+    got = {i: (a, n) for r in out for i, a, n in zip(r.id, r.allowed, r.remaining)}
+    assert got == expected_bucket(rows)
+    for key, n in (("hot", 3000), ("burst", 3300)):
+        sizes = [len(r.ts) for r in out if r.key == key]
+        assert sum(sizes) == n and len(sizes) <= n // 100 + 1 and max(sizes) < 200
