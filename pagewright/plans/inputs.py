@@ -166,6 +166,8 @@ SCRAPE_CAP = 4_000
 SCRAPES = """SELECT page_id AS request_id, page_id % 50 AS owner, 'scrape' AS kind, page_id % 13 <> 4 AS readable,
   CASE page_id % 11 WHEN 2 THEN 'https://public.example/gone' WHEN 5 THEN '' WHEN 7 THEN 'http://10.0.0.8/x' WHEN 9 THEN 'https://www.linkedin.com/in/x' ELSE url END AS url,
   CASE page_id % 7 WHEN 3 THEN 'pdf' ELSE '' END AS format, CAST(NULL AS STRING) AS extract_schema FROM pages"""
+# Scrapes of every stored page at its stored URL.
+STORED_SCRAPES = """SELECT page_id AS request_id, page_id % 50 AS owner, 'scrape' AS kind, true AS readable, url, '' AS format, CAST(NULL AS STRING) AS extract_schema FROM pages"""
 SCRAPE_DNS = """SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, 0 AS pos, '93.184.216.34' AS ip FROM pages
  UNION SELECT 'public.example', 0, '93.184.216.34' UNION SELECT 'www.linkedin.com', 0, '13.107.42.14'"""
 

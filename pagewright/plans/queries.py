@@ -10,7 +10,7 @@ from pagewright.functions.sql import fn as F
 from pagewright.operators import admission, chunks, crawl as crawls, health, jobs, markdown, pages as P, routing, safety, scrape
 from pagewright.operators.rows import explode_array
 from pagewright.plans import inputs as I
-from pagewright.sources.snapshot import fetch_outcomes, read_pages, read_table
+from pagewright.sources.snapshot import BODY_CAP, fetch_outcomes, read_pages, read_table
 from pagewright.streaming.throttle import throttle_log
 from pagewright.streaming.token_bucket import limit_requests
 
@@ -499,12 +499,22 @@ def job_results(spark, folder):
     return rows.select("page_id", jobs.job_status_json(S.concat(S.lit("job-"), S.col("page_id")), S.col("ok"), data).alias("status_json"))
 
 
-def scrape_results(spark, folder):
-    asked = I.derive(spark, folder, I.SCRAPES, "pages")
+def _scrapes(spark, folder, sql, body_cap):
+    asked = I.derive(spark, folder, sql, "pages")
     requests = admission.with_plan(asked, "owner", _plans(spark, folder))
     snapshot = I.derive(spark, folder, f"SELECT page_id, url, {I.STATUS} AS status, {I.CONTENT_TYPE} AS content_type, html FROM pages", "pages")
     dns = I.derive(spark, folder, I.SCRAPE_DNS, "pages")
-    return scrape.scrape_results(requests, snapshot, dns, body_cap=I.SCRAPE_CAP)
+    return scrape.scrape_results(requests, snapshot, dns, body_cap=body_cap)
+
+
+def scrape_results(spark, folder):
+    """Every failing rule, at a small cap."""
+    return _scrapes(spark, folder, I.SCRAPES, I.SCRAPE_CAP)
+
+
+def scrape_results_stored(spark, folder):
+    """Every stored page at its stored URL, at the shipped cap."""
+    return _scrapes(spark, folder, I.STORED_SCRAPES, BODY_CAP)
 
 
 def status_expiry(spark, folder):
@@ -542,7 +552,7 @@ QUERIES = {
         page_markdown_ai, page_markdown_browser, markdown_elements, markdown_elements_ai, markdown_elements_browser, output_format, crawl_bfs, crawl_budget, crawl_summary, crawl_status, chunk_headings,
         chunk_pack, prompt_table, response_parse, admission_verdicts, crawl_caps, request_payloads, owner_hash, access_log, key_check,
         signed_plan, token_bucket, token_bucket_owners, reject_throttle, usage_rollup, queue_entries, queue_trim, queue_trim_shipped, orphans,
-        job_latest_status, job_lookup, extractor_chain, job_results, scrape_results, status_expiry, queue_health, overall_status,
+        job_latest_status, job_lookup, extractor_chain, job_results, scrape_results, scrape_results_stored, status_expiry, queue_health, overall_status,
         overall_status_cases, page_token_text, private_ip6, page_metadata_heads, page_metadata_heads_browser, page_links_schemes, prompt_request,
     )
 }

@@ -1,8 +1,13 @@
 import json
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagewright.operators import admission as A, jobs as J, scrape as S
+from pagewright.plans.queries import QUERIES
+
+FOLDER = "/root/testdata/sf0.001"
 
 
 
@@ -45,3 +50,14 @@ def test_writes_refresh_the_owner(spark):
     events = spark.createDataFrame([("j", 1, 10), ("j", 2, 500)], "job_id string, seq int, at long")
     kept = J.latest_status(J.status_writes(events, "at", F.lit(0))).first()
     assert (kept.expires_at, kept.owner_expires_at) == (4100, 4100)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
+def test_every_stored_page_becomes_a_document(spark):
+    """At the shipped cap, over all stored URLs: pages of any size are read, and none is replaced by a made one."""
+    pages = {r.page_id: r for r in spark.read.parquet(f"{FOLDER}/pages.parquet").collect()}
+    rows = QUERIES["scrape_results_stored"](spark, FOLDER).collect()
+    assert {r.request_id for r in rows} == set(pages) and len(rows) == len(pages)
+    done = [json.loads(r.status_json) for r in rows]
+    assert {d["status"] for d in done} == {"completed"}
+    assert max(len(d["results"][0]["data"]["content"]) for d in done) == max(len(p.html) for p in pages.values())
