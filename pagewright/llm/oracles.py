@@ -8,6 +8,15 @@ from pagewright.llm import credentials
 _WS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: A table with one row, the list ``crc`` of the checksum's 256 steps, and the unsigned CRC-32 of a text beside it.
+_CRC_TABLE = "(SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc FROM (SELECT unnest(range(256)) AS i))"
+
+
+def _crc(text: str) -> str:
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 _LINES = f"""SELECT doc_id, pos, line, {_LOWER.format(f"trim(line, {_WS})")} AS key
  FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))"""
 
@@ -75,8 +84,7 @@ def _shard_sql(shards: int = 24, bits: int = 5) -> str:
 
     Names are grouped by value here, where the operator groups them by 4,096 hash bins; the same while no two names share one.
     """
-    table = "(SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc FROM (SELECT unnest(range(256)) AS i))"
-    crc = "xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"
+    table, crc = _CRC_TABLE, _crc("t")
     dims = {"a": "lang", "b": "source", "c": "step"}
     codes = ", ".join(
         f"{k}_n AS (SELECT {v}, count(*) AS n FROM d GROUP BY {v}), {k}_c AS (SELECT {v}, CAST(floor((sum(n) OVER (ORDER BY {v}) - n) * {1 << bits} / sum(n) OVER ()) AS BIGINT) AS {k} FROM {k}_n)"
@@ -150,4 +158,23 @@ def _chat_sql() -> str:
    || CASE WHEN n < turns THEN '' WHEN z = 1 THEN {end} || {empty("user")} || {empty("assistant")} WHEN z = 2 THEN {end} || {empty("assistant")} ELSE {end} END AS rendered FROM p"""
 
 
-ORACLES = {"op2_secret_scan": _secret_sql(), "op3_hilbert_shards": _shard_sql(), "op4_line_dedup": OP4, "op5_shingle_join": OP5, "op9_top_products": OP9, "op10_chat_repair": _chat_sql()}
+# ---- resampling --------------------------------------------------------------------------------
+
+
+def _features(table: str, key: str) -> str:
+    return f"""SELECT {key} AS id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS x
+   FROM (SELECT {key}, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM {table})"""
+
+
+OP11 = f"""WITH f AS ({_features("documents", "doc_id")}), g AS ({_features("benchmark", "item_id")}),
+ b AS (SELECT x, CAST({_crc("x")} AS BIGINT) % 10000 AS b FROM (SELECT x FROM f UNION SELECT x FROM g), {_CRC_TABLE} AS crc_table),
+ fb AS (SELECT id, b FROM f JOIN b USING (x)), s AS (SELECT b, count(*) AS s FROM fb GROUP BY b), t AS (SELECT b, count(*) AS t FROM g JOIN b USING (x) GROUP BY b),
+ gains AS (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM f) + 10000) / ((s + 1.0::DOUBLE) * ((SELECT count(*) FROM g) + 10000)))) AS gain FROM s LEFT JOIN t USING (b)),
+ w AS (SELECT id, count(*) AS n, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM fb JOIN gains USING (b) GROUP BY id),
+ d AS (SELECT doc_id, len(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) >= 20 AS able, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+   coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM documents LEFT JOIN w ON id = doc_id),
+ r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM d WHERE able)
+ SELECT doc_id, n_features, weight, score, CASE WHEN r <= (SELECT count(*) FROM r) * 25 // 100 THEN r END AS rank FROM d LEFT JOIN r USING (doc_id)"""
+
+
+ORACLES = {"op2_secret_scan": _secret_sql(), "op3_hilbert_shards": _shard_sql(), "op4_line_dedup": OP4, "op5_shingle_join": OP5, "op9_top_products": OP9, "op10_chat_repair": _chat_sql(), "op11_importance_resampling": OP11}
