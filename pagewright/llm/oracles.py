@@ -177,4 +177,22 @@ OP11 = f"""WITH f AS ({_features("documents", "doc_id")}), g AS ({_features("ben
  SELECT doc_id, n_features, weight, score, CASE WHEN r <= (SELECT count(*) FROM r) * 25 // 100 THEN r END AS rank FROM d LEFT JOIN r USING (doc_id)"""
 
 
-ORACLES = {"op2_secret_scan": _secret_sql(), "op3_hilbert_shards": _shard_sql(), "op4_line_dedup": OP4, "op5_shingle_join": OP5, "op9_top_products": OP9, "op10_chat_repair": _chat_sql(), "op11_importance_resampling": OP11}
+# ---- spelling variants -------------------------------------------------------------------------
+
+#: Words beside each of their code points left out: equal rests at one place are a replacement, a rest that is a word a deletion.
+OP12 = f"""WITH RECURSIVE runs AS (SELECT doc_id, {_LOWER.format("x")} AS run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS x FROM documents) GROUP BY ALL),
+ h AS (SELECT run, n, CAST({_crc("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS BIGINT) AS h FROM runs, {_CRC_TABLE} AS crc_table),
+ words AS MATERIALIZED (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+ cut AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+ dels AS (SELECT c.word AS a, w.word AS b FROM cut AS c JOIN words AS w ON w.word = c.rest),
+ near AS (SELECT a, b FROM dels UNION SELECT b, a FROM dels UNION SELECT x.word, y.word FROM cut AS x JOIN cut AS y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word),
+ best AS (SELECT a AS word, count(*) AS n_near, min(struct_pack(m := -n, near := b)) AS best FROM near JOIN words ON word = b GROUP BY a),
+ forms AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 5 * n THEN best.near END AS form, CASE WHEN -best.m >= 5 * n THEN -best.m END AS form_n FROM words LEFT JOIN best USING (word)),
+ way AS (SELECT word, word AS root, form AS next FROM forms UNION ALL SELECT way.word, f.word, f.form FROM way JOIN forms AS f ON f.word = way.next)
+ SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, root FROM way WHERE next IS NULL) USING (word)"""
+
+
+ORACLES = {
+    "op2_secret_scan": _secret_sql(), "op3_hilbert_shards": _shard_sql(), "op4_line_dedup": OP4, "op5_shingle_join": OP5, "op9_top_products": OP9,
+    "op10_chat_repair": _chat_sql(), "op11_importance_resampling": OP11, "op12_spelling_variants": OP12,
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as S
 
 from pagewright.functions.sql import fn as F
-from pagewright.llm import bpe, chat, credentials, line_dedup, ngram_join, outliers, packing, pii, resampling, sharding, topk
+from pagewright.llm import bpe, chat, credentials, line_dedup, ngram_join, outliers, packing, pii, resampling, sharding, topk, variants
 from pagewright.sources.snapshot import read_table
 
 
@@ -81,10 +81,14 @@ def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.variant_groups(read_table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_secret_scan, op3_hilbert_shards, op4_line_dedup, op5_shingle_join, op6_quality_outliers, op7_bpe_round_trip, op8_personal_data, op9_top_products,
-        op10_chat_repair, op11_importance_resampling,
+        op10_chat_repair, op11_importance_resampling, op12_spelling_variants,
     )
 }
