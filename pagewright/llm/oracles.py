@@ -192,7 +192,14 @@ OP12 = f"""WITH RECURSIVE runs AS (SELECT doc_id, {_LOWER.format("x")} AS run, c
  SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, root FROM way WHERE next IS NULL) USING (word)"""
 
 
+# ---- archives ----------------------------------------------------------------------------------
+
+_SIGNS = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1)), '')"
+OP13 = f"""SELECT page_id, payload_bytes, {_SIGNS} AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+ FROM (SELECT page_id, strlen(b) AS payload_bytes, sha1(b) AS h, max(page_id) OVER (PARTITION BY b) AS last FROM (SELECT page_id, coalesce(html, '') AS b FROM pages))"""
+
+
 ORACLES = {
     "op2_secret_scan": _secret_sql(), "op3_hilbert_shards": _shard_sql(), "op4_line_dedup": OP4, "op5_shingle_join": OP5, "op9_top_products": OP9,
-    "op10_chat_repair": _chat_sql(), "op11_importance_resampling": OP11, "op12_spelling_variants": OP12,
+    "op10_chat_repair": _chat_sql(), "op11_importance_resampling": OP11, "op12_spelling_variants": OP12, "op13_segment_reassembly": OP13,
 }

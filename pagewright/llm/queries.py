@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as S
 
 from pagewright.functions.sql import fn as F
-from pagewright.llm import bpe, chat, credentials, line_dedup, ngram_join, outliers, packing, pii, resampling, sharding, topk, variants
-from pagewright.sources.snapshot import read_table
+from pagewright.llm import bpe, chat, credentials, line_dedup, ngram_join, outliers, packing, pii, resampling, sharding, topk, variants, warc
+from pagewright.sources.snapshot import read_pages, read_table
 
 
 def _count(spans, kind: str):
@@ -85,10 +85,14 @@ def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return variants.variant_groups(read_table(spark, folder, "documents"))
 
 
+def op13_segment_reassembly(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived_payloads(read_pages(spark, folder)).drop("defect")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_secret_scan, op3_hilbert_shards, op4_line_dedup, op5_shingle_join, op6_quality_outliers, op7_bpe_round_trip, op8_personal_data, op9_top_products,
-        op10_chat_repair, op11_importance_resampling, op12_spelling_variants,
+        op10_chat_repair, op11_importance_resampling, op12_spelling_variants, op13_segment_reassembly,
     )
 }
