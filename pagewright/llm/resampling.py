@@ -18,7 +18,7 @@ BLOCK_WORDS = 1 << 18
 #: Words over this many bytes are hashed one by one.
 LONG_WORD = 48
 #: Bits of a digit of the sort at most, and bits of a position inside its block.
-DIGIT_BITS, BLOCK_BITS = 12, 15
+DIGIT_BITS, BLOCK_BITS = 10, 13
 
 
 def _crc_table():
@@ -183,7 +183,7 @@ def radix_positions(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` with ``_pos``: the place of each row, from 0, in the order of its long ``keys`` (the first the most significant, NULL last).
 
     A least-significant-digit radix sort. Each pass is a stable counting sort on one digit: the rows stand in blocks of
-    2^15 places; the rows of each digit are counted per block; prefix sums over (digit, block) give where the rows of
+    2^13 places; the rows of each digit are counted per block; prefix sums over (digit, block) give where the rows of
     a digit in a block go; a row's destination is that plus its rank there. No task holds more than a block's rows of a
     digit or, in the prefix sums, one number a block, so equal keys need no care. Each pass is written to the shared
     folder. Rows with equal keys keep the order in which they were stored. An empty table stays empty.
@@ -193,7 +193,7 @@ def radix_positions(rows: DataFrame, keys: list[str]) -> DataFrame:
     for digit in _digits(now, keys):
         dealt = now.withColumn("_digit", digit).withColumn("_block", S.shiftright("_pos", BLOCK_BITS))
         counts = write_through(dealt.groupBy("_digit", "_block").agg(S.count(S.lit(1)).alias("_n")))
-        # At most 2^12 digits: their starts need no partitioning.
+        # At most 2^10 digits: their starts need no partitioning.
         totals = counts.groupBy("_digit").agg(S.sum("_n").alias("_n"))
         starts = totals.select("_digit", S.coalesce(S.sum("_n").over(Window.orderBy("_digit").rowsBetween(Window.unboundedPreceding, -1)), S.lit(0)).alias("_start"))
         before = counts.select("_digit", "_block", S.coalesce(S.sum("_n").over(running), S.lit(0)).alias("_before"))
