@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, functions as S
 RANKS = "byte_bpe_50k.tiktoken"
 #: Texts over this many characters are encoded in pieces.
 PIECE_CHARS = 1 << 16
+#: Runs of this many white-space characters or more are taken apart from the text around them.
+LONG_RUN = 4096
+#: White space as the tokenizer's pattern knows it, a fixed value of Unicode.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
 def default_ranks() -> str:
@@ -57,12 +61,32 @@ def safe_pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
+def matches_and_texts(text: str, size: int = PIECE_CHARS) -> Iterator[tuple[str, bool]]:
+    """The text in pieces, each with whether it is a single match of the pattern.
+
+    The library's regular expression overflows its stack on a run of a million white-space characters. A match starts
+    where such a run does, as no other match holds white space but for a space before it. It takes the run up to its
+    last character, or all of it at the end of the text; what is left begins with that character and is encoded as ever.
+    """
+    import re
+
+    at = 0
+    for m in re.finditer(f"[{WHITE}]{{{LONG_RUN},}}+", text):
+        end = m.end() - (m.end() < len(text))
+        yield from ((piece, False) for piece in safe_pieces(text[at:m.start()], size))
+        yield text[m.start():end], True
+        at = end
+    yield from ((piece, False) for piece in safe_pieces(text[at:], size))
+
+
 def encode_text(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", ranks_path: str | None = None, pattern: str | None = None, piece_chars: int = PIECE_CHARS) -> DataFrame:
     """``docs`` with binary column ``ids_col``: the token ids of the whole text, each four bytes, little-endian.
 
     The rank file lies at ``ranks_path`` on every worker. Each match of ``pattern`` is encoded by itself; the
     strings of special tokens are ordinary text. NULL and empty text have no ids; every row stays and gets ids
-    from its own text alone, in the task that reads it; an empty table stays empty.
+    from its own text alone, in the task that reads it; an empty table stays empty. Other columns pass through, one of
+    the name ``ids_col`` is replaced. A pattern of the caller's own must treat white space as the default one does: runs of it
+    are matches but for their last character, and one space may begin another match.
     """
     path, pat = ranks_path or default_ranks(), pattern or default_pattern()
 
@@ -74,7 +98,7 @@ def encode_text(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", r
         enc = load_encoding(path, pat)
 
         def ids(text):
-            out = [np.array(enc.encode_ordinary(piece), dtype="<u4") for piece in safe_pieces(text or "", piece_chars)]
+            out = [np.array(enc._encode_single_piece(piece) if single else enc.encode_ordinary(piece), dtype="<u4") for piece, single in matches_and_texts(text, piece_chars)]
             return np.concatenate(out).tobytes()
 
         return pd.Series([ids(t) for t in texts], dtype=object)

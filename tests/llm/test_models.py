@@ -107,6 +107,30 @@ def test_bpe_round_trip(make_docs):
     assert bpe.encode_text(make_docs([])).count() == 0
 
 
+def by_matches(enc, text):
+    """Ids of each match by itself; the matches come from another regular-expression library."""
+    import public_tokenizers as P
+    import regex
+
+    return [i for m in regex.finditer(P.PATTERN, text) for i in enc._encode_single_piece(m[0])]
+
+
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def test_bpe_of_long_runs(make_docs):
+    """Runs at the ends and in the middle, far over what the library's regular expression takes."""
+    n = 5_000_000
+    texts = [" " * n + "a" + "\n" * n + "word", "x" + "\t" * n, "\u3000" * n, "a" * n, "7" * n + " !", "e" + "\u0301" * n, "日" * n]
+    texts += [f"be{c * 1_000_000}{d}en{c * 5000}" for c, d in zip(WHITE, WHITE[1:] + " ")] + [" " * 4095 + "a" + " " * 4096 + "b" + "\n" * 4097 + "!", "a\x1c" + " \n" * 3000 + "\x1c"]
+    enc = whole_text_encoding()
+    out = bpe.decode_ids(bpe.encode_text(make_docs(list(enumerate(texts))).repartition(8))).select("doc_id", "ids", "decoded").collect()
+    for r in out:
+        assert bytes(r.decoded) == texts[r.doc_id].encode()
+        assert r.ids == np.array(by_matches(enc, texts[r.doc_id]), "<u4").tobytes()
+    assert len(out) == len(texts)
+
+
 def test_bpe_equals_another_library(make_docs):
     import public_tokenizers as P
     from tokenizers import Tokenizer
