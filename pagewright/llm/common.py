@@ -32,3 +32,28 @@ def ascii_lower(x) -> Expr:
 def words(text) -> Expr:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, in order."""
     return F.filter(F.split(F.translate(expr(text), SPACE, " " * len(SPACE)), " "), lambda w: w != "")
+
+
+#: Numbers that one step of ``running`` folds; folds copy what they have gathered, so they stay short.
+FOLD = 512
+
+
+def running(values, combine: Callable[[Expr, Expr], Expr]) -> Expr:
+    """For each of an array of longs that aren't negative, 0 and all before it combined (their sum, their maximum, ...).
+
+    Blocks of 512 are folded each, and so are the blocks' totals, so long arrays take time in proportion.
+    """
+
+    def fold(block: Expr) -> Expr:
+        start = Expr("named_struct('all', 0L, 'out', CAST(array() AS array<bigint>))")
+        return F.aggregate(block, start, lambda a, x: F.struct(combine(a["all"], x).alias("all"), F.concat(a["out"], F.array(a["all"])).alias("out")))
+
+    def blocks(xs: Expr) -> Expr:
+        firsts = F.sequence(0, F.greatest(Expr(f"CAST((size({xs.text}) - 1) DIV {FOLD} AS INT)"), 0))
+        return let(F.transform(firsts, lambda i: fold(F.slice(xs, i * FOLD + 1, FOLD))), joined)
+
+    def joined(folded: Expr) -> Expr:
+        before = fold(F.transform(folded, lambda b: b["all"]))["out"]
+        return F.flatten(F.zip_with(folded, before, lambda b, all_before: F.transform(b["out"], lambda x: combine(all_before, x))))
+
+    return let(F.transform(expr(values), lambda x: x.cast("bigint")), blocks)

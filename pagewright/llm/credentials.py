@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as S
 
 from pagewright.functions.sql import Expr, expr, fn as F
+from pagewright.llm.common import let, running
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Base kinds in their order: pattern without failing matches of the runs, and the group whose length decides.
 #: A run shorter than asked for can't hold a longer one, so the length stands in the pattern of runs.
 BASE = (("assign", ASSIGN, 2, 6), ("access", r"AKIA[A-Z0-9]{16,}", 0, 20), ("hex", r"[0-9a-f]{24,}", 0, 24))
 
+BREAK = r"\n[\x20\t\r]*\n"
 _VALUE = r"""["']?\x20*[:=]\x20*["']?"""
 #: Parts of a credential that mean little alone, and what may complete them; the first that fits at a place wins.
 PARTS = {
@@ -19,7 +21,7 @@ PARTS = {
     "ident": rf"(?:username|user_?id|user|login|account|client_?id|access_?key_?id){_VALUE}[A-Za-z0-9._@+-]{{3,}}",
     "endpoint": rf"(?:(?:https?|ftps?|ssh|ldaps?|amqps?|redis|mongodb|mysql|postgres|postgresql)://[A-Za-z0-9._~:/?@%&=+-]+|(?:hostname|host|endpoint|server|base_?url){_VALUE}[A-Za-z0-9.:/_-]{{4,}})",
     "key": rf"(?:(?:pwd|passphrase|credentials?|private_?key|auth_?key){_VALUE}[A-Za-z0-9+/_.=-]{{6,}}|[A-Za-z0-9+/_-]{{20,}}=*)",
-    "break": r"\n[\x20\t\r]*\n",
+    "break": BREAK,
 }
 COMBINED = "(?i)" + "|".join(f"({p})" for p in (ASSIGN[4:].replace("(password", "(?:password").replace("([A-Z", "(?:[A-Z"), *list(PARTS.values())[1:]))
 #: A weak part of the left kind counts if one of the right kinds lies near in its scope.
@@ -34,22 +36,23 @@ REACH = NEAR // SHORTEST + 2
 def with_matches(docs: DataFrame, name: str, text: Expr, pattern: str) -> DataFrame:
     """Column ``name``: the leftmost non-overlapping matches as structs (start, end, m, scope), in order.
 
-    Places are code points, end exclusive; they follow from the pieces between the matches, whose lengths one
-    fold adds up. ``scope`` counts the matches before that begin with a line feed.
+    Places are code points, end exclusive; they follow from the pieces between the matches, whose lengths are
+    added up. ``scope`` counts the matches before that begin with a line feed.
     """
     docs = docs.withColumn("_ms", F.regexp_extract_all(text, pattern, 0).col)
     ms = F.col("_ms")
     # A text without matches is not split; the pieces of the others are read once.
     pieces = F.when(F.size(ms) == 0, Expr("array()")).otherwise(F.transform(F.split(text, pattern, -1), lambda p: F.char_length(p)))
     docs = docs.withColumn("_gaps", F.slice(pieces, 1, F.greatest(F.size(ms), 1)).col)
-    start = Expr("named_struct('at', 0, 'scope', 0, 'out', CAST(array() AS array<struct<start:int,end:int,m:string,scope:int>>))")
-    step = lambda a, x: F.struct(
-        (a["at"] + x["gap"] + F.char_length(x["m"])).alias("at"),
-        (a["scope"] + F.when(F.startswith(x["m"], "\n"), 1).otherwise(0)).alias("scope"),
-        F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + F.char_length(x["m"])).alias("end"), x["m"].alias("m"), a["scope"].alias("scope")))).alias("out"),
-    )
-    zipped = F.zip_with(ms, F.col("_gaps"), lambda m, g: F.struct(m.alias("m"), g.alias("gap")))
-    return docs.withColumn(name, F.aggregate(zipped, start, step, lambda a: a["out"]).col).drop("_ms", "_gaps")
+    plus = lambda a, x: a + x
+    lengths = F.zip_with(ms, F.col("_gaps"), lambda m, g: g + F.char_length(m))
+    starts = F.zip_with(running(lengths, plus), F.col("_gaps"), lambda before, g: (before + g).cast("int"))
+    breaks = F.transform(ms, lambda m: F.when(F.startswith(m, "\n"), 1).otherwise(0))
+    scopes = F.transform(running(breaks, plus), lambda n: n.cast("int")) if BREAK in pattern else F.transform(ms, lambda m: F.lit(0))
+    placed = F.zip_with(ms, starts, lambda m, at: F.struct(at.alias("start"), (at + F.char_length(m)).alias("end"), m.alias("m")))
+    whole = F.zip_with(placed, scopes, lambda x, n: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m"), n.alias("scope")))
+    none = Expr("CAST(array() AS array<struct<start:int,end:int,m:string,scope:int>>)")
+    return docs.withColumn(name, F.when(F.size(ms) == 0, none).otherwise(whole).col).drop("_ms", "_gaps")
 
 
 def named(matches: str, kind, ranks: dict[str, int]) -> Expr:
@@ -117,15 +120,39 @@ def span_text(spans) -> Expr:
     return F.array_join(F.transform(expr(spans), lambda s: F.concat(s["kind"], ":", s["start"].cast("string"), ":", s["end"].cast("string"))), ",")
 
 
+def between(text: Expr, cuts: Expr) -> Expr:
+    """The pieces of a text from ``at`` to ``to``, for an array of such structs; code points, end exclusive.
+
+    Finding a place in a string takes as long as the place is far, so the text is first dealt into blocks.
+    """
+    block = 1024
+
+    def pieces(blocks: Expr) -> Expr:
+        def piece(c: Expr) -> Expr:
+            first, last = Expr(f"CAST({c['at'].text} DIV {block} AS INT)"), Expr(f"CAST({c['to'].text} DIV {block} AS INT)")
+            start = Expr(f"CAST({c['at'].text} % {block} + 1 AS INT)")
+            inner = F.substring(F.get(blocks, first), start, (c["to"] - c["at"]).cast("int"))
+            head = F.substring(F.get(blocks, first), start, block)
+            tail = F.coalesce(F.substring(F.get(blocks, last), 1, Expr(f"CAST({c['to'].text} % {block} AS INT)")), "")
+            return F.when(c["to"] <= c["at"], "").when(first == last, inner).otherwise(F.concat(head, F.array_join(F.slice(blocks, first + 2, last - first - 1), ""), tail))
+
+        return F.transform(cuts, piece)
+
+    return let(F.regexp_extract_all(text, f"(?s).{{1,{block}}}", 0), pieces)
+
+
 def redact(text: Expr, spans: Expr, mark: str = "[SECRET]") -> Expr:
     """The text with every span replaced; overlapping spans become one mark. NULL text stays NULL."""
-    start = Expr("named_struct('at', 0, 'out', '')")
-    step = lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(F.struct(
-        s["end"].alias("at"),
-        F.concat(a["out"], F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], 0)), F.when((s["start"] < a["at"]), "").otherwise(mark)).alias("out"),
-    ))
-    done = F.aggregate(F.array_sort(spans), start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))))
-    return F.when(F.size(spans) == 0, text).otherwise(done)
+
+    def masked(sorted_spans: Expr) -> Expr:
+        """Each span that begins past all ends before it starts a mark, and the text before it is kept."""
+        reached = running(F.transform(sorted_spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+        pairs = F.zip_with(sorted_spans, reached, lambda s, at: F.struct(at.alias("at"), s["start"].cast("bigint").alias("to"), (s["start"] >= at).alias("new")))
+        fresh = F.filter(pairs, lambda p: p["new"])
+        rest = F.struct(F.array_max(F.transform(sorted_spans, lambda s: s["end"].cast("bigint"))).alias("at"), F.char_length(text).cast("bigint").alias("to"), F.lit(True).alias("new"))
+        return F.array_join(between(text, F.concat(fresh, F.array(rest))), mark)
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.array_sort(spans), masked))
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
