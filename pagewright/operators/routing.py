@@ -162,8 +162,11 @@ def _not_html(content_type: Column) -> Column:
     return (content_type != "") & ~content_type.contains("text/html") & ~content_type.contains("application/xhtml")
 
 
-def classify_url(url: Column, dialect: str = GATEWAY, headers: Column | None = None) -> Column:
-    """STRUCT<tier, reason, confidence, strategy>, first matching rule."""
+def classify_url(url: Column, dialect: str = GATEWAY, headers: Column | None = None, protected: Column | None = None, static_doc: Column | None = None) -> Column:
+    """STRUCT<tier, reason, confidence, strategy>, first matching rule.
+
+    ``protected`` and ``static_doc`` take the place of the fixed lists: the name that holds for the URL's host, or NULL.
+    """
 
     def probe(p: Column) -> Column:
         host, path = F.lower(p["host"]), F.lower(p["path"])
@@ -172,7 +175,7 @@ def classify_url(url: Column, dialect: str = GATEWAY, headers: Column | None = N
             p["ok"].alias("ok"),
             host.alias("host"),
             strategy.alias("strategy"),
-            protected_domain(host).alias("protected"),
+            (protected_domain(host) if protected is None else protected).alias("protected"),
             spa_path(path).alias("spa"),
         )
 
@@ -184,7 +187,7 @@ def classify_url(url: Column, dialect: str = GATEWAY, headers: Column | None = N
             F.when(~s["ok"], route(FAST, unparseable, 0.3))
             .when(s["strategy"].isNotNull(), route(FAST, F.concat(F.lit("platform: "), s["strategy"]), 0.9, s["strategy"]))
             .when(s["protected"].isNotNull(), route(STEALTH, F.concat(F.lit("protected domain: "), s["protected"]), 0.9))
-            .when(is_static_doc_host(s["host"]), route(FAST, F.concat(F.lit("known static doc host: "), s["host"]), 0.9))
+            .when(is_static_doc_host(s["host"]) if static_doc is None else static_doc.isNotNull(), route(FAST, F.concat(F.lit("known static doc host: "), s["host"]), 0.9))
             .when(s["spa"].isNotNull(), route(BROWSER, F.concat(F.lit("SPA URL pattern: "), s["spa"]), 0.7))
             .when(mark.isNotNull(), route(BROWSER, F.concat(F.lit("hash-based SPA router: "), mark), 0.8))
             .when(_not_html(content_type), route(FAST, F.concat(F.lit("non-HTML content-type: "), content_type), 0.9))

@@ -9,6 +9,7 @@ from pagewright.functions.sql import Expr as Column, fn as F
 from pagewright.functions.addresses import host_is_private_literal, ipv4_number, ipv6_hex, is_private_address
 from pagewright.functions.text import let
 from pagewright.functions.urls import GATEWAY, is_web_scheme, redact_url, request_parts, url_parts
+from pagewright.operators.ranges import match_ranges
 
 BAD_URL = "invalid url"
 BAD_SCHEME = "url scheme must be http or https"
@@ -35,23 +36,36 @@ def host_addresses(dns: DataFrame, dialect: str = GATEWAY) -> DataFrame:
     )
 
 
+def addresses_in_ranges(dns: DataFrame, ranges: DataFrame, cidr: str = "cidr") -> DataFrame:
+    """N3 over a table of ranges: ``host_addresses``, an address being private if any range holds it."""
+    matched = match_ranges(dns.select("host", "pos", "ip"), "ip", ranges, cidr)
+    readable = matched.select("host", "pos", "ip", _is_address(F.col("ip")).alias("readable").col, S.col("range").isNotNull().alias("private"))
+    return readable.groupBy("host").agg(
+        S.bool_or("private").alias("any_private"),
+        S.min(S.when(S.col("readable"), S.struct("pos", "ip"))).getField("ip").alias("first_ip"),
+    )
+
+
 def _is_address(ip: Column) -> Column:
     return F.coalesce(ipv4_number(ip).isNotNull() | ipv6_hex(ip).isNotNull(), False)
 
 
-def validate_urls(df: DataFrame, url: str, dns: DataFrame, dialect: str = GATEWAY) -> DataFrame:
-    """Adds url_ok, url_error and pinned_ip.
+def validate_urls(df: DataFrame, url: str, dns: DataFrame, dialect: str = GATEWAY, ranges: DataFrame | None = None) -> DataFrame:
+    """Adds url_ok, url_error and pinned_ip. With ``ranges`` (cidr, ...), these say which addresses are private.
 
     The host side is reduced to one row per host first, so a host with a third of all URLs only
     makes one side of the join large, which adaptive execution splits. An address literal is its
     own resolution.
     """
-    addresses = host_addresses(dns, dialect).withColumnRenamed("host", "_host")
+    addresses = (host_addresses(dns, dialect) if ranges is None else addresses_in_ranges(dns, ranges)).withColumnRenamed("host", "_host")
     parsed = df.withColumn("_p", request_parts(F.col(url)).col)
     host = F.col("_p.host")
-    parsed = parsed.withColumn("_literal", _is_address(host).col).withColumn(
-        "_literal_private", F.coalesce(is_private_address(host, dialect), False).col
-    )
+    parsed = parsed.withColumn("_literal", _is_address(host).col)
+    if ranges is None:
+        parsed = parsed.withColumn("_literal_private", F.coalesce(is_private_address(host, dialect), False).col)
+    else:
+        literal = parsed.withColumn("_ip", F.when(F.col("_literal"), host).col)
+        parsed = match_ranges(literal, "_ip", ranges, name="_range").withColumn("_literal_private", S.col("_range").isNotNull()).drop("_range", "_ip")
     joined = parsed.join(addresses, S.col("_p.host") == S.col("_host"), "left")
     private = F.coalesce(F.col("any_private"), False) | (F.col("_literal") & F.col("_literal_private"))
     pinned = F.when(F.col("_literal"), host).otherwise(F.col("first_ip"))

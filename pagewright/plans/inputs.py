@@ -192,6 +192,27 @@ LINKED = """SELECT page_id, concat('http://h', CAST(page_id % 5 AS STRING), '.ex
   '.example/net">7</a><a href="tel:1">8</a><a href="/style.css">9</a><a href="/keep.html#x">10</a><a href="/drop/me">11</a>') AS html FROM pages"""
 
 
+# Addresses of documents, some of them unreadable, and ranges made from the same documents: nested ones, ones that
+# differ behind their prefix only, single addresses and the whole of both families.
+_OCTETS = "CAST(doc_id % 224 AS STRING) || '.' || CAST(doc_id * 7 % 256 AS STRING) || '.' || CAST(doc_id * 13 % 256 AS STRING)"
+_GROUPS = "'2001:db8:' || lower(hex(doc_id % 4096)) || ':' || lower(hex(doc_id * 31 % 65536))"
+RANGE_ADDRESSES = f"""SELECT doc_id, 0 AS kind, {_OCTETS} || '.' || CAST(doc_id % 256 AS STRING) AS ip FROM documents
+ UNION ALL SELECT doc_id, 1 AS kind, {_GROUPS} || ':0:0:0:' || lower(hex(doc_id * 17 % 65536)) AS ip FROM documents
+ UNION ALL SELECT doc_id, 2 AS kind, '0:0:0:0:0:FFFF:' || lower(hex(doc_id % 57344)) || ':' || lower(hex(doc_id * 5 % 65536)) AS ip FROM documents
+ UNION ALL SELECT doc_id, 3 AS kind, CASE doc_id % 3 WHEN 0 THEN '1.2.3' WHEN 1 THEN '1.2.3.' || CAST(256 + doc_id AS STRING) ELSE 'h' || CAST(doc_id AS STRING) END AS ip FROM documents"""
+RANGE_TABLE = f"""SELECT doc_id, CASE doc_id % 11
+  WHEN 0 THEN {_OCTETS} || '.0/24' WHEN 1 THEN {_OCTETS} || '.' || CAST(doc_id % 64 AS STRING) || '/25' WHEN 2 THEN CAST(doc_id % 224 AS STRING) || '.0.0.0/8'
+  WHEN 3 THEN CAST(doc_id % 224 AS STRING) || '.' || CAST(doc_id * 7 % 256 AS STRING) || '.9.9/' || CAST(9 + doc_id % 14 AS STRING) WHEN 4 THEN {_OCTETS} || '.' || CAST(doc_id % 256 AS STRING)
+  WHEN 5 THEN {_GROUPS} || ':0:0:0:1/' || CAST(33 + doc_id % 31 AS STRING) WHEN 6 THEN {_GROUPS} || ':0:0:0:' || lower(hex(doc_id * 17 % 65536)) WHEN 7 THEN {_GROUPS} || ':0:0:0:' || lower(hex(doc_id * 17 % 65536)) || '/' || CAST(65 + doc_id % 60 AS STRING)
+  WHEN 8 THEN '2001:db8:0:0:0:0:0:0/32' WHEN 9 THEN CASE doc_id % 2 WHEN 0 THEN '0.0.0.0/1' ELSE '0:0:0:0:0:0:0:0/0' END ELSE {_OCTETS} || '.0/33' END AS cidr FROM documents"""
+
+# Hosts of the pages' URLs and of made ones, and a table of names made from the same pages.
+HOSTS = f"SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS host FROM ({with_stored(ROUTED)}) AS u"
+NAMED = """SELECT CASE page_id % 6 WHEN 0 THEN h WHEN 1 THEN regexp_extract(h, '[^.]*[.][^.]*$', 0) WHEN 2 THEN regexp_extract(h, '^[^.]*', 0) WHEN 3 THEN 'www.' || h WHEN 4 THEN 'd' || CAST(page_id AS STRING) || '.example.org' ELSE regexp_extract(h, '[^.]*$', 0) END AS name,
+  CASE page_id % 7 WHEN 0 THEN 'exact' WHEN 1 THEN 'below' WHEN 2 THEN 'first' ELSE 'domain' END AS match, CASE page_id % 3 WHEN 0 THEN 'static_doc' ELSE 'protected' END AS list
+ FROM (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS h FROM pages) AS p WHERE page_id % 5 < 2"""
+
+
 def derive(spark: SparkSession, folder: str, sql: str, *tables: str) -> DataFrame:
     """Run a derivation over the named tables, without leaving views behind."""
     frames = {t: read_table(spark, folder, t) for t in tables}

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as S
 from pagewright.functions import urls as U
 from pagewright.functions.addresses import is_private_address
 from pagewright.functions.sql import fn as F
-from pagewright.operators import admission, chunks, crawl as crawls, health, jobs, markdown, pages as P, routing, safety, scrape
+from pagewright.operators import admission, chunks, crawl as crawls, domains, health, jobs, markdown, pages as P, ranges, routing, safety, scrape
 from pagewright.operators.rows import explode_array
 from pagewright.plans import inputs as I
 from pagewright.sources.snapshot import BODY_CAP, fetch_outcomes, read_pages, read_table
@@ -108,6 +108,18 @@ def private_ip6(spark, folder):
     return ips.select("doc_id", "ip", *[is_private_address(F.col("ip"), d).alias(d).col for d in ("gateway", "fast", "browser", "strict")])
 
 
+def ip_ranges(spark, folder):
+    """Each address with the longest of the ranges that hold it."""
+    found = ranges.match_ranges(I.derive(spark, folder, I.RANGE_ADDRESSES, "documents"), "ip", I.derive(spark, folder, I.RANGE_TABLE, "documents"))
+    return found.select("doc_id", "kind", "ip", "range.cidr", S.col("range.doc_id").alias("range_doc"))
+
+
+def host_domains(spark, folder):
+    """Each host with the longest name of each list that holds for it, over the shipped lists and a table that grows."""
+    names = domains.default_domains(spark).unionByName(I.derive(spark, folder, I.NAMED, "pages"))
+    return domains.match_domains(I.derive(spark, folder, I.HOSTS, "pages"), "host", names)
+
+
 def _dns(spark, folder):
     return I.derive(spark, folder, I.DNS, "pages")
 
@@ -553,6 +565,6 @@ QUERIES = {
         chunk_pack, prompt_table, response_parse, admission_verdicts, crawl_caps, request_payloads, owner_hash, access_log, key_check,
         signed_plan, token_bucket, token_bucket_owners, reject_throttle, usage_rollup, queue_entries, queue_trim, queue_trim_shipped, orphans,
         job_latest_status, job_lookup, extractor_chain, job_results, scrape_results, scrape_results_stored, status_expiry, queue_health, overall_status,
-        overall_status_cases, page_token_text, private_ip6, page_metadata_heads, page_metadata_heads_browser, page_links_schemes, prompt_request,
+        overall_status_cases, page_token_text, private_ip6, page_metadata_heads, page_metadata_heads_browser, page_links_schemes, prompt_request, ip_ranges, host_domains,
     )
 }
