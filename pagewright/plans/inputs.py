@@ -158,6 +158,9 @@ STATUS_EVENTS = """SELECT user_id AS job_id, event_id AS seq,
   CAST(event_id % 40 AS INT) AS pages_completed FROM events"""
 # Ids of entries as a queue gives them, in the order of event_id as numbers but not as text.
 ENTRY_ID = "CAST(event_id DIV 13 AS STRING) || '-' || CAST(event_id % 13 AS STRING)"
+# Queue entries, some without a URL or a job, a job in several entries.
+QUEUED = """SELECT CAST(event_id AS STRING) AS entry_id, ts, CASE event_type WHEN 'error' THEN 'browser_jobs' ELSE 'scrape_jobs' END AS stream,
+  CASE WHEN event_id % 13 <> 4 THEN 'http://h/' || CAST(user_id AS STRING) END AS url, CASE WHEN event_id % 11 <> 3 THEN 'job-' || CAST(user_id AS STRING) END AS job FROM events"""
 STREAM_OF = "CASE event_type WHEN 'error' THEN 'stealth_jobs' WHEN 'purchase' THEN 'browser_jobs' ELSE 'scrape_jobs' END"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as S
 
 from pagewright.functions import urls as U
@@ -10,7 +12,11 @@ from pagewright.functions.sql import fn as F
 from pagewright.operators import admission, chunks, crawl as crawls, domains, health, jobs, markdown, pages as P, ranges, routing, safety, scrape
 from pagewright.operators.rows import explode_array
 from pagewright.plans import inputs as I
+from pagewright.session import shared_folder
+from pagewright.sources.queues import read_queue
 from pagewright.sources.snapshot import BODY_CAP, fetch_outcomes, read_pages, read_table
+from pagewright.streaming.consumer import acknowledged, consume_queue, stored_results
+from pagewright.streaming.status import expire_status, lookup_status, maintain_status
 from pagewright.streaming.throttle import throttle_log
 from pagewright.streaming.token_bucket import limit_requests
 
@@ -535,6 +541,34 @@ def status_expiry(spark, folder):
     return kept.select("job_id", "seq", "status", "expires_at", "owner_expires_at")
 
 
+def consumed_results(spark, folder):
+    """Jobs consumed from a stored queue, results before acknowledgements, and which entries are acknowledged."""
+    entries = I.derive(spark, folder, I.QUEUED, "events").selectExpr("entry_id", "ts AS enqueued_at", "stream", "map_filter(map('url', url, 'job_id', job), (k, v) -> v IS NOT NULL) AS fields")
+    place = shared_folder(spark)
+    jobs.write_queue(entries, f"{place}/queue")
+    work = lambda usable: usable.select("job_id", "url", S.concat(S.lit("page of "), "url").alias("page"))
+    for name in ("scrape_jobs", "browser_jobs"):  # one after the other, as a worker of each stream would
+        consume_queue(read_queue(spark, f"{place}/queue", name, 64), work, f"{place}/{name}", f"{place}/{name}-offsets").awaitTermination()
+    found = [
+        stored_results(spark, f"{place}/{name}", "job_id string, url string, page string").select(S.lit(name).alias("stream"), "job_id", "page") for name in ("scrape_jobs", "browser_jobs")
+    ]
+    acks = [acknowledged(spark, f"{place}/{name}").select(S.lit(f"{name} acknowledged").alias("stream"), S.col("entry_id").alias("job_id"), S.lit(None).cast("string").alias("page")) for name in ("scrape_jobs", "browser_jobs")]
+    return reduce(DataFrame.unionByName, found + acks)
+
+
+def status_store(spark, folder):
+    """Status rows kept by a stream, swept of what has expired, and looked up on both sides of their instants."""
+    rows = I.derive(spark, folder, I.STATUS_EVENTS, "events")
+    kept = rows.selectExpr("CAST(job_id AS STRING) AS job_id", "seq", "status", "concat('owner-', job_id % 5) AS owner", "40 AS pages_total", "pages_completed", "seq + job_id % 7 * 1000 AS expires_at")
+    place = shared_folder(spark)
+    kept.write.parquet(f"{place}/events")
+    stream = spark.readStream.schema(kept.schema).parquet(f"{place}/events")
+    maintain_status(stream, f"{place}/status", f"{place}/offsets").awaitTermination()
+    expire_status(spark, f"{place}/status", S.lit(3000))
+    asked = I.derive(spark, folder, "SELECT o_orderkey AS lookup_id, CAST(o_custkey AS STRING) AS job_id, 'owner-' || CAST(o_orderkey % 5 AS STRING) AS caller, o_orderkey % 9000 AS asked_at FROM orders", "orders")
+    return lookup_status(asked, f"{place}/status", "asked_at").select("lookup_id", "http_code", "status", "pages_completed", "error")
+
+
 def _health(spark, folder):
     claims = I.derive(spark, folder, CLAIMS, "events")
     return health.queue_health(claims, claims.filter("stream <> 'stealth_jobs'"), claims.filter("event_id % 4 <> 0"))
@@ -558,6 +592,7 @@ def overall_status_cases(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
+        consumed_results, status_store,
         url_parts, url_parts_lenient, url_normalize, url_normalize_dedup, url_redact, url_skip, url_routing, url_routing_lenient,
         route_distribution, route_log, response_routing, private_ip, url_safety, url_safety_browser, redirect_safety, fetch_outcome,
         page_tokens, page_title, page_metadata, page_metadata_browser, page_links, page_links_filtered, page_text, page_markdown,

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -47,8 +50,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
-#: Folders that ``write_through`` made and nobody has emptied yet.
-_written: list[str] = []
+def shared_folder(spark: SparkSession) -> str:
+    """A new place in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/place-{uuid.uuid4().hex}"
+
+
+#: Folders and catalog tables that were written on the way and not emptied yet: those of the run that ``stored`` makes just
+#: now, each run having a list of its own, or else of the process.
+_loose: list[tuple[str, str | None]] = []
+_run: ContextVar[list[tuple[str, str | None]] | None] = ContextVar("run", default=None)
+
+
+def _note(path: str, table: str | None = None) -> None:
+    own = _run.get()
+    (_loose if own is None else own).append((path, table))
 
 
 def write_through(df: DataFrame) -> DataFrame:
@@ -61,38 +77,77 @@ def write_through(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    _note(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_bucketed(df: DataFrame, column: str) -> DataFrame:
-    """``write_through`` dealt out by a column: joins on it move the other side only.
+def write_bucketed(df: DataFrame, columns: list[str], path: str, buckets: int, partition: str | None = None) -> DataFrame:
+    """Append rows to a table at a path, dealt out by columns: joins and sums on these move the other side only.
 
-    As many buckets as the session has shuffle partitions, one file each; the table's name is a fresh one in the catalog.
+    ``partition`` names a column whose values get sub-folders. A table that is not in this session's catalog yet, as after
+    a restart, is entered under a name that follows from its path, with the partitions found there.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    name = f"table_{uuid.uuid4().hex}"
-    path, buckets = f"{spark.sparkContext.getCheckpointDir()}/{name}", int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column).option("path", path).saveAsTable(name)
-    _written.append(path)
-    return spark.table(name)
+    table = open_bucketed(spark, df.schema, columns, path, buckets, partition)
+    df.repartition(buckets, *columns).select(spark.table(table).columns).write.insertInto(table)
+    return spark.table(table)
+
+
+def open_bucketed(spark: SparkSession, schema, columns: list[str], path: str, buckets: int, partition: str | None = None) -> str:
+    """The catalog name of a bucketed table at a path, entered if it is not."""
+    table = "table_" + hashlib.md5(path.encode()).hexdigest()
+    if not spark.catalog.tableExists(table):
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        parted = f"PARTITIONED BY (`{partition}`)" if partition else ""
+        keys = ", ".join(f"`{c}`" for c in columns)
+        spark.sql(f"CREATE TABLE {table} ({fields}) USING parquet OPTIONS (path '{path}') {parted} CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {buckets} BUCKETS")
+        _note(path, table)
+        if partition and _exists(spark, path):
+            spark.sql(f"MSCK REPAIR TABLE {table}")
+    return table
 
 
 def stored(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     """``write_through(make())``; the tables that ``make`` wrote on the way are emptied once its result is stored."""
-    before = len(_written)
-    out = write_through(make())
-    empty_tables(spark, before, len(_written) - 1)
+    own: list[tuple[str, str | None]] = []
+    token = _run.set(own)
+    try:
+        out = write_through(make())
+    finally:
+        _run.reset(token)
+    kept = own.pop()
+    _empty(spark, own)
+    _note(*kept)
     return out
 
 
-def empty_tables(spark: SparkSession, first: int = 0, last: int | None = None) -> None:
-    """Replace the rows of intermediate tables by none; for tables that no DataFrame in use reads any more."""
-    last = len(_written) if last is None else last
-    for path in _written[first:last]:
+def empty_tables(spark: SparkSession) -> None:
+    """Empty what was written outside of ``stored``; for tables that no DataFrame in use reads any more."""
+    _empty(spark, _loose)
+
+
+def _empty(spark: SparkSession, written: list[tuple[str, str | None]]) -> None:
+    """Replace the rows of intermediate tables by none and take their names out of the catalog."""
+    while written:
+        path, table = written.pop()
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
         spark.range(0).write.mode("overwrite").parquet(path)
-    del _written[first:last]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.schema("x int").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
+def read_folder(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A folder of Parquet files, or no rows before the first one is written."""
+    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
 import random
 from collections import deque
 
+import pytest
+
 from pagewright.operators import crawl as C
+from pagewright.session import shared_folder
 from pagewright.sources.snapshot import BODY_CAP, cap_body, fetch_error, fetch_outcomes
 from pagewright.functions.sql import fn as F
 
@@ -98,13 +101,70 @@ def test_body_cap(evaluate):
 def test_levels_do_not_move_the_site(spark, tmp_path):
     """The site is dealt out once; a level joins it without an exchange on its side."""
     pages = [(i, f"http://h/p{i}", 200, "text/html", f'<a href="/p{i + 1}">n</a>') for i in range(40)]
-    site = C.placed_site(C.crawl_site(spark.createDataFrame(pages, PAGES)))
+    site = C.CrawlStore(spark, shared_folder(spark)).site(C.crawl_site(spark.createDataFrame(pages, PAGES)))
     path = str(tmp_path / "frontier")
-    frontier = spark.createDataFrame([("j", "http://h/p0", "http://h/p0", 1, 0, "h", [], [], 5, 3)],
-        "job_id string, url string, _norm string, rank long, _used long, _host string, _include array<string>, _exclude array<string>, _max_pages long, _max_depth int")
+    frontier = spark.createDataFrame([("j", "http://h/p0", "http://h/p0", 1, 0, 0, "h", [], [], 5, 3)],
+        "job_id string, url string, _norm string, rank long, depth int, _used long, _host string, _include array<string>, _exclude array<string>, _max_pages long, _max_depth int")
     frontier.write.parquet(path)
-    level = C._fetch(spark.read.parquet(path), site, 0, 1 << 30, "page_id")
+    level = C._fetch(spark.read.parquet(path), site, 1 << 30, "page_id")
     plan = level._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("SortMergeJoin"):]
     assert below.count("Exchange hashpartitioning(_norm") == 1
     assert level.count() == 1
+
+
+def chain_and_tree():
+    pages = [(i, f"http://h/p{i}", 200, "text/html", f'<a href="/p{i + 1}">n</a><a href="/p{i}">me</a>') for i in range(9)]
+    pages += [(100 + i, f"http://t/n{i}", 200, "text/html", f'<a href="/n{2 * i + 1}">l</a><a href="/n{2 * i + 2}">r</a><a href="/n0">up</a>') for i in range(40)]
+    return pages, [("chain", "http://h/p0", 20, 4, [], []), ("tree", "http://t/n0", 25, 4, [], []), ("short", "http://t/n1", 30, 1, [], [])]
+
+
+def test_a_stopped_crawl_goes_on(spark, monkeypatch):
+    """Stopped while it stores level 3, once before and once after its rows are written."""
+    pages, jobs = chain_and_tree()
+    asked, snapshot = spark.createDataFrame(jobs, JOBS), spark.createDataFrame(pages, PAGES)
+    show = lambda df: sorted(map(tuple, df.collect()))
+    want = show(C.crawl(asked, snapshot))
+    enter, write, place = C.CrawlStore._enter, C.write_bucketed, shared_folder(spark)
+    written = []
+
+    def killed(self, depth, attempt, rows):
+        if depth == 3:
+            raise RuntimeError("killed")
+        enter(self, depth, attempt, rows)
+
+    def noted(df, columns, path, *rest):
+        written.append(path)
+        return write(df, columns, path, *rest)
+
+    monkeypatch.setattr(C, "write_bucketed", noted)
+    monkeypatch.setattr(C.CrawlStore, "_enter", killed)
+    for _ in range(2):  # the second run finds the rows that the first one left behind
+        with pytest.raises(RuntimeError, match="killed"):
+            C.crawl(asked, snapshot, path=place)
+    monkeypatch.setattr(C.CrawlStore, "_enter", enter)
+    for (name,) in spark.sql("SHOW TABLES LIKE 'table_*'").select("tableName").collect():
+        spark.sql(f"DROP TABLE {name}")  # a new driver knows no tables
+    before = len(written)
+    assert show(C.crawl(asked, snapshot, path=place)) == want
+    assert before == 1 + 3 + 1 + 1 and len(written) - before == 2  # one site; levels 3 and 4 anew
+    assert show(C.crawl(asked, snapshot, path=place)) == want and len(written) - before == 2
+
+
+def test_a_level_reads_what_was_seen_where_it_lies(spark):
+    pages, jobs = chain_and_tree()
+    place = shared_folder(spark)
+    C.crawl(spark.createDataFrame(jobs, JOBS), spark.createDataFrame(pages, PAGES), path=place)
+    store = C.CrawlStore(spark, place)
+    seeds = C._fetch(spark.createDataFrame([], "job_id string, url string, _norm string, rank long, depth int, _used long, _host string, _include array<string>, _exclude array<string>, _max_pages long, _max_depth int"), store.site(C.crawl_site(spark.createDataFrame(pages, PAGES))), 1 << 30, "page_id")
+    store.open(seeds.schema)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fresh = C._discover(store.seen(), store.level(2), C._going_on(store.level(2)), 100)
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    anti = plan[plan.index("LeftAnti"):]
+    seen = anti[anti.index("Bucketed: true"):]  # the scan below the join's right side
+    right = [x for x in anti.splitlines() if "Exchange hashpartitioning(job_id" in x and "_norm" in x]
+    assert len(right) == 1 and seen, plan
