@@ -90,31 +90,49 @@ def split_entries(entries: DataFrame, dialect: str = "fast") -> tuple[DataFrame,
     return usable, parsed.filter(~good).select(entries.columns)
 
 
+def _recent_entries(entries: DataFrame, cap: int, stream: str, at: str, entry_id: str) -> DataFrame:
+    """The entries that can be among the newest ``cap`` of their stream, and few others, with their columns.
+
+    A selection by digits: counts per minute, then, inside the one minute that holds a stream's limit, per instant, and so on
+    over the digits of the id's two numbers, until the cell that holds the limit has no more than ``cap`` entries. Counts are
+    partial before they are shuffled. Older entries are dropped where they are read, however many share an instant.
+    """
+    order = entry_order(entry_id)
+    least = F.lit(-(1 << 63))
+    us, major, minor = F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(-(1 << 62))), F.coalesce(order["major"], least), order["minor"]
+    steps = [F.expr("_us div 60000000"), F.col("_us")]
+    steps += [F.shiftright(part, by) for part in ("_major", "_minor") for by in (44, 32, 20, 10, 0)]
+    marked = entries.withColumns({"_s": F.col(stream), "_us": us, "_major": major, "_minor": minor})
+    cells, limits = [], None
+    for i, step in enumerate(steps):
+        cells.append(step.alias(f"c{i}"))
+        inside = marked.select("_s", "_us", "_major", "_minor")
+        if limits is None:
+            inside = inside.withColumn("_before", F.lit(0).cast("long"))
+        else:
+            inside = _beside(inside, limits.withColumnRenamed("_above", "_before")).filter(F.struct(*cells[:-1]) == F.col("_cell"))
+        counts = inside.groupBy("_s", F.struct(*cells).alias("_c"), "_before").agg(F.count("*").alias("_n"))
+        newest = Window.partitionBy("_s").orderBy(F.col("_c").desc())
+        above = counts.withColumn("_above", F.col("_before") + F.sum("_n").over(newest) - F.col("_n")).filter(F.col("_above") < cap)
+        limits = write_through(above.groupBy("_s").agg(F.min_by(F.struct("_c", "_above", "_n"), "_c").alias("_l")).select(F.col("_s").alias("_limit_of"), F.col("_l._c").alias("_cell"), "_l._above", "_l._n"))
+        if i and (limits.agg(F.max("_n")).first()[0] or 0) <= cap:
+            break
+    kept = _beside(marked, limits).filter(F.struct(*cells) >= F.col("_cell"))
+    return kept.select(*entries.columns, "_us")
+
+
+def _beside(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """Rows with the one row of their stream beside them; a NULL stream is a stream."""
+    return rows.join(limits, F.col("_s").eqNullSafe(F.col("_limit_of"))).drop("_limit_of")
+
+
 def newest_per_stream(entries: DataFrame, cap: int = STREAM_CAP, stream="stream", at="enqueued_at", entry_id="entry_id") -> DataFrame:
     """The newest ``cap`` entries of every stream, by time, then by id as numbers.
 
-    Counts per minute, then per instant of the one minute that holds the limit, give each stream the instant of
-    its oldest kept entry; both counts are partial before they are shuffled. Older entries are dropped where they are
-    read, at any cap, and only the rest is ranked. A NULL time is older than any other.
+    Of a stream, no more than twice ``cap`` entries are ranked, at any number of entries of one instant; ids that are
+    not numbers come after all others and, if they share an instant, are ranked together. A NULL time is older than any other.
     """
-    us = F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(-(1 << 62)))
-    timed = entries.select(F.col(stream).alias("_s"), us.alias("_us"))
-
-    def reach(counts: DataFrame, step: str, wanted: Column) -> DataFrame:
-        """(_s, step, _above): the newest step by which ``wanted`` entries are reached, and the entries after it."""
-        newest = Window.partitionBy("_s").orderBy(F.col(step).desc())
-        upto = counts.withColumn("_upto", F.sum("_n").over(newest)).withColumn("_above", F.col("_upto") - F.col("_n"))
-        return upto.filter(F.col("_above") < wanted).groupBy("_s").agg(F.min(step).alias(step), F.max("_above").alias("_above"))
-
-    minute = F.expr("_us div 60000000")
-    minutes = timed.groupBy("_s", minute.alias("_minute")).agg(F.count("*").alias("_n"))
-    last = write_through(reach(minutes, "_minute", F.lit(cap)))
-    same = lambda a, b: a["_s"].eqNullSafe(b["_s"])
-    inside = timed.alias("t").join(last.alias("l"), F.col("t._s").eqNullSafe(F.col("l._s"))).filter(F.expr("t._us div 60000000") == F.col("l._minute"))
-    instants = inside.groupBy("t._s", "t._us", "l._above").agg(F.count("*").alias("_n"))
-    limits = write_through(reach(instants.select("_s", "_us", "_n", F.col("_above").alias("_before")), "_us", F.lit(cap) - F.col("_before")).select(F.col("_s"), F.col("_us").alias("_limit")))
-    marked = entries.withColumns({"_s": F.col(stream), "_us": us})
-    recent = marked.join(limits, same(marked, limits)).filter(F.col("_us") >= F.col("_limit")).drop("_limit", limits["_s"])
+    recent = _recent_entries(entries, cap, stream, at, entry_id)
     order = Window.partitionBy(stream).orderBy(F.col("_us").desc(), entry_order(entry_id).desc())
     return recent.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= cap).select(entries.columns)
 

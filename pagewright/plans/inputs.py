@@ -166,6 +166,7 @@ STREAM_OF = "CASE event_type WHEN 'error' THEN 'stealth_jobs' WHEN 'purchase' TH
 
 # Scrapes of the stored pages: some bodies unreadable, some URLs not stored, not allowed or unresolved, some bodies over the cap.
 SCRAPE_CAP = 4_000
+CUT_CAP = 700
 SCRAPES = """SELECT page_id AS request_id, page_id % 50 AS owner, 'scrape' AS kind, page_id % 13 <> 4 AS readable,
   CASE page_id % 11 WHEN 2 THEN 'https://public.example/gone' WHEN 5 THEN '' WHEN 7 THEN 'http://10.0.0.8/x' WHEN 9 THEN 'https://www.linkedin.com/in/x' ELSE url END AS url,
   CASE page_id % 7 WHEN 3 THEN 'pdf' ELSE '' END AS format, CAST(NULL AS STRING) AS extract_schema FROM pages"""

@@ -85,8 +85,10 @@ def route_log(spark, folder):
 
 
 def response_routing(spark, folder):
-    sql = f"""SELECT page_id, {I.STATUS} AS status, {I.CONTENT_TYPE} AS content_type,
-      CASE page_id % 23 WHEN 2 THEN 'CF-Mitigated' WHEN 6 THEN 'X-Px-Token' ELSE 'Server' END AS header,
+    """Every stored body and, under other ids, made ones that reach the rules."""
+    header = "CASE page_id % 23 WHEN 2 THEN 'CF-Mitigated' WHEN 6 THEN 'X-Px-Token' ELSE 'Server' END AS header"
+    sql = f"""SELECT page_id, {I.STATUS} AS status, {I.CONTENT_TYPE} AS content_type, {header}, html AS body FROM pages UNION ALL
+     SELECT page_id + 1000000000 AS page_id, {I.STATUS} AS status, {I.CONTENT_TYPE} AS content_type, {header},
       CASE page_id % 7 WHEN 1 THEN html || 'Checking YOUR browser' WHEN 2 THEN '<div id="root"></div>' WHEN 3 THEN '<script a></script><SCRIPT b></SCRIPT>'
         WHEN 4 THEN html || '<div id="app">' WHEN 5 THEN '<p>' || CAST(page_id AS STRING) || '</p>' WHEN 6 THEN repeat(html, 20) || 'Access denied' ELSE html END AS body FROM pages"""
     df = I.derive(spark, folder, sql, "pages")
@@ -131,14 +133,14 @@ def _dns(spark, folder):
 
 
 def url_safety(spark, folder):
-    sql = f"SELECT page_id, CASE page_id % 9 WHEN 1 THEN 'ftp://h/' || url WHEN 2 THEN 'http://10.0.0.1/' WHEN 3 THEN 'https:///x' WHEN 4 THEN 'http://[::1]/' WHEN 5 THEN 'http://8.8.8.8/' ELSE url END AS url FROM pages"
+    sql = I.with_stored("CASE page_id % 9 WHEN 1 THEN 'ftp://h/' || url WHEN 2 THEN 'http://10.0.0.1/' WHEN 3 THEN 'https:///x' WHEN 4 THEN 'http://[::1]/' WHEN 5 THEN 'http://8.8.8.8/' ELSE url END")
     df = I.derive(spark, folder, sql, "pages")
     return safety.validate_urls(df, "url", _dns(spark, folder)).select("page_id", "url_ok", "url_error", "pinned_ip")
 
 
 def url_safety_browser(spark, folder):
-    sql = f"""SELECT page_id, CASE page_id % 6 WHEN 1 THEN 'file:///etc' WHEN 2 THEN 'http://127.0.0.1/' WHEN 3 THEN 'not-a-url' ELSE url END AS url,
-      CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN '100.64.0.' || CAST(page_id % 250 AS STRING) WHEN 2 THEN 'not-an-ip' ELSE '93.184.216.34' END AS ip FROM pages"""
+    ip = ", CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN '100.64.0.' || CAST(page_id % 250 AS STRING) WHEN 2 THEN 'not-an-ip' ELSE '93.184.216.34' END AS ip"
+    sql = I.with_stored("CASE page_id % 6 WHEN 1 THEN 'file:///etc' WHEN 2 THEN 'http://127.0.0.1/' WHEN 3 THEN 'not-a-url' ELSE url END", extra=ip)
     df = I.derive(spark, folder, sql, "pages")
     return df.select("page_id", safety.browser_verdict(F.col("url"), F.col("ip")).alias("error").col)
 
@@ -151,10 +153,19 @@ def redirect_safety(spark, folder):
 # ---- pages -------------------------------------------------------------------------------------
 
 
-def fetch_outcome(spark, folder):
+def _fetched(spark, folder, cap=BODY_CAP):
     snapshot = I.derive(spark, folder, f"SELECT page_id, url, {I.STATUS} AS status, {I.CONTENT_TYPE} AS content_type, html FROM pages", "pages")
     asked = I.derive(spark, folder, "SELECT page_id AS request_id, CASE page_id % 6 WHEN 1 THEN url || '/' WHEN 2 THEN url || '#x' WHEN 3 THEN 'http://missing.example/' ELSE url END AS url FROM pages", "pages")
-    return fetch_outcomes(asked, "url", snapshot).select("request_id", "url", "status", "error", S.length("content").alias("content_chars"))
+    return fetch_outcomes(asked, "url", snapshot, cap=cap).select("request_id", "url", "status", "error", S.length("content").alias("content_chars"))
+
+
+def fetch_outcome(spark, folder):
+    return _fetched(spark, folder)
+
+
+def fetch_outcome_truncated(spark, folder):
+    """The same at a cap that cuts most bodies, some of them inside a character."""
+    return _fetched(spark, folder, I.CUT_CAP)
 
 
 def page_tokens(spark, folder):
@@ -296,6 +307,14 @@ def crawl_summary(spark, folder):
     return crawls.crawl_summary(asked, crawls.crawl(asked, snapshot))
 
 
+def crawl_results(spark, folder):
+    """Results of each crawl with the stored pages as content, in page order, as one checksum a crawl."""
+    asked, snapshot = _crawl_inputs(spark, folder)
+    made = crawls.crawl_results(crawls.crawl(asked, snapshot), snapshot)
+    said = S.transform("results", lambda r: S.concat_ws("|", r["data"]["metadata"]["title"], r["data"]["metadata"]["status_code"].cast("string"), S.md5(r["data"]["content"])))
+    return made.select("job_id", S.size("results").cast("long").alias("n"), S.md5(S.array_join(said, ";")).alias("said"))
+
+
 def crawl_status(spark, folder):
     asked, snapshot = _crawl_inputs(spark, folder)
     asked = _with_bad_seed(asked)
@@ -592,7 +611,7 @@ def overall_status_cases(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        consumed_results, status_store,
+        consumed_results, status_store, fetch_outcome_truncated, crawl_results,
         url_parts, url_parts_lenient, url_normalize, url_normalize_dedup, url_redact, url_skip, url_routing, url_routing_lenient,
         route_distribution, route_log, response_routing, private_ip, url_safety, url_safety_browser, redirect_safety, fetch_outcome,
         page_tokens, page_title, page_metadata, page_metadata_browser, page_links, page_links_filtered, page_text, page_markdown,

@@ -45,7 +45,7 @@ def fetch_error(status: Expr, content_type: Expr) -> Expr:
     )
 
 
-def fetch_outcomes(requests: DataFrame, url: str, snapshot: DataFrame, key: str = "page_id") -> DataFrame:
+def fetch_outcomes(requests: DataFrame, url: str, snapshot: DataFrame, key: str = "page_id", cap: int = BODY_CAP) -> DataFrame:
     """Each requested URL with its stored page; a URL outside the snapshot fails.
 
     ``snapshot`` has (key, url, status, content_type, html). Copies of one normalized URL are reduced to
@@ -56,7 +56,7 @@ def fetch_outcomes(requests: DataFrame, url: str, snapshot: DataFrame, key: str
     # Bodies move once, by key, and only after the narrow match.
     stored = snapshot.select(key, "status", "content_type", "html")
     joined = asked.join(stored, key, "left").withColumn("error", fetch_error(F.col("status"), F.col("content_type")).col)
-    content = F.when(F.col("error").isNull(), cap_body(F.col("html"))).otherwise("")
+    content = F.when(F.col("error").isNull(), cap_body(F.col("html"), cap=cap)).otherwise("")
     return joined.withColumn("content", content.col).drop("_norm", "html", "content_type")
 
 

@@ -80,6 +80,13 @@ def cut_slices(events: DataFrame, key: str, ts_us: str, order: str, extra: list[
     return sorted_rows.select("key", "slice", pick("ts"), pick("id"), *[pick(e) for e in extra])
 
 
+def ordered_blocks(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``rows`` with ``_block``: ranges of their order by key and ``order``, stored. A key's blocks are numbered in its order,
+    and a key with a third of all rows fills a third of the ranges."""
+    ranged = rows.repartitionByRange(key, *order)
+    return write_through(ranged.withColumn("_block", F.spark_partition_id()))
+
+
 def per_slice(slices: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """Run ``fn(row) -> dict`` on every slice, in Arrow batches."""
 

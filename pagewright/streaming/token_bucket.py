@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pagewright.session import cut_lineage, write_through
-from pagewright.streaming.slices import coded, cut_slices, decoded, per_slice, scan_summaries
+from pagewright.streaming.slices import ordered_blocks, coded, cut_slices, decoded, per_slice, scan_summaries
 
 TOKEN = 60_000_000
 FULL_AFTER = 60_000_000  # microseconds in which any bucket refills completely
@@ -191,15 +191,24 @@ def _calm_decisions(events: DataFrame) -> DataFrame:
     """Decisions for keys that are never limited: only the remaining tokens are wanted, a running minimum.
 
     With y the content before request i (from 1) is paid, y - rate * time + TOKEN * i is the least of
-    capacity - rate * time + TOKEN * j over all requests j up to i.
+    capacity - rate * time + TOKEN * j over all requests j up to i. A scan in two levels: minima inside blocks
+    of the ordered requests, the count and minimum of each block carried on, then both put together; a key of any size falls
+    into as many blocks as it fills.
     """
-    order = Window.partitionBy("key").orderBy("_us", "_id")
     wide = lambda c: c.cast("decimal(38,0)")
-    line = wide(F.col("rate")) * wide(F.col("_us")) - wide(F.lit(TOKEN)) * wide(F.row_number().over(order))
-    rows = events.withColumn("_line", wide(line))
-    least = F.min(wide(F.col("rate") * TOKEN) - F.col("_line")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    left = F.floor((least + F.col("_line") - TOKEN) / TOKEN).cast("long")
-    return rows.select("key", "_us", "_id", F.lit(True).alias("allowed"), left.alias("remaining"))
+    line = lambda n: wide(F.col("rate")) * wide(F.col("_us")) - wide(F.lit(TOKEN)) * wide(n)
+    full = wide(F.col("rate") * TOKEN)
+    blocks = Window.partitionBy("key", "_block").orderBy("_us", "_id")
+    rows = ordered_blocks(events, "key", ["_us", "_id"]).withColumn("_n", F.row_number().over(blocks)).withColumn("_low", wide(full - line(F.col("_n"))))
+    rows = rows.withColumn("_low", F.min("_low").over(blocks.rowsBetween(Window.unboundedPreceding, 0)))
+    sums = write_through(rows.groupBy("key", "_block").agg(F.max("_n").cast("long").alias("_rows"), F.min("_low").alias("_least")))
+    before = Window.partitionBy("key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).withColumn("_least", wide(F.col("_least") + F.lit(TOKEN) * wide(F.col("_before"))))
+    carried = write_through(carried.select("key", "_block", "_before", F.min("_least").over(before).alias("_carry")))
+    placed = rows.join(carried, ["key", "_block"])
+    least = F.least(F.col("_carry"), wide(F.col("_low") + F.lit(TOKEN) * wide(F.col("_before"))))
+    left = F.floor((least + wide(line(F.col("_before") + F.col("_n"))) - TOKEN) / TOKEN).cast("long")
+    return placed.select("key", "_us", "_id", F.lit(True).alias("allowed"), left.alias("remaining"))
 
 
 def _sliced_decisions(events: DataFrame, slice_length: int | None) -> DataFrame:

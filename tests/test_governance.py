@@ -170,3 +170,19 @@ def test_repeated_rows_count_once(spark):
     tried = spark.createDataFrame([], "job_id string, strategy string, ok boolean, page string")
     plain = spark.createDataFrame([("j", False, "x"), ("j", True, "y")], "job_id string, ok boolean, page string")
     assert [(r.ok, r.page) for r in J.extractor_chain(jobs, tried, plain).collect()] == [(True, "y")]
+
+
+def test_entries_of_one_instant_are_selected_by_digits(spark):
+    """Half a million entries of one instant and one stream: no more than twice the cap is ranked."""
+    rows = spark.range(500_000).selectExpr("concat(id * 7919 % 500000 + 1700000000000, '-', id % 3) AS entry_id", "timestamp_seconds(1700000000) AS enqueued_at", "if(id % 10 < 9, 'hot', 'calm') AS stream")
+    rows = rows.union(spark.createDataFrame([("x", None, "odd"), ("5", None, "odd"), ("7-1", None, None), ("7-2", None, None), ("6-9", None, None)], "entry_id string, enqueued_at timestamp, stream string"))
+    recent = J._recent_entries(rows, 100, "stream", "enqueued_at", "entry_id").groupBy("stream").count().collect()
+    assert all(r["count"] <= 200 for r in recent) and len(recent) == 4
+    got = {(r.stream, r.entry_id) for r in J.newest_per_stream(rows, 100).collect()}
+    want = set()
+    for stream, last in (("hot", lambda i: i % 10 < 9), ("calm", lambda i: i % 10 == 9)):
+        ids = sorted(((i * 7919 % 500_000 + 1_700_000_000_000, i % 3) for i in range(500_000) if last(i)), reverse=True)[:100]
+        want |= {(stream, f"{a}-{b}") for a, b in ids}
+    assert got == want | {("odd", "x"), ("odd", "5"), (None, "7-1"), (None, "7-2"), (None, "6-9")}
+    two = {r.entry_id for r in J.newest_per_stream(rows.filter("stream IS NULL"), 2).collect()}
+    assert two == {"7-1", "7-2"}

@@ -221,3 +221,21 @@ def test_a_burst_cuts_only_its_own_rows(spark, monkeypatch):
     for key, n in (("hot", 3000), ("burst", 3300)):
         sizes = [len(r.ts) for r in out if r.key == key]
         assert sum(sizes) == n and len(sizes) <= n // 100 + 1 and max(sizes) < 200
+
+
+def test_a_hot_calm_key_is_decided_in_blocks(spark):
+    """A rate that never limits the hottest key: its rows lie in many blocks, and no window over rows goes by key alone."""
+    rows = spark.range(60_000).selectExpr("id", "CASE WHEN id % 3 < 2 THEN 'hot' ELSE concat('k', id % 50) END AS k", "timestamp_micros(id * 40001 + id * id % 977 * 1000) AS ts")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small ranges stay apart
+    try:
+        blocks = B.ordered_blocks(rows.repartition(4), "k", ["ts", "id"]).groupBy("k", "_block").count().collect()
+        out = B.limit_requests(rows, "k", "ts", "id", F.lit(100_000))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Window" in x and "_us" in x and "[key#" in x and "_block" not in x]
+    got = {r.id: (r.allowed, r.remaining) for r in out.collect()}
+    trace = [(r.k, int(r.us), r.id, 100_000) for r in rows.selectExpr("k", "unix_micros(ts) AS us", "id").collect()]
+    assert got == expected_bucket(trace)
+    hot = [r for r in blocks if r.k == "hot"]
+    assert len(hot) >= 4 and max(r["count"] for r in hot) < 20_000
