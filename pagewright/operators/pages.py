@@ -119,11 +119,9 @@ def followed_links(base: Column, hrefs: Column, seed_host: Column, include: Colu
     return let(base_parts(base), walk)
 
 
-def head_metadata(tags: Column) -> Column:
-    """H5: seven nullable fields; the first match decides and an empty value is NULL (but ``lang=""`` stays)."""
-
-    def parse(t: Column) -> Column:
-        return F.struct(H.tag_name(t).alias("tag"), t.alias("token"), H.attributes(t).alias("attrs"))
+def metadata_fields(parsed: Column) -> Column:
+    """H5: seven nullable fields from the title, meta and html tags of a page in order, as structs of (tag, attrs, text); the
+    first match decides and an empty value is NULL (but ``lang=""`` stays)."""
 
     def value(found: Column, name: str) -> Column:
         return F.get(F.filter(found["attrs"], lambda a: a["name"] == name), 0)["value"]
@@ -136,9 +134,8 @@ def head_metadata(tags: Column) -> Column:
             same = F.filter(parsed, lambda t: (t["tag"] == "meta") & F.coalesce(value(t, key) == wanted, False))
             return let(F.get(same, 0), lambda m: F.nullif(value(m, "content"), ""))
 
-        title = trim_white(decode_entities(H.raw_inner(first("title")["token"])))
         return F.struct(
-            F.nullif(title, "").alias("title"),
+            F.nullif(trim_white(first("title")["text"]), "").alias("title"),
             meta("name", "description").alias("description"),
             value(first("html"), "lang").alias("language"),
             meta("property", "og:title").alias("og_title"),
@@ -147,7 +144,17 @@ def head_metadata(tags: Column) -> Column:
             meta("property", "og:url").alias("og_url"),
         )
 
-    return let(F.transform(tags, parse), fields)
+    return let(parsed, fields)
+
+
+def head_metadata(tags: Column) -> Column:
+    """H5 over the title, meta and html tags of a tag array."""
+
+    def parse(t: Column) -> Column:
+        text = F.when(H.is_tag(t, "title"), decode_entities(H.raw_inner(t)))
+        return F.struct(H.tag_name(t).alias("tag"), H.attributes(t).alias("attrs"), text.alias("text"))
+
+    return metadata_fields(F.transform(tags, parse))
 
 
 def page_metadata(pages: DataFrame, page_id: str = "page_id", html: str = "html", dialect: str = "fast", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -158,6 +165,11 @@ def page_metadata(pages: DataFrame, page_id: str = "page_id", html: str = "html"
     # Only the tags that can carry metadata are kept before anything is parsed.
     wanted = F.filter(H.tag_array(F.col(html)), lambda t: t.rlike(r"(?i)^<(?:title|meta|html)[\s/>]"))
     m = pages.select(page_id, *keep, wanted.alias("_tags").col).select(page_id, *keep, head_metadata(F.col("_tags")).alias("m").col)
+    return metadata_columns(m, page_id, keep, dialect)
+
+
+def metadata_columns(m: DataFrame, page_id: str, keep: tuple[str, ...], dialect: str) -> DataFrame:
+    """H6, H7: the fields ``m`` of each page as columns."""
     if dialect == "browser":
         return m.select(page_id, *keep, *[S.coalesce(f"m.{c}", S.lit("")).alias(c) for c in ("title", "description", "language")])
     return m.select(

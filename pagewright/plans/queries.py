@@ -11,6 +11,7 @@ from pagewright.functions.addresses import is_private_address
 from pagewright.functions.sql import fn as F
 from pagewright.operators import admission, chunks, crawl as crawls, domains, health, jobs, markdown, pages as P, ranges, routing, safety, scrape
 from pagewright.operators.rows import explode_array
+from pagewright.operators.token_store import TokenStore
 from pagewright.plans import inputs as I
 from pagewright.session import shared_folder
 from pagewright.sources.queues import read_queue
@@ -182,6 +183,17 @@ def page_token_text(spark, folder):
     return rows.select("page_id", "kind", "tag", S.size("r").alias("n"), S.md5(S.array_join(S.transform("r", lambda x: x["said"]), "|")).alias("said"))
 
 
+def token_store(spark, folder):
+    """Title, links, metadata and text of every page from tokens that are parsed and stored once, and its lists as intervals."""
+    store = TokenStore.make(read_pages(spark, folder))
+    links = store.links().groupBy("page_id").agg(S.count("*").alias("n_links"), S.md5(S.array_join(S.transform(S.array_sort(S.collect_list(S.struct("pos", "link"))), lambda x: x["link"]), " ")).alias("links"))
+    lists = store.elements("ul", "li").groupBy("page_id").agg(S.count("*").alias("n_lists"), S.sum(S.col("close") - S.col("open")).alias("list_tokens"))
+    text = store.text().select("page_id", S.md5("text").alias("text"))
+    crawl_title = store.titles().withColumnRenamed("title", "crawl_title")
+    out = store.metadata().select("page_id", "title", "language").join(crawl_title, "page_id").join(text, "page_id")
+    return out.join(links, "page_id", "left").join(lists, "page_id", "left").na.fill(0, ["n_links", "n_lists", "list_tokens"])
+
+
 def page_title(spark, folder):
     return P.page_titles(read_pages(spark, folder))
 
@@ -611,7 +623,7 @@ def overall_status_cases(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        consumed_results, status_store, fetch_outcome_truncated, crawl_results,
+        token_store, consumed_results, status_store, fetch_outcome_truncated, crawl_results,
         url_parts, url_parts_lenient, url_normalize, url_normalize_dedup, url_redact, url_skip, url_routing, url_routing_lenient,
         route_distribution, route_log, response_routing, private_ip, url_safety, url_safety_browser, redirect_safety, fetch_outcome,
         page_tokens, page_title, page_metadata, page_metadata_browser, page_links, page_links_filtered, page_text, page_markdown,
