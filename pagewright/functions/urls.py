@@ -371,15 +371,18 @@ def _percent_encode_controls(c: Column) -> Column:
 
 # Extensions the crawl filter drops.
 CRAWL_SKIP_EXTENSIONS = (
-    "pdf zip tar gz exe dmg pkg deb rpm iso img png jpg jpeg gif svg webp ico bmp tiff mp3 mp4 avi mov wmv flv "
-    "webm ogg wav css js woff woff2 ttf eot otf map"
-).split()
+    "pdf", "zip", "tar", "gz", "exe", "dmg", "pkg", "deb", "rpm", "iso", "img", "png", "jpg", "jpeg", "gif", "svg",
+    "webp", "ico", "bmp", "tiff", "mp3", "mp4", "avi", "mov", "wmv", "flv", "webm", "ogg", "wav", "css", "js", "woff",
+    "woff2", "ttf", "eot", "otf", "map",
+)
 
 # Extensions the router skips.
 ROUTER_SKIP_EXTENSIONS = (
-    "pdf zip tar gz bz2 xz rar 7z exe msi dmg pkg deb rpm png jpg jpeg gif svg ico bmp webp mp3 mp4 avi mov mkv "
-    "wav flac doc docx xls xlsx ppt pptx iso img bin apk ipa woff woff2 ttf eot css js map"
-).split()
+    "pdf", "zip", "tar", "gz", "bz2", "xz", "rar", "7z", "exe", "msi", "dmg", "pkg", "deb", "rpm", "png", "jpg",
+    "jpeg", "gif", "svg", "ico", "bmp", "webp", "mp3", "mp4", "avi", "mov", "mkv", "wav", "flac", "doc", "docx",
+    "xls", "xlsx", "ppt", "pptx", "iso", "img", "bin", "apk", "ipa", "woff", "woff2", "ttf", "eot", "css", "js",
+    "map",
+)
 
 # Junk path segments and their labels, in order of precedence.
 JUNK_SEGMENTS = {

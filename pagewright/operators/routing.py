@@ -53,9 +53,10 @@ HASH_ROUTERS = ("/#/", "/#!/")
 
 # First path segments of github.com that are not owners.
 RESERVED_OWNERS = (
-    "about account apps collections contact enterprise events explore features login marketplace notifications orgs "
-    "pricing search security settings sponsors topics trending"
-).split()
+    "about", "account", "apps", "collections", "contact", "enterprise", "events", "explore", "features", "login",
+    "marketplace", "notifications", "orgs", "pricing", "search", "security", "settings", "sponsors", "topics",
+    "trending",
+)
 
 # Prefixes of response headers set by challenge pages, in order of precedence.
 CHALLENGE_HEADERS = ("cf-mitigated", "cf-chl-bypass", "x-datadome", "x-datadome-cid", "x-px-", "x-distil-cs")

@@ -28,4 +28,9 @@ def read_kafka_queue(spark: SparkSession, servers: str, topic: str, offsets_per_
         .option("maxOffsetsPerTrigger", offsets_per_batch)
         .load()
     )
-    return source.selectExpr("concat(partition, '-', offset) AS entry_id", "timestamp AS enqueued_at", "from_json(CAST(value AS STRING), 'map<string,string>') AS fields")
+    return kafka_entries(source)
+
+
+def kafka_entries(records: DataFrame) -> DataFrame:
+    """Entries (entry_id, enqueued_at, fields) from Kafka's records: the id is partition-offset, a value that is no JSON object has NULL fields."""
+    return records.selectExpr("concat(partition, '-', offset) AS entry_id", "timestamp AS enqueued_at", "from_json(CAST(value AS STRING), 'map<string,string>') AS fields")

@@ -239,3 +239,37 @@ def test_a_hot_calm_key_is_decided_in_blocks(spark):
     assert got == expected_bucket(trace)
     hot = [r for r in blocks if r.k == "hot"]
     assert len(hot) >= 4 and max(r["count"] for r in hot) < 20_000
+
+
+def test_idle_buckets_are_dropped(spark, tmp_path, monkeypatch):
+    """A bucket idle past the timeout leaves the state when the next data arrive, and comes back full."""
+    import time
+
+    monkeypatch.setattr(B, "IDLE_TIMEOUT_MS", 1)
+    schema = "k string, us long, id long, rate long"
+    base = _files(spark, [("a", i, i, 2) for i in range(3)], schema, str(tmp_path / "in"), 1)
+    stream = B.limit_stream(base.withColumn("ts", F.timestamp_micros("us")), "k", "ts", "id", "rate")
+    seen = []
+
+    def run():
+        query = stream.writeStream.foreachBatch(lambda batch, n: seen.extend(batch.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        return [s for p in query.recentProgress for s in p["stateOperators"]]
+
+    run()
+    assert [r.allowed for r in sorted(seen, key=lambda r: r.id)] == [True, True, False]
+    time.sleep(1)
+    spark.createDataFrame([("b", 9, 9, 2)], schema).write.parquet(str(tmp_path / "in" / "later"))
+    states = run()
+    assert sum(s["numRowsRemoved"] for s in states) == 1 and states[-1]["numRowsTotal"] == 1
+    spark.createDataFrame([("a", 10, 10, 2)], schema).write.parquet(str(tmp_path / "in" / "last"))
+    run()
+    assert [(r.allowed, r.remaining) for r in seen if r.id == 10] == [(True, 1)]
+
+
+def test_kafka_records_as_entries(spark):
+    from pagewright.sources.queues import kafka_entries
+
+    records = spark.createDataFrame([(0, 7, b'{"url": "http://h/", "job_id": "j"}'), (1, 8, b"junk"), (2, 9, None)], "partition int, offset long, value binary").withColumn("timestamp", F.timestamp_seconds(F.lit(5)))
+    got = {r.entry_id: r.fields for r in kafka_entries(records).collect()}
+    assert got["0-7"] == {"url": "http://h/", "job_id": "j"} and not got["1-8"] and got["2-9"] is None and len(got) == 3
