@@ -61,17 +61,21 @@ def pack_rows(rows: DataFrame, keys: list[str], length_col: str, capacities: Seq
 
     A row longer than the largest capacity is cut into pieces of that length and a rest; ``start`` counts from the
     row's first token. Rows of length 0 or NULL take no room: one piece with NULL bin, capacity and offset.
-    Pieces are spread over shards by a hash of keys and length, so no key is hot, and each shard is packed by
-    itself, longest first, ties by keys; the outcome depends on the rows alone. Repeated rows are packed each.
-    Only keys and lengths move. An empty table gives no rows.
+    Pieces are spread over shards by a hash of keys, length and the number of a copy among equal rows, so neither a key nor
+    rows that repeat are hot, and each shard is packed by itself, longest first, ties by keys; the outcome depends on
+    the rows alone. Repeated rows are packed each. Only keys and lengths move. An empty table gives no rows.
     """
     largest = max(capacities)
     own = rows.select(*[S.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], S.coalesce(S.col(f"`{length_col}`").cast("long"), S.lit(0)).alias("_n"))
     names = [f"_k{i}" for i in range(len(keys))]
-    pieces = own.select(*names, S.posexplode(F.sequence(0, F.greatest(F.col("_n") - 1, 0), largest).col).alias("piece", "start"), "_n")
-    pieces = write_through(pieces.select(*names, "piece", "start", S.least(S.col("_n") - S.col("start"), S.lit(largest)).cast("int").alias("length")))
+    # Equal rows are counted, per task before they move, and numbered again in blocks.
+    block = 1 << 16
+    own = own.groupBy(*names, "_n").agg(S.count(S.lit(1)).alias("_copies")).select("*", S.explode(S.expr(f"sequence(0L, _copies - 1, {block}L)")).alias("_first"))
+    own = own.select(*names, "_n", S.explode(S.expr(f"sequence(_first, least(_first + {block - 1}, _copies - 1))")).alias("_row"))
+    pieces = own.select(*names, S.posexplode(F.sequence(0, F.greatest(F.col("_n") - 1, 0), largest).col).alias("piece", "start"), "_n", "_row")
+    pieces = write_through(pieces.select(*names, "_row", "piece", "start", S.least(S.col("_n") - S.col("start"), S.lit(largest)).cast("int").alias("length")))
     shards = -(-pieces.count() // shard_pieces)
-    shard = S.pmod(S.xxhash64(*names, "piece", "length"), S.lit(max(shards, 1)))
+    shard = S.pmod(S.xxhash64(*names, "_row", "piece", "length"), S.lit(max(shards, 1)))
     kinds = {f.name: f.dataType.simpleString() for f in pieces.schema}
     schema = ", ".join(f"{n} {kinds[n]}" for n in [*names, "piece", "start", "length"]) + ", bin_id long, capacity int, offset int"
 
@@ -81,11 +85,11 @@ def pack_rows(rows: DataFrame, keys: list[str], length_col: str, capacities: Seq
         table = table.sort_by([("length", "descending"), *((n, "ascending") for n in names), ("piece", "ascending")])
         bins, offsets, sizes = best_fit(table["length"].to_pylist(), capacities, cost)
         first = table["_shard"][0].as_py() << 32
-        table = table.drop_columns(["_shard"]).append_column("bin_id", pa.array([first + b for b in bins], pa.int64()))
+        table = table.drop_columns(["_shard", "_row"]).append_column("bin_id", pa.array([first + b for b in bins], pa.int64()))
         return table.append_column("capacity", pa.array([sizes[b] for b in bins], pa.int32())).append_column("offset", pa.array(offsets, pa.int32()))
 
     packed = pieces.filter("length > 0").withColumn("_shard", shard).groupBy("_shard").applyInArrow(pack, schema)
-    empty = pieces.filter("length = 0").selectExpr("*", "CAST(NULL AS long) AS bin_id", "CAST(NULL AS int) AS capacity", "CAST(NULL AS int) AS offset")
+    empty = pieces.filter("length = 0").drop("_row").selectExpr("*", "CAST(NULL AS long) AS bin_id", "CAST(NULL AS int) AS capacity", "CAST(NULL AS int) AS offset")
     return packed.unionByName(empty).select(*[S.col(n).alias(k) for n, k in zip(names, keys)], "piece", "start", "length", "bin_id", "capacity", "offset")
 
 

@@ -35,6 +35,13 @@ def plain_best_fit(lengths, capacities, cost):
     return out, [min(c for c in capacities if c >= used) for _, used in bins]
 
 
+def test_repeated_rows_are_spread(make_docs):
+    """Equal rows under a NULL id fill several shards."""
+    out = packing.pack_documents(make_docs([(None, "a b c")] * 2000), capacities=(16, 64), shard_pieces=100).select("bin_id").collect()
+    shards = Counter(r.bin_id >> 32 for r in out)
+    assert len(out) == 2000 and len(shards) == 20 and max(shards.values()) < 200
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_best_fit(seed):
     rng = random.Random(seed)
