@@ -41,11 +41,19 @@ def _places(name: str, pattern: str) -> str:
  {name} AS (SELECT *, s + length(m) AS e FROM {name}_s)"""
 
 
+#: The base kinds as they are asked for: pattern, group and least length of that group.
+_BASE = (
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+)
+
+
 def _secret_sql() -> str:
-    base = ", ".join(_places(kind, pattern) for kind, pattern, _, _ in credentials.BASE)
+    base = ", ".join(_places(kind, pattern) for kind, pattern, _, _ in _BASE)
     kept = " UNION ALL ".join(
         f"SELECT doc_id, s, {rank} AS rank, e, '{kind}' AS kind FROM {kind} WHERE length(regexp_extract(m, {_text(pattern)}, {group})) >= {least}"
-        for rank, (kind, pattern, group, least) in enumerate(credentials.BASE)
+        for rank, (kind, pattern, group, least) in enumerate(_BASE)
     )
     starts = lambda name: f"regexp_matches(m, {_text('^(?i:' + credentials.PARTS[name] + ')')})"
     kinds = " ".join(f"WHEN {starts(k)} THEN '{k}'" for k in ("secret", "access", "ident", "endpoint"))

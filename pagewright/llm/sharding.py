@@ -97,7 +97,8 @@ def hilbert_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
 
     Row counts of any two shards differ by one at most; neighbours on the curve share languages, sources and sizes,
     so a reader prunes shards by any of them. NULL text has size 8 and checksum 0; NULL names count as empty names;
-    NULL ids and repeated rows are rows like any other. An empty table gives no rows. No text is moved.
+    NULL ids and repeated rows are rows like any other. An empty table gives no rows. No text is moved. Equal texts are no
+    group of their own under this law: they lie where language, source, size and then id put them.
     """
     size = S.coalesce(S.octet_length(text_col), S.lit(0)).cast("long") + 8
     crc = S.crc32(S.coalesce(S.col(text_col), S.lit("")).cast("binary"))
