@@ -20,9 +20,10 @@ UNIT = 4096
 #: where most documents share one value (no symbols, no repeated line).
 FEATURES = {"f_length": 0.5, "f_word": 0.25, "f_symbols": 0.05, "f_upper": 0.1, "f_lines": 0.1, "f_repeats": 0.1}
 SUPPORT = 0.75  # share of a group that an estimate rests on
-MIN_GROUP = 50  # groups with fewer rows are pooled
-STEPS = 4
-TAIL = 1e-6  # a normal document lies beyond the cutoff with this probability
+MIN_GROUP = 50  # groups with fewer rows are judged by the estimate of their language, or of the table
+STEPS = 8  # concentration steps at most; a fit ends as soon as a step changes nothing
+#: Sets the distance limit: the chi-square quantile that a row of exactly normal statistics passes with this probability.
+TAIL = 1e-6
 
 
 # ---- statistics of a text --------------------------------------------------------------------
@@ -115,41 +116,74 @@ def consistency(support: float, k: int) -> float:
 # ---- estimates -------------------------------------------------------------------------------
 
 
+def label(by: tuple[str, ...], cut: int) -> Column:
+    """Name of the group of a row at the level of its first ``cut`` group columns."""
+    return S.concat(S.lit(f"{cut}:"), S.to_json(S.struct(*[S.col(c) for c in by[:cut]]))) if cut else S.lit("0:")
+
+
 def pooled_groups(rows: DataFrame, by: tuple[str, ...], min_group: int) -> DataFrame:
-    """(by, group): each combination with its estimate's name; small ones share their first column's, then one for all.
+    """(by, cut, group): for each combination, the level and the name of the estimate that judges it.
 
-    Works on counts per combination. The last pool may be small, too; then ``group`` is NULL.
+    A combination of ``min_group`` rows has its own; else the estimate of all rows that share its first columns holds, as soon as
+    these are ``min_group``; else that of the whole table, however small. Works on counts per combination.
     """
     counts = rows.groupBy(*by).agg(S.count(S.lit(1)).alias("_n"))
-    group, n = S.lit(None).cast("string"), S.col("_n")
-    name = lambda cols: S.to_json(S.struct(*[S.col(c) for c in cols]))
-    out = counts.withColumn("_g", S.when(n >= min_group, name(by)))
-    for cut in range(len(by) - 1, -1, -1):
-        pool = out.filter("_g IS NULL").groupBy(*[S.col(c) for c in by[:cut]]).agg(S.sum("_n").alias("_p"))
-        key = S.lit(True)
-        for c in by[:cut]:
-            key = key & S.col(f"a.{c}").eqNullSafe(S.col(f"b.{c}"))
-        label = S.concat(S.lit(f"{cut}:"), S.to_json(S.struct(*[S.col(f"a.{c}") for c in by[:cut]]))) if cut else S.lit("0:")
-        out = out.alias("a").join(pool.alias("b"), key, "left").select("a.*", S.coalesce(S.col("a._g"), S.when(S.col("b._p") >= min_group, label)).alias("_h")).drop("_g").withColumnRenamed("_h", "_g")
-    return out.select(*by, S.coalesce("_g", group).alias("_group"))
+    cut = S.when(S.col("_n") >= min_group, len(by))
+    for k in range(len(by) - 1, 0, -1):
+        cut = cut.when(S.sum("_n").over(Window.partitionBy(*by[:k])) >= min_group, k)
+    named = counts.withColumn("_cut", cut.otherwise(0))
+    group = S.lit(None).cast("string")
+    for k in range(len(by) + 1):
+        group = S.coalesce(group, S.when(S.col("_cut") == k, label(by, k)))
+    return named.select(*by, "_cut", group.alias("_group"))
+
+
+def group_members(rows: DataFrame, groups: DataFrame, by: tuple[str, ...], names: list[str]) -> DataFrame:
+    """(_group, names): the rows that each estimate rests on. A pooled one rests on all rows of its level, so a row may be in several."""
+    levels = {r._cut for r in groups.select("_cut").distinct().collect()}
+    out = rows.limit(0).select(S.lit("").alias("_group"), *names)
+    for k in sorted(levels):
+        level = rows.withColumn("_group", label(by, k))
+        if k:
+            needed = groups.filter(S.col("_cut") == k).select("_group").distinct()
+            level = level.join(needed, "_group", "left_semi")
+        out = out.unionByName(level.select("_group", *names))
+    return out
+
+
+#: Products are added up in two parts, the bits from this one on and those below, so that sums of longs hold 2^43 rows.
+LOW_BITS = 20
 
 
 def moments(names: list[str]) -> list[Column]:
     """Count, sums and sums of products; exact whole numbers, so partial sums may meet in any order."""
-    wide = [S.col(c).cast("decimal(19,0)") for c in names]
     out = [S.count(S.lit(1)).alias("_n")] + [S.sum(c).alias(f"_s{i}") for i, c in enumerate(names)]
-    return out + [S.sum((wide[i] * wide[j]).cast("decimal(38,0)")).alias(f"_s{i}_{j}") for i in range(len(names)) for j in range(i + 1)]
+    for i in range(len(names)):
+        for j in range(i + 1):
+            product = S.col(names[i]) * S.col(names[j])
+            out += [S.sum(S.shiftright(product, LOW_BITS)).alias(f"_h{i}_{j}"), S.sum(product.bitwiseAND(S.lit((1 << LOW_BITS) - 1).cast("long"))).alias(f"_r{i}_{j}")]
+    return out
+
+
+def moment_names(p: int) -> list[str]:
+    return ["_n", *[f"_s{i}" for i in range(p)], *[f"_{k}{i}_{j}" for i in range(p) for j in range(i + 1) for k in "hr"]]
+
+
+def with_products(sums: DataFrame, p: int) -> DataFrame:
+    """The two parts of each sum of products put together as ``_s{i}_{j}``."""
+    whole = lambda at: (S.col(f"_h{at}").cast("decimal(27,0)") * (1 << LOW_BITS) + S.col(f"_r{at}")).cast("double")
+    return sums.withColumns({f"_s{i}_{j}": whole(f"{i}_{j}") for i in range(p) for j in range(i + 1)})
 
 
 def estimate(sums: DataFrame, names: list[str], floors: list[float], factor: float, keys: list[str]) -> DataFrame:
-    """From ``moments``: (keys, _m array, _w array, _det): centre, inverse Cholesky factor row by row, log determinant.
+    """From the sums of ``with_products``: (keys, _m array, _w array, _det): centre, inverse Cholesky factor row by row, log determinant.
 
     Plain columns on one row per group: the factor column by column, then its inverse by forward substitution.
     """
     p, n = len(names), S.col("_n").cast("double")
     df = sums.withColumns({f"_m{i}": S.col(f"_s{i}") / n for i in range(p)})
     df = df.withColumns({
-        f"_c{i}_{j}": (S.col(f"_s{i}_{j}").cast("double") / n - S.col(f"_m{i}") * S.col(f"_m{j}")) * factor + ((floors[i] * UNIT) ** 2 if i == j else 0.0)
+        f"_c{i}_{j}": (S.col(f"_s{i}_{j}") / n - S.col(f"_m{i}") * S.col(f"_m{j}")) * factor + ((floors[i] * UNIT) ** 2 if i == j else 0.0)
         for i in range(p) for j in range(i + 1)
     })
     for j in range(p):
@@ -183,31 +217,31 @@ BINS_PER_DOUBLING, MAX_BIN = 64, 4095
 
 
 def nearest(rows: DataFrame, est: DataFrame, names: list[str], support: float) -> DataFrame:
-    """The rows nearest to each centre, at least ``support`` of a group.
+    """``moments`` of the rows nearest to each centre, at least ``support`` of a group.
 
     Distances are counted in bins of a sixty-fourth of a doubling, at most ``MAX_BIN`` + 1 per group; rows of the
-    last bin taken all go in, so ties need no order.
+    last bin taken all go in, so ties need no order. One pass adds up the moments of each bin; bins are then taken from the
+    centre on.
     """
     step = S.least(S.floor(S.log2(1e-6 + S.col("_d")) * BINS_PER_DOUBLING) + 20 * BINS_PER_DOUBLING, S.lit(MAX_BIN)).cast("int")
     near = rows.join(est, ["_group"]).withColumn("_d", distance(names)).withColumn("_bin", step)
-    near = near.select("_group", "_start", "_bin", *names)
-    counts = near.groupBy("_group", "_start", "_bin").agg(S.count(S.lit(1)).alias("_k"))
+    bins = near.groupBy("_group", "_start", "_bin").agg(*moments(names))
     w = Window.partitionBy("_group", "_start")
-    inside = S.sum("_k").over(w.orderBy("_bin")) - S.col("_k") < S.ceil(S.sum("_k").over(w) * support)
-    limit = counts.withColumn("_in", inside).filter("_in").groupBy("_group", "_start").agg(S.max("_bin").alias("_limit"))
-    # A written table of one row per group and start: its size is known, and a hot group's rows need not meet in a task.
-    return near.join(write_through(limit), ["_group", "_start"]).filter("_bin <= _limit")
+    inside = S.sum("_n").over(w.orderBy("_bin")) - S.col("_n") < S.ceil(S.sum("_n").over(w) * support)
+    return bins.withColumn("_in", inside).filter("_in").groupBy("_group", "_start").agg(*[S.sum(c).alias(c) for c in moment_names(len(names))])
 
 
 def fit(rows: DataFrame, floors: dict[str, float], support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
     """(_group, _m, _w): the minimum-covariance-determinant estimate of each group of ``rows`` (_group, features).
 
     Two starts, all rows with the full covariance and all rows with variances only, each refined by
-    concentration steps (estimate from the nearest rows, then anew); the lower determinant wins, ties by start.
+    concentration steps (estimate from the nearest rows, then anew) until a step takes the same rows, by their moments,
+    in every group, or ``steps`` are done; the lower determinant wins, ties by start.
     """
     names, p = list(floors), len(floors)
     levels = list(floors.values())
-    sums = rows.groupBy("_group").agg(*moments(names))
+    keys = ["_group", "_start"]
+    sums = with_products(write_through(rows.groupBy("_group").agg(*moments(names))), p)
     est = estimate(sums, names, levels, 1.0, ["_group"])
     flat = sums
     for i in range(p):
@@ -215,9 +249,14 @@ def fit(rows: DataFrame, floors: dict[str, float], support: float = SUPPORT, ste
             flat = flat.withColumn(f"_s{i}_{j}", S.col(f"_s{i}").cast("double") * S.col(f"_s{j}").cast("double") / S.col("_n"))
     est = est.withColumn("_start", S.lit(0)).unionByName(estimate(flat, names, levels, 1.0, ["_group"]).withColumn("_start", S.lit(1)))
     factor = consistency(support, p)
+    before = None
     for _ in range(steps):
-        est = write_through(est)
-        est = estimate(nearest(rows, est, names, support).groupBy("_group", "_start").agg(*moments(names)), names, levels, factor, ["_group", "_start"])
+        now = write_through(nearest(rows, est, names, support))
+        est = estimate(with_products(now, p), names, levels, factor, keys)
+        taken = now.agg(S.bit_xor(S.xxhash64(*keys, *moment_names(p)))).first()[0]
+        if taken == before:
+            break
+        before = taken
     best = S.row_number().over(Window.partitionBy("_group").orderBy("_det", "_start"))
     return est.withColumn("_b", best).filter("_b = 1").select("_group", "_m", "_w")
 
@@ -237,13 +276,13 @@ def group_estimates(stats: DataFrame, n_by: int, min_group: int, support: float)
     own = tuple(f"_by{i}" for i in range(n_by))
     sound = stats.filter("NOT base_failed").withColumns(features())
     groups = write_through(pooled_groups(sound, own, min_group))
-    rows = sound.join(groups, [sound[c].eqNullSafe(groups[c]) for c in own]).filter("_group IS NOT NULL").select("_group", *FEATURES)
+    rows = group_members(sound, groups, own, list(FEATURES))
     est = write_through(fit(write_through(rows), FEATURES, support))
     return write_through(groups.join(est, "_group").select(*[S.col(c).alias(f"{c}g") for c in own], "_m", "_w"))
 
 
 def with_verdicts(rows: DataFrame, estimates: DataFrame, n_by: int, tail: float) -> DataFrame:
-    """``rows`` (with statistics) and their ``distance`` (NULL where the base failed or no estimate holds) and ``kept``."""
+    """``rows`` (with statistics) and their ``distance`` (NULL where the base failed) and ``kept``."""
     same = [S.col(f"_by{i}").eqNullSafe(S.col(f"_by{i}g")) for i in range(n_by)]
     judged = rows.withColumns(features()).join(estimates, same, "left")
     judged = judged.withColumn("distance", S.when(~S.col("base_failed"), distance(list(FEATURES))))
@@ -261,9 +300,9 @@ def quality_verdicts(
 
     base_failed: under ``min_words`` words, or over ``max_repeat_percent`` of them in repeated windows. Of the other
     rows, one is rejected if the squared Mahalanobis distance of its transformed statistics to the robust
-    estimate of its language and source is beyond the chi-square quantile at 1 - ``tail``. Groups under
-    ``min_group`` rows are pooled by language, then all together; a pool still under it gives no verdict and its
-    rows stay. NULL languages and sources are names like any other, NULL text is empty and fails the base,
+    estimate of its language and source is beyond a limit, the chi-square quantile at 1 - ``tail``. Rows of groups under
+    ``min_group`` rows are judged by the estimate over all rows of their language, or, if these are fewer, too, of the
+    table; every row is judged, in a table of any size. NULL languages and sources are names like any other, NULL text is empty and fails the base,
     equal rows get equal verdicts, an empty table gives no rows. Columns not in ``keep`` are not carried.
     """
     own = docs.select(*[S.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], *[S.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(by)], S.col(f"`{text_col}`").alias("_text"))
@@ -278,12 +317,11 @@ def drop_outliers(
 ) -> DataFrame:
     """The rows of ``docs`` that ``quality_verdicts`` keeps, with their columns.
 
-    The statistics are computed once for the estimates and once more beside the text, so no text is shuffled.
+    The statistics are computed once and written beside the documents; estimates read them alone, and no text is shuffled.
     """
     columns = docs.columns
-    own = docs.select(*[S.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(by)], S.col(f"`{text_col}`").alias("_text"))
-    stats = write_through(with_statistics(own, "_text", tuple(f"_c{i}" for i in range(len(by))), min_words, max_repeat_percent).drop("_text"))
-    estimates = group_estimates(stats, len(by), min_group, support)
+    own = tuple(f"_c{i}" for i in range(len(by)))
     whole = docs.select(S.struct("*").alias("_row"), *[S.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(by)], S.col(f"`{text_col}`").alias("_text"))
-    rows = with_statistics(whole, "_text", tuple(f"_c{i}" for i in range(len(by))), min_words, max_repeat_percent)
+    rows = write_through(with_statistics(whole, "_text", own, min_words, max_repeat_percent).drop("_text", *own))
+    estimates = group_estimates(rows.drop("_row"), len(by), min_group, support)
     return with_verdicts(rows, estimates, len(by), tail).filter("kept").select(*[S.col(f"_row.`{c}`").alias(c) for c in columns])

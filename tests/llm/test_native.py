@@ -144,6 +144,27 @@ def test_redaction(make_docs):
     assert out == {1: "a [SECRET] b", 2: None, 3: "clean", 4: "[SECRET] [SECRET]\n"}
 
 
+def test_texts_full_of_secrets(make_docs):
+    """Places and marks over many blocks, with characters of one to four bytes; time follows the text's length."""
+    rng = random.Random(9)
+    bits = ["token=abcdef12 user=bob99 ", f"é\U0001f600 {HEX}", "\n\n", "password: 'hunter22'\n", "日 " * 700, "x", f"{HEX}{HEX} "]
+    texts = ["".join(rng.choices(bits, k=k)) for k in (600, 1500, 5000)] + ["token=abcdef12 user=bob99 " * 40_000, HEX + "g", "token=abcdef"]
+    out = credentials.redact_secrets(make_docs(list(enumerate(texts)))).collect()
+    found = credentials.scan_secrets(make_docs(list(enumerate(texts)))).select("doc_id", "_linked", credentials.span_text("_base").alias("b").col).collect()
+    redacted = {r.doc_id: r.text for r in out}
+    for r in found:
+        text = texts[r.doc_id]
+        assert r.b == brute_base(text)
+        spans = [x.split(":") for x in r.b.split(",")] + [(s.kind, s.start, s.end) for s in r["_linked"]]
+        pieces, at = [], 0
+        for start, end in sorted((int(s), int(e)) for _, s, e in spans):
+            if start >= at:
+                pieces.append(text[at:start])
+            at = max(at, end)
+        assert redacted[r.doc_id] == "[SECRET]".join([*pieces, text[at:]])
+    assert sum(len(r["_linked"]) for r in found) > 40_000
+
+
 # ---- quality -----------------------------------------------------------------------------------
 
 
@@ -184,11 +205,17 @@ def test_estimates_equal_numpy(spark):
     for start in range(2):
         m, c = x.mean(0), np.cov(x.T, bias=True)
         c = (c if start == 0 else np.diag(np.diag(c))) + ridge
+        before = None
         for _ in range(outliers.STEPS):
             d = ((x - m) @ np.linalg.inv(c) * (x - m)).sum(1)
             b = np.floor(np.log2(1e-6 + d) * 64)
-            near = x[b <= np.sort(b)[math.ceil(0.75 * len(x)) - 1]]
+            inside = b <= np.sort(b)[math.ceil(0.75 * len(x)) - 1]
+            near = x[inside]
             m, c = near.mean(0), np.cov(near.T, bias=True) * factor + ridge
+            done, before = before is not None and (inside == before).all(), inside
+            if done:
+                break
+        assert done
         det = np.linalg.slogdet(c)[1]
         if best is None or det < best[0]:
             best = det, m, c
@@ -223,6 +250,36 @@ def test_verdicts(make_docs):
 def test_small_pools(make_docs):
     rng = random.Random(6)
     rows = [(i, prose(rng, 50), ("a", "b", None)[i % 3], f"s{i % 40}") for i in range(90)]
-    out = outliers.quality_verdicts(make_docs(rows), ["doc_id"], min_group=25).collect()
-    assert all(r.kept and r.distance is not None for r in out) and len(out) == 90
-    assert all(r.kept and r.distance is None for r in outliers.quality_verdicts(make_docs(rows), ["doc_id"], min_group=1000).collect())
+    for least in (25, 1000):
+        out = outliers.quality_verdicts(make_docs(rows), ["doc_id"], min_group=least).collect()
+        assert all(r.kept and r.distance is not None for r in out) and len(out) == 90
+
+
+def junk(rng):
+    return " ".join(w + "###" for w in prose(rng, 80).split())
+
+
+@pytest.mark.parametrize("good", [("en", "web"), ("fr", "web")])
+def test_rare_source_is_judged(make_docs, good):
+    """49 junk rows of one source beside many good ones of its language, or of another."""
+    rng = random.Random(7)
+    rows = [(i, prose(rng, rng.randrange(25, 300)), *good) for i in range(1000)] + [(5000 + i, junk(rng), "en", "rare") for i in range(49)]
+    kept = {r.doc_id for r in outliers.quality_verdicts(make_docs(rows), ["doc_id"]).collect() if r.kept}
+    assert kept == set(range(1000))
+
+
+def test_table_of_few_rows_is_judged(make_docs):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randrange(25, 300)), "en", f"s{i}") for i in range(43)] + [(100 + i, junk(rng), "en", "s") for i in range(6)]
+    out = outliers.quality_verdicts(make_docs(rows), ["doc_id"]).collect()
+    assert {r.doc_id for r in out if r.kept} == set(range(43)) and all(r.distance is not None for r in out)
+    assert [r.kept for r in outliers.quality_verdicts(make_docs([(1, prose(rng, 50))]), ["doc_id"]).collect()] == [True]
+
+
+def test_pooled_groups(spark):
+    counts = {("a", "x"): 60, ("a", "y"): 10, ("b", "x"): 20, ("b", "y"): 40, ("c", "x"): 3, (None, "z"): 1}
+    rows = spark.createDataFrame([k for k, n in counts.items() for _ in range(n)], "l string, s string").selectExpr("*", "1L AS f")
+    groups = outliers.pooled_groups(rows, ("l", "s"), 50)
+    assert {(r.l, r.s): r._cut for r in groups.collect()} == {("a", "x"): 2, ("a", "y"): 1, ("b", "x"): 1, ("b", "y"): 1, ("c", "x"): 0, (None, "z"): 0}
+    members = Counter(r._group for r in outliers.group_members(rows, groups, ("l", "s"), ["f"]).collect())
+    assert sorted(members.values()) == [60, 60, 70, 134]
