@@ -128,6 +128,73 @@ OP9 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floo
  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM p)
  SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
+# ---- quality -----------------------------------------------------------------------------------
+
+#: For six features: the chi-square quantile at one in a million, and what the innermost three quarters' covariance falls short by.
+_LIMIT, _SHORT = 38.25833637773817, 1.36159030918112
+
+
+def _quality_sql(steps: int = 8) -> str:
+    """Statistics and features of every text, then the concentration steps one after the other on sums per group and start.
+
+    A step that takes the rows of the step before changes nothing, so all steps may be done. Sums keep their order.
+    """
+    p, unit = 6, 4096
+    floors = [(x * unit) ** 2 for x in (0.5, 0.25, 0.05, 0.1, 0.1, 0.1)]
+    low = [(i, j) for i in range(p) for j in range(i + 1)]
+    plus = lambda terms: "(" + " + ".join(["0.0::DOUBLE", *terms]) + ")"
+    share = lambda c: f"asin(sqrt(least({c}, 1.0::DOUBLE)))"
+    each, most = "CAST(greatest(n_words, 1) AS DOUBLE)", "CAST(greatest(word_chars, 1) AS DOUBLE)"
+    raw = [f"ln({each})", f"ln({most} / {each})", share(f"n_symbols / {most}"), share(f"n_upper / {most}"), share(f"n_dup_lines / {each}"), share(f"n_repeat_words / {each}")]
+    values = ", ".join(f"CAST(round({v} * {unit}) AS BIGINT) AS f{i}" for i, v in enumerate(raw))
+    sums = "count(*) AS n, " + ", ".join(f"CAST(sum(f{i}) AS DOUBLE) AS s{i}" for i in range(p)) + ", " + ", ".join(f"CAST(sum(CAST(f{i} AS HUGEINT) * f{j}) AS DOUBLE) AS s{i}_{j}" for i, j in low)
+
+    def estimate(source: str, factor: float) -> str:
+        q = f"SELECT *, {', '.join(f's{i} / n AS m{i}' for i in range(p))} FROM {source}"
+        wider = lambda cols: f"SELECT *, {', '.join(cols)} FROM ({q})"
+        q = wider(f"(s{i}_{j} / n - m{i} * m{j}) * {factor!r}::DOUBLE + {floors[i] if i == j else 0.0!r}::DOUBLE AS c{i}_{j}" for i, j in low)
+        for j in range(p):
+            q = wider([f"sqrt(greatest(c{j}_{j} - {plus(f'l{j}_{k} * l{j}_{k}' for k in range(j))}, {floors[j] / 2!r}::DOUBLE)) AS l{j}_{j}"])
+            if j + 1 < p:
+                q = wider(f"(c{i}_{j} - {plus(f'l{i}_{k} * l{j}_{k}' for k in range(j))}) / l{j}_{j} AS l{i}_{j}" for i in range(j + 1, p))
+        for i in range(p):
+            q = wider([f"1.0::DOUBLE / l{i}_{i} AS w{i}_{i}"])
+            if i:
+                q = wider(f"-{plus(f'l{i}_{k} * w{k}_{j}' for k in range(j, i))} / l{i}_{i} AS w{i}_{j}" for j in range(i))
+        kept = [*(f"m{i}" for i in range(p)), *(f"w{i}_{j}" for i, j in low)]
+        return f"SELECT g, start, {', '.join(kept)}, {plus(f'ln(l{i}_{i}) * 2' for i in range(p))} AS det FROM ({q})"
+
+    z = [plus(f"w{i}_{j} * (CAST(f{j} AS DOUBLE) - m{j})" for j in range(i + 1)) for i in range(p)]
+    distance = plus(f"{x} * {x}" for x in z)
+    flat = ", ".join([f"s{i}" for i in range(p)] + [f"s{i}_{j}" if i == j else f"s{i} * s{j} / n AS s{i}_{j}" for i, j in low])
+    out = [
+        f"""d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+ w AS MATERIALIZED (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: trim(x, {_WS}) <> '') AS ls FROM d),
+ v AS (SELECT rid, i, array_to_string(ws[i:i + 7], ' ') AS x FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) > 8)),
+ rep AS (SELECT rid, CAST(sum(least(coalesce(later - i, 8), 8)) AS BIGINT) AS n FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS later FROM (SELECT *, count(*) OVER (PARTITION BY rid, x) AS c FROM v) WHERE c > 1) GROUP BY rid),
+ st AS (SELECT w.rid, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, length(translate(t, {_WS}, '')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+   length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_upper, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (rid)),
+ base AS MATERIALIZED (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {values} FROM st),
+ sound AS MATERIALIZED (SELECT *, CASE WHEN c2 >= 50 THEN 2 WHEN c1 >= 50 THEN 1 ELSE 0 END AS cut, coalesce('=' || lang, '') AS la, coalesce('=' || source, '') AS so
+   FROM (SELECT *, count(*) OVER (PARTITION BY lang, source) AS c2, count(*) OVER (PARTITION BY lang) AS c1 FROM base WHERE NOT base_failed)),
+ own AS (SELECT *, CASE cut WHEN 2 THEN '2' || la || '|' || so WHEN 1 THEN '1' || la ELSE '0' END AS g FROM sound),
+ mem AS MATERIALIZED (SELECT g, f0, f1, f2, f3, f4, f5 FROM own WHERE cut = 2 UNION ALL SELECT '1' || la, f0, f1, f2, f3, f4, f5 FROM sound WHERE la IN (SELECT la FROM sound WHERE cut = 1)
+   UNION ALL SELECT '0', f0, f1, f2, f3, f4, f5 FROM sound WHERE (SELECT min(cut) FROM sound) = 0),
+ sums AS MATERIALIZED (SELECT g, {sums} FROM mem GROUP BY g),
+ first AS (SELECT g, 0 AS start, n, {', '.join([f's{i}' for i in range(p)] + [f's{i}_{j}' for i, j in low])} FROM sums UNION ALL SELECT g, 1, n, {flat} FROM sums),
+ e0 AS MATERIALIZED ({estimate("first", 1.0)})"""
+    ]
+    for k in range(steps):
+        out.append(
+            f"""b{k} AS MATERIALIZED (SELECT g, start, f0, f1, f2, f3, f4, f5, least(CAST(floor(log2(1e-6::DOUBLE + {distance}) * 64) AS BIGINT) + 1280, 4095) AS bin FROM mem JOIN e{k} USING (g)),
+ t{k} AS (SELECT g, start, max(bin) AS last FROM (SELECT g, start, bin, sum(n) OVER (PARTITION BY g, start ORDER BY bin) - n < ceil(sum(n) OVER (PARTITION BY g, start) * 0.75::DOUBLE) AS taken FROM (SELECT g, start, bin, count(*) AS n FROM b{k} GROUP BY ALL)) WHERE taken GROUP BY g, start),
+ u{k} AS MATERIALIZED (SELECT g, start, {sums} FROM b{k} JOIN t{k} USING (g, start) WHERE bin <= last GROUP BY g, start), e{k + 1} AS MATERIALIZED ({estimate(f"u{k}", _SHORT)})"""
+        )
+    return f"""WITH {", ".join(out)}, best AS (SELECT * FROM e{steps} QUALIFY row_number() OVER (PARTITION BY g ORDER BY det, start) = 1),
+ near AS (SELECT rid, {distance} <= {_LIMIT!r}::DOUBLE AS near FROM own JOIN best USING (g))
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(near, false) AS kept FROM base LEFT JOIN near USING (rid)"""
+
+
 # ---- chats -------------------------------------------------------------------------------------
 
 
@@ -208,6 +275,7 @@ OP13 = f"""SELECT page_id, payload_bytes, {_SIGNS} AS payload_digest, CASE WHEN
 
 
 ORACLES = {
-    "op2_secret_scan": _secret_sql(), "op3_hilbert_shards": _shard_sql(), "op4_line_dedup": OP4, "op5_shingle_join": OP5, "op9_top_products": OP9,
+    "op2_secret_scan": _secret_sql(), "op3_hilbert_shards": _shard_sql(), "op4_line_dedup": OP4, "op5_shingle_join": OP5, "op6_quality_outliers": _quality_sql(),
+    "op9_top_products": OP9,
     "op10_chat_repair": _chat_sql(), "op11_importance_resampling": OP11, "op12_spelling_variants": OP12, "op13_segment_reassembly": OP13,
 }

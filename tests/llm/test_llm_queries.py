@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import re
 import zlib
 from collections import defaultdict
 
@@ -101,6 +102,15 @@ def test_personal_data(result, texts):
         assert {f"{k}:{s}:{e}" for s, _, e, k in spans} <= set(r.spans.split(","))
 
 
+def test_resampling_draws_a_quarter(result, texts):
+    rows = result("op11_importance_resampling")
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    able = sum(len(word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) >= 20 for t in texts.values())
+    drawn = sorted((r["rank"], -r.score, r.doc_id) for r in rows if r["rank"])
+    assert len(rows) == len(texts) and [d[0] for d in drawn] == list(range(1, able * 25 // 100 + 1))
+    assert [d[1:] for d in drawn] == sorted(d[1:] for d in drawn)
+
+
 def test_chats(result):
     turns, cost = defaultdict(list), defaultdict(int)
     for conv, turn, role, _ in table("conversations"):
@@ -118,6 +128,7 @@ def test_types(spark):
         "op4_line_dedup": "bigint bigint bigint string", "op5_shingle_join": "bigint bigint bigint",
         "op6_quality_outliers": "bigint bigint bigint bigint bigint bigint boolean boolean", "op7_bpe_round_trip": "bigint bigint string string",
         "op8_personal_data": "bigint bigint bigint bigint bigint string string", "op9_top_products": "bigint int bigint bigint",
+        "op11_importance_resampling": "bigint bigint bigint bigint bigint", "op12_spelling_variants": "string string string bigint bigint bigint", "op13_segment_reassembly": "bigint bigint string string bigint",
     }
     for name, kinds in want.items():
         assert [k for _, k in QUERIES[name](spark, FOLDER).dtypes] == kinds.split(), name
@@ -126,5 +137,5 @@ def test_types(spark):
 def test_registry():
     import __spark_entry__ as entry
 
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES}
     assert {*QUERIES, "pipeline"} <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
