@@ -110,14 +110,14 @@ def _recent_entries(entries: DataFrame, cap: int, stream: str, at: str, entry_id
         if limits is None:
             inside = inside.withColumn("_before", F.lit(0).cast("long"))
         else:
-            inside = _beside(inside, limits.withColumnRenamed("_above", "_before")).filter(F.struct(*cells[:-1]) == F.col("_cell"))
+            inside = _beside(inside, limits.withColumnRenamed("_above", "_before")).filter(F.struct(*cells[:-1]) == F.col("_limit"))
         counts = inside.groupBy("_s", F.struct(*cells).alias("_c"), "_before").agg(F.count("*").alias("_n"))
         newest = Window.partitionBy("_s").orderBy(F.col("_c").desc())
         above = counts.withColumn("_above", F.col("_before") + F.sum("_n").over(newest) - F.col("_n")).filter(F.col("_above") < cap)
-        limits = write_through(above.groupBy("_s").agg(F.min_by(F.struct("_c", "_above", "_n"), "_c").alias("_l")).select(F.col("_s").alias("_limit_of"), F.col("_l._c").alias("_cell"), "_l._above", "_l._n"))
+        limits = write_through(above.groupBy("_s").agg(F.min_by(F.struct("_c", "_above", "_n"), "_c").alias("_l")).select(F.col("_s").alias("_limit_of"), F.col("_l._c").alias("_limit"), "_l._above", "_l._n"))
         if i and (limits.agg(F.max("_n")).first()[0] or 0) <= cap:
             break
-    kept = _beside(marked, limits).filter(F.struct(*cells) >= F.col("_cell"))
+    kept = _beside(marked, limits).filter(F.struct(*cells) >= F.col("_limit"))
     return kept.select(*entries.columns, "_us")
 
 
