@@ -82,7 +82,7 @@ def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
-    return variants.variant_groups(read_table(spark, folder, "documents"))
+    return variants.variant_groups(read_table(spark, folder, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
 
 def op13_segment_reassembly(spark: SparkSession, folder: str) -> DataFrame:
