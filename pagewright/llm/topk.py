@@ -13,6 +13,8 @@ BUCKET_ROWS = 1024
 QUERY_ROWS = 256
 GROUP_BLOCKS = 64  # query blocks that meet a bucket at once
 SALTS = 16
+#: Pairs of a bucket and a query block that one task compares by their bounds, more or less.
+TASK_PAIRS = 1 << 17
 #: From this local cosine threshold on, a bucket is pruned by a coordinate, under it by length alone.
 COORDINATE_FROM = 0.3
 NO_ID = (1 << 63) - 1  # stands for a NULL id, which comes last among ties
@@ -147,7 +149,9 @@ def top_inner_products(df: DataFrame, id_col: str, vec_col: str, is_query: str,
     rows = whole_vectors(df, id_col, vec_col, scale)
     buckets = in_blocks(rows, [S.col("norm").desc(), S.col("id")], bucket_rows)
     queries = in_blocks(rows.filter(is_query), [S.col("id")], query_rows)
-    parts = max(1, math.ceil(queries.count() / GROUP_BLOCKS))
+    n_queries = queries.count()
+    parts = max(1, math.ceil(n_queries / GROUP_BLOCKS))
+    salts = max(SALTS, math.ceil(buckets.count() * n_queries / TASK_PAIRS))
     queries = queries.withColumn("part", S.pmod(S.xxhash64("block"), S.lit(parts)).cast("int"))
     longest = buckets.groupBy("dim").agg(S.max_by(S.struct("block", "high"), S.struct(S.col("high"), -S.col("block"))).alias("b")).select("dim", S.col("b.block").alias("block"))
 
@@ -175,9 +179,9 @@ def top_inner_products(df: DataFrame, id_col: str, vec_col: str, is_query: str,
     bounds = first.groupBy("dim", "part").cogroup(named.groupBy("dim", "part")).applyInArrow(floors, "qblock long, floors binary, tau double")
     bounded = write_through(named.join(bounds, "qblock"))
 
-    # Which query blocks a bucket meets is settled on narrow rows; equal dimensions are spread by salts.
-    salted = buckets.select("dim", "block", "high", S.pmod("block", S.lit(SALTS)).alias("salt"))
-    spread = bounded.select("dim", "part", "qblock", "tau", S.explode(S.sequence(S.lit(0), S.lit(SALTS - 1)).cast("array<long>")).alias("salt"))
+    # Which query blocks a bucket meets is settled on narrow rows; equal dimensions are spread by as many salts as pairs ask for.
+    salted = buckets.select("dim", "block", "high", S.pmod("block", S.lit(salts)).alias("salt"))
+    spread = bounded.select("dim", "part", "qblock", "tau", S.explode(S.sequence(S.lit(0), S.lit(salts - 1)).cast("array<long>")).alias("salt"))
     meet = salted.join(spread, ["dim", "salt"]).filter(S.col("high") * (1 + SLACK) >= S.col("tau")).select("block", "part", "qblock")
     asked = meet.join(bounded.drop("dim"), ["qblock", "part"])
     offered = fresh(meet.select("block", "part").distinct().join(buckets, "block"))
