@@ -23,6 +23,8 @@ TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 SAMPLE_ROWS = 400  # documents with base spans that the query's model is trained on
 MADE_ROWS = 4_000  # rows from templates that it is trained on
 LONGEST_RUN = 64  # tokens of a run that is trained on
+#: Runs of stored texts in the training sample at most.
+MAX_RUNS = 4000
 #: Texts that may hold a span of a fixed pattern.
 LIKELY = r"@|\+[0-9]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[\x20-]?[0-9]){11}"
 EPOCHS, RATE, DECAY = 150, 0.5, 1e-4
@@ -328,14 +330,14 @@ def made_runs(rows: int = MADE_ROWS, seed: int = 0) -> list[tuple[list, list]]:
 # ---- on tables ---------------------------------------------------------------------------------
 
 
-def labelled_runs(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, longest_run: int = LONGEST_RUN) -> list[tuple[list, list]]:
+def labelled_runs(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, longest_run: int = LONGEST_RUN, max_runs: int = MAX_RUNS) -> list[tuple[list, list]]:
     """The labelled table: made rows, and runs of at most ``sample_rows`` texts that may hold personal data, taken in order
     of a hash of the text.
 
     Of the texts only runs are taken of which the fixed patterns cover every token: their tags are sure. What the patterns
     leave uncovered may be personal data in a form they miss, so it counts neither as inside nor as outside; "outside" is
-    learnt from made rows alone. Runs over ``longest_run`` tokens are not trained on. Both are bounds of the training
-    sample only.
+    learnt from made rows alone. Runs over ``longest_run`` tokens are not trained on, and of all runs ``max_runs`` at most,
+    the first by a hash, reach the driver. These are bounds of the training sample only.
     """
     text = S.col(f"`{text_col}`")
     seen = docs.filter(text.rlike(LIKELY)).select(text.alias("text"), S.xxhash64(text).alias("hash"))
@@ -354,8 +356,9 @@ def labelled_runs(docs: DataFrame, text_col: str = "text", sample_rows: int = SA
         return pd.Series(out)
 
     texts = seen.filter(S.col("hash").isin(picked)).groupBy("hash").agg(S.min("text").alias("text"))
-    rows = texts.select("hash", runs_of("text").alias("runs")).collect()
-    return made_runs() + [(r.features, r.tags) for row in sorted(rows, key=lambda r: r.hash) for r in row.runs]
+    runs = texts.select("hash", S.posexplode(runs_of("text")).alias("at", "run"))
+    rows = runs.orderBy(S.xxhash64("hash", "at"), "hash", "at").limit(max_runs).collect()
+    return made_runs() + [(r.run.features, r.run.tags) for r in sorted(rows, key=lambda r: (r.hash, r.at))]
 
 
 def find_personal_data(docs: DataFrame, model: dict, text_col: str = "text", margin: float = MARGIN) -> DataFrame:

@@ -158,3 +158,12 @@ def test_shapes_read_whole_tokens():
     assert pii.shape("1" * 100 + "X") == "9A" and pii.shape("(555)") == "(9)"
     middle = [pii.shape("a1" * 100 + mark + "a1" * 100) for mark in ("@", "-")]
     assert middle[0] != middle[1] and all(len(s) < 100 for s in middle)
+
+
+def test_training_runs_are_bounded(make_docs):
+    """One document with thousands of addresses gives no more runs than asked for, and the same ones each time."""
+    docs = make_docs([(1, "\n".join(f"mail user{i}@host{i}.example.org now" for i in range(1500))), (2, "write a@b.example.com please")])
+    made = len(pii.made_runs())
+    runs = pii.labelled_runs(docs, max_runs=50)
+    assert len(runs) - made == 50 and runs == pii.labelled_runs(docs.repartition(3), max_runs=50)
+    assert len(pii.labelled_runs(docs)) - made == 1501
