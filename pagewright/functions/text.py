@@ -25,6 +25,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def bind(value: Column, body) -> Column:
+    """``let`` without its copy: the value is the start of a fold over nothing, and ``body`` its end.
+
+    ``let`` copies what ``body`` returns with all that is inside, which a fold would pay for its whole state at every step.
+    """
+    return F.aggregate(F.array(), value, lambda bound, _: bound, body)
+
+
 def trim_white(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE_SPACE))
 

@@ -15,12 +15,14 @@ characters for them, and a few regular expressions settle the joined text.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 
 from pagewright.functions import html as H
-from pagewright.functions.sql import Expr, fn as F
-from pagewright.functions.text import decode_entities, let, trim_white
+from pagewright.functions.sql import Expr, choose, fn as F
+from pagewright.functions.text import bind, decode_entities, trim_white
 
 # Unicode noncharacters, removed from the input first.
 BLANK, LINE, QUOTE, UNQUOTE, OPEN, CLOSE = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3", "\ufdd4", "\ufdd5"
@@ -107,6 +109,9 @@ DIALECTS = {
     ),
 }
 
+#: Bytes of output after which a buffer is full.
+BUFFER = 4096
+
 _BREAKS = r"[ \t\n\f\r]+"
 
 
@@ -116,33 +121,41 @@ _BREAKS = r"[ \t\n\f\r]+"
 def _prepared(html: Expr, d: Dialect) -> Expr:
     """Body tokens as structs: kind (s, e, t), tag, text, and the pieces written at open and close."""
     ignored = r"(?i)^<(?:[!?]|/[^a-z]|(?:script|style|noscript)[\s/>])"
-    clean = F.regexp_replace(F.translate(html, _MARKERS, ""), r"\r\n?", "\n")
-    tokens = F.filter(H.token_array(clean), lambda t: ~t.rlike(ignored))
+    unmarked = choose(html.rlike(f"[{_MARKERS}]"), F.translate(html, _MARKERS, "")).otherwise(html)
+    clean = bind(unmarked, lambda x: choose(x.contains("\r"), F.regexp_replace(x, r"\r\n?", "\n")).otherwise(x))
+
+    def named(t: Expr) -> Expr:
+        """The token with its name, so that the name is cut out once; text needs no regular expression for it."""
+        return F.struct(t.alias("raw"), choose(t.startswith("<"), H.tag_name(t)).otherwise("").alias("tag"))
 
-    def shape(t: Expr, previous: Expr) -> Expr:
-        name = H.tag_name(t)
-        return let(name, lambda tag: _token(t, tag, previous, d))
+    def kept(t: Expr) -> Expr:
+        return ~(t["raw"].startswith("<") & ((t["tag"] == "") | t["tag"].startswith("s") | t["tag"].startswith("n")) & t["raw"].rlike(ignored))
 
     def in_body(all_tokens: Expr) -> Expr:
         head_tags = HEAD_ONLY + ([] if d.keep_title else ["title"])
-        opening = F.transform(all_tokens, lambda t: ~(H.tag_name(t).isin(*head_tags) | t.rlike(r"^[ \t\n\f\r]+\z")))
+        opening = F.transform(all_tokens, lambda t: ~choose(t["tag"] == "", t["raw"].rlike(r"^[ \t\n\f\r]+\z")).otherwise(t["tag"].isin(*head_tags)))
         first = F.array_position(opening, True)
-        body = F.when(first == 0, F.slice(all_tokens, 1, 0)).otherwise(F.slice(all_tokens, F.greatest(first, 1).cast("int"), F.size(all_tokens)))
-        return F.filter(body, lambda t: ~H.tag_name(t).isin("html", "head", "body") & ~t.rlike(r"(?s)^</?[A-Za-z](?:[^>]*)\z"))
+        body = bind(
+            first, lambda n: choose(n == 0, F.slice(all_tokens, 1, 0)).otherwise(F.slice(all_tokens, F.greatest(n, 1).cast("int"), F.size(all_tokens)))
+        )
+        unclosed = lambda t: t["raw"].startswith("<") & ~t["raw"].contains(">") & t["raw"].rlike(r"(?s)^</?[A-Za-z](?:[^>]*)\z")
+        return F.filter(body, lambda t: ~t["tag"].isin("html", "head", "body") & ~unclosed(t))
 
-    return let(
-        let(tokens, in_body),
-        lambda body: F.transform(body, lambda t, i: shape(t, F.when(i > 0, F.get(body, i - 1)))),
+    return bind(
+        bind(F.filter(F.transform(H.token_array(clean), named), kept), in_body),
+        lambda body: F.transform(body, lambda t, i: _token(t["raw"], t["tag"], choose(i > 0, F.get(body, i - 1)["raw"]), d)),
     )
 
 
 def _token(t: Expr, tag: Expr, previous: Expr, d: Dialect) -> Expr:
     is_text = tag == ""
     is_raw = tag.isin(*H.RAW_TEXT) & ~t.startswith("</")
-    inner = F.when(is_text, t).otherwise(H.raw_inner(t))
-    text = F.when(tag.isin("", *H.ESCAPABLE_RAW), decode_entities(inner)).otherwise(inner)
-    text = F.when(F.coalesce(previous.rlike(r"(?i)^<pre[\s>]"), False), F.regexp_replace(text, r"^\n", "")).otherwise(text)
-    kind = F.when(is_text | is_raw, "t").when(t.startswith("</") & (tag != "br"), "e").otherwise("s")
+    inner = choose(is_text, t).otherwise(H.raw_inner(t))
+    referring = tag.isin("", *H.ESCAPABLE_RAW) & inner.contains("&")
+    text = choose(referring, decode_entities(inner)).otherwise(inner)
+    after_pre = lambda x: x.startswith("\n") & F.coalesce(previous.rlike(r"(?i)^<pre[\s>]"), False)
+    text = bind(text, lambda x: choose(after_pre(x), F.regexp_replace(x, r"^\n", "")).otherwise(x))
+    kind = choose(is_text | is_raw, "t").when(t.startswith("</") & (tag != "br"), "e").otherwise("s")
     mark = (lambda s: OPEN + s) if d.tidy_inline else (lambda s: s)
     unmark = (lambda s: CLOSE + s) if d.tidy_inline else (lambda s: s)
 
@@ -153,30 +166,37 @@ def _token(t: Expr, tag: Expr, previous: Expr, d: Dialect) -> Expr:
     def image() -> Expr:
         return F.concat("![", F.coalesce(H.attribute(t, "alt"), ""), "](", F.coalesce(H.attribute(t, "src"), ""), ")")
 
-    opened = F.when(tag == "p", BLANK)
-    closed = F.when(tag == "p", BLANK)
+    opens = {"p": BLANK, "br": d.line_break, "hr": d.rule, "a": mark("["), "pre": d.fence_open, "blockquote": BLANK + QUOTE}
+    closes = {"p": BLANK, "pre": d.fence_close, "blockquote": UNQUOTE + (BLANK if d.list_close else "")}
     for level, name in enumerate(HEADINGS, 1):
-        opened = opened.when(tag == name, BLANK + "#" * level + " ")
-    closed = closed.when(tag.isin(*HEADINGS), d.heading_end)
-    opened = opened.when(tag == "br", d.line_break).when(tag == "hr", d.rule)
+        opens[name], closes[name] = BLANK + "#" * level + " ", d.heading_end
     for names, text_mark in ((("strong", "b"), "**"), (("em", "i"), d.emphasis), (("code",), "`")):
-        opened = opened.when(tag.isin(*names), mark(text_mark))
-        closed = closed.when(tag.isin(*names), unmark(text_mark))
-    opened = opened.when(tag == "a", mark("[")).when(tag == "pre", d.fence_open).when(tag == "blockquote", BLANK + QUOTE)
-    closed = closed.when(tag == "a", link_end()).when(tag == "pre", d.fence_close).when(tag == "blockquote", UNQUOTE + (BLANK if d.list_close else ""))
-    opened = opened.when(tag.isin("ul", "ol"), d.list_open)
-    closed = closed.when(tag.isin("ul", "ol"), d.list_close)
+        opens |= dict.fromkeys(names, mark(text_mark))
+        closes |= dict.fromkeys(names, unmark(text_mark))
+    for name in ("ul", "ol"):
+        opens[name], closes[name] = d.list_open, d.list_close
+    opened, closed = _lookup(opens, tag), choose(tag == "a", link_end()).otherwise(_lookup(closes, tag))
     if d.images:
-        opened = opened.when(tag == "img", image())
-    start = kind == "s"
-    return F.struct(
-        kind.alias("kind"),
-        F.when(kind == "t", "").otherwise(tag).alias("tag"),
-        F.when(kind == "t", text).otherwise("").alias("text"),
-        F.when(start, opened.otherwise("")).otherwise("").alias("opened"),
-        F.when(start, closed.otherwise("")).otherwise("").alias("closed"),
-        F.when(start & tag.isin(*FORMATTING), F.concat(tag, " ", H.attribute_text(t))).otherwise("").alias("key"),
-    )
+        opened = choose(tag == "img", image()).otherwise(opened)
+
+    def made(k: Expr) -> Expr:
+        start, words = k == "s", k == "t"
+        return F.struct(
+            k.alias("kind"),
+            choose(words, "").otherwise(tag).alias("tag"),
+            choose(words, text).otherwise("").alias("text"),
+            choose(start, opened).otherwise("").alias("opened"),
+            choose(start, closed).otherwise("").alias("closed"),
+            choose(start & tag.isin(*FORMATTING), F.concat(tag, " ", H.attribute_text(t))).otherwise("").alias("key"),
+        )
+
+    return bind(kind, made)
+
+
+def _lookup(texts: dict[str, str], tag: Expr) -> Expr:
+    """The text of a tag, "" if it has none: one scan of a constant map instead of a branch per tag."""
+    pairs = [x for pair in texts.items() for x in pair]
+    return F.coalesce(F.try_element_at(F.map(*pairs), tag), "")
 
 
 # ---- the fold ----------------------------------------------------------------------------------
@@ -198,13 +218,14 @@ def _state(stack, active, out, done, quotes, step) -> Expr:
 
 def _reach(stack: Expr, wanted: Expr, barrier: Expr) -> Expr:
     """1-based depth of the nearest wanted element, 0 if a barrier comes first. Both are functions of a tag."""
-    codes = F.transform(stack, lambda e: F.when(wanted(e["tag"]), 1).when(barrier(e["tag"]), 2).otherwise(0))
+    open_here = lambda e: wanted(e["tag"])
 
-    def pick(c: Expr) -> Expr:
-        hit, stop = F.array_position(c, 1), F.array_position(c, 2)
-        return F.when((hit > 0) & ((stop == 0) | (hit < stop)), hit.cast("int")).otherwise(0)
+    def unblocked(hit: Expr) -> Expr:
+        return choose(F.exists(F.slice(stack, 1, hit - 1), lambda e: barrier(e["tag"])), 0).otherwise(hit)
 
-    return let(codes, pick)
+    deeper = bind(F.array_position(F.transform(stack, open_here), True).cast("int"), unblocked)
+    # Nearly always it is the innermost element or none; looking up a place costs Spark an exception.
+    return choose(open_here(F.get(stack, 0)), 1).when(F.exists(stack, open_here), deeper).otherwise(0)
 
 
 def _among(*names):
@@ -222,14 +243,14 @@ def _pops_before(stack: Expr, tag: Expr) -> Expr:
     item_stop = _among(*[s for s in SPECIAL if s not in ("address", "div", "p")])
     top_heading = stack[0]["tag"].isin(*HEADINGS)
     return (
-        F.when(tag == "li", F.greatest(_reach(stack, _among("li"), item_stop), close_p()))
+        choose(tag == "li", F.greatest(_reach(stack, _among("li"), item_stop), close_p()))
         .when(tag.isin("dd", "dt"), F.greatest(_reach(stack, _among("dd", "dt"), item_stop), close_p()))
-        .when(tag.isin(*HEADINGS), F.when(top_heading, 1).otherwise(close_p()))
+        .when(tag.isin(*HEADINGS), choose(top_heading, 1).otherwise(close_p()))
         .when(tag.isin(*CLOSES_P), close_p())
         .when(tag.isin("td", "th"), _reach(stack, _among("td", "th"), _TABLE))
         .when(tag == "tr", _reach(stack, _among("tr"), _TABLE))
         .when(tag.isin("tbody", "thead", "tfoot"), _reach(stack, _among("tbody", "thead", "tfoot"), _TABLE))
-        .when(tag == "option", F.when(stack[0]["tag"] == "option", 1).otherwise(0))
+        .when(tag == "option", choose(stack[0]["tag"] == "option", 1).otherwise(0))
         .otherwise(0)
     )
 
@@ -237,7 +258,7 @@ def _pops_before(stack: Expr, tag: Expr) -> Expr:
 def _pops_at_end(stack: Expr, tag: Expr) -> Expr:
     """How many open elements an end tag closes (formatting elements aside)."""
     return (
-        F.when(tag == "p", _reach(stack, _among("p"), _BUTTON))
+        choose(tag == "p", _reach(stack, _among("p"), _BUTTON))
         .when(tag == "li", _reach(stack, _among("li"), _among(*SCOPE, "ol", "ul")))
         .when(tag.isin(*HEADINGS), _reach(stack, _among(*HEADINGS), _IN_SCOPE))
         .when(tag.isin("dd", "dt", *BLOCK_ENDS), _reach(stack, lambda x: x == tag, _IN_SCOPE))
@@ -250,6 +271,11 @@ def _join_closed(entries: Expr) -> Expr:
     return F.array_join(F.transform(entries, lambda e: e["closed"]), "")
 
 
+def _closing(stack: Expr, n: Expr) -> Expr:
+    """What the innermost n elements write at their end; mostly it is one element."""
+    return choose(n == 1, F.get(stack, 0)["closed"]).otherwise(_join_closed(F.slice(stack, 1, n)))
+
+
 def _popped(stack: Expr, n: Expr) -> Expr:
     return F.slice(stack, n + 1, F.size(stack))
 
@@ -257,21 +283,25 @@ def _popped(stack: Expr, n: Expr) -> Expr:
 def _leave_cells(active: Expr, gone: Expr) -> Expr:
     """Formatting opened inside a closed table cell ends with it."""
     cells = F.filter(gone, lambda e: e["tag"].isin(*CELLS))
-    return F.when(F.size(cells) == 0, active).otherwise(
+    return choose((F.size(active) == 0) | (F.size(cells) == 0), active).otherwise(
         F.filter(active, lambda a: ~F.exists(cells, lambda c: c["id"] < a["id"]))
     )
 
 
 def _emit(state: Expr, piece: Expr):
-    """Append a piece; full buffers move to ``done`` so that appending stays cheap on long pages."""
-    grown = F.array_append(state["out"], piece)
-    full = F.size(state["out"]) >= 255
-    skip = piece == ""
-    out = F.when(skip, state["out"]).when(full, F.array(piece)).otherwise(grown)
-    done = F.when(~skip & full, F.array_append(state["done"], state["out"])).otherwise(state["done"])
+    """Append a piece; a full buffer moves to ``done`` so that appending stays cheap on long pages."""
+    full = F.octet_length(state["out"]) >= BUFFER
+    out = choose(full, F.coalesce(piece, "")).otherwise(F.concat(state["out"], F.coalesce(piece, "")))
+    done = choose(full, F.array_append(state["done"], state["out"])).otherwise(state["done"])
     return out, done
 
 
+def _one_line(text: Expr) -> Expr:
+    """Runs of white space as one space; most texts have single spaces only, which a search for bytes tells."""
+    runs = reduce(or_, (text.contains(x) for x in ("  ", "\n", "\t", "\f", "\r")))
+    return choose(runs, F.regexp_replace(text, _BREAKS, " ")).otherwise(text)
+
+
 def _fold(tokens: Expr, d: Dialect) -> Expr:
     def hidden(stack: Expr) -> Expr:
         return F.exists(stack, lambda e: e["tag"].isin(*d.dropped)) if d.dropped else F.lit(False)
@@ -294,35 +324,35 @@ def _fold(tokens: Expr, d: Dialect) -> Expr:
 
         def go(again: Expr) -> Expr:
             quiet = hidden(stack)
-            code = lambda a, text: F.when(quiet | ((a["tag"] == "code") & in_pre(stack)), "").otherwise(text)
+            code = lambda a, text: choose(quiet | ((a["tag"] == "code") & in_pre(stack)), "").otherwise(text)
             entries = F.transform(F.reverse(again), lambda a: _entry(a["tag"], a["id"], code(a, a["closed"])))
             text = F.array_join(F.transform(again, lambda a: code(a, a["opened"])), "")
             return F.struct(F.concat(entries, stack).alias("stack"), text.alias("text"))
 
-        return F.when(F.size(active) == 0, as_is(stack)).otherwise(let(reopened(stack, active), go))
+        return choose(F.size(active) == 0, as_is(stack)).otherwise(bind(reopened(stack, active), go))
 
     def text_step(s: Expr, t: Expr) -> Expr:
         def write(r: Expr) -> Expr:
-            shown = F.regexp_replace(t["text"], _BREAKS, " ")
+            shown = _one_line(t["text"])
             for pattern, replacement in d.escapes:
                 code_free = ~F.exists(r["stack"], lambda e: e["tag"].isin("code", "pre"))
-                shown = F.when(code_free, F.regexp_replace(shown, pattern, replacement)).otherwise(shown)
-            shown = F.when(in_pre(r["stack"]), t["text"]).otherwise(shown)
-            return let(
-                F.concat(r["text"], F.when(hidden(r["stack"]), "").otherwise(shown)),
+                shown = bind(shown, lambda x: choose(x.rlike(pattern) & code_free, F.regexp_replace(x, pattern, replacement)).otherwise(x))
+            shown = choose(in_pre(r["stack"]), t["text"]).otherwise(shown)
+            return bind(
+                F.concat(r["text"], choose(hidden(r["stack"]), "").otherwise(shown)),
                 lambda piece: _state(r["stack"], s["active"], *_emit(s, piece), s["quotes"], s["step"] + 1),
             )
 
         in_table = s["stack"][0]["tag"].isin(*TABLE_PARTS) & t["text"].rlike(r"^[ \t\n\f\r]*\z")
-        return let(F.when(in_table, as_is(s["stack"])).otherwise(reopen(s["stack"], s["active"])), write)
+        return bind(choose(in_table, as_is(s["stack"])).otherwise(reopen(s["stack"], s["active"])), write)
 
     def start_step(s: Expr, t: Expr) -> Expr:
         tag = t["tag"]
 
         def after_pops(c: Expr) -> Expr:
             plain_block = tag.isin(*CLOSES_P, "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option")
-            ready = F.when(plain_block, as_is(c["stack"])).otherwise(reopen(c["stack"], c["active"]))
-            return let(ready, lambda r: pushed(c, r))
+            ready = choose(plain_block, as_is(c["stack"])).otherwise(reopen(c["stack"], c["active"]))
+            return bind(ready, lambda r: pushed(c, r))
 
         def pushed(c: Expr, r: Expr) -> Expr:
             quiet = hidden(r["stack"]) | (tag.isin(*d.dropped) if d.dropped else F.lit(False))
@@ -336,61 +366,61 @@ def _fold(tokens: Expr, d: Dialect) -> Expr:
             if len(d.bullets) > 1:
                 uls = F.size(F.filter(lists, lambda e: e["tag"] == "ul"))
                 bullet = F.element_at(F.array(*d.bullets), (F.pmod(F.greatest(uls - 1, 0), len(d.bullets)) + 1).cast("int"))
-            item = F.concat(LINE, indent, F.when(F.coalesce(F.get(lists, 0)["tag"], "") == "ol", number).otherwise(bullet))
+            item = F.concat(LINE, indent, choose(F.coalesce(F.get(lists, 0)["tag"], "") == "ol", number).otherwise(bullet))
             nested = tag.isin("ul", "ol") & (depth > 0)
-            opened = F.when(silent, "").when(tag == "li", item)
-            closed = F.when(silent, "")
+            opened = choose(silent, "").when(tag == "li", item)
+            closed = choose(silent, "")
             if d.list_close:
                 opened = opened.when(nested, LINE)
                 closed = closed.when(nested, "")
             opened, closed = opened.otherwise(t["opened"]), closed.otherwise(t["closed"])
-            counted = F.when(
+            counted = choose(
                 tag == "li",
                 F.concat(F.array(_entry(top["tag"], top["id"], top["closed"], top["items"] + 1)), F.slice(r["stack"], 2, F.size(r["stack"]))),
             ).otherwise(r["stack"])
-            stack = F.when(tag.isin(*VOID), r["stack"]).otherwise(F.concat(F.array(_entry(tag, s["step"], closed)), counted))
+            stack = choose(tag.isin(*VOID), r["stack"]).otherwise(F.concat(F.array(_entry(tag, s["step"], closed)), counted))
             # Of equal formatting elements at most three stay active.
             twins = F.filter(c["active"], lambda a: a["key"] == t["key"])
-            kept = F.when(F.size(twins) < 3, c["active"]).otherwise(F.filter(c["active"], lambda a: a["id"] != F.get(twins, 0)["id"]))
+            kept = choose(F.size(twins) < 3, c["active"]).otherwise(F.filter(c["active"], lambda a: a["id"] != F.get(twins, 0)["id"]))
             item_active = F.struct(
                 tag.alias("tag"), s["step"].alias("id"), t["opened"].alias("opened"), t["closed"].alias("closed"), t["key"].alias("key")
             )
-            active = F.when(t["key"] != "", F.array_append(kept, item_active)).otherwise(c["active"])
-            quotes = F.when(
+            active = choose(t["key"] != "", F.array_append(kept, item_active)).otherwise(c["active"])
+            quotes = choose(
                 tag == "blockquote", F.greatest(s["quotes"], F.size(F.filter(r["stack"], lambda e: e["tag"] == "blockquote")) + 1)
             ).otherwise(s["quotes"])
-            return let(
+            return bind(
                 F.concat(c["text"], r["text"], opened),
                 lambda piece: _state(stack, active, *_emit(s, piece), quotes, s["step"] + 1),
             )
 
         def pops(n: Expr) -> Expr:
             gone = F.slice(s["stack"], 1, n)
-            return F.when(
+            return choose(
                 n == 0, F.struct(s["stack"].alias("stack"), s["active"].alias("active"), F.lit("").alias("text"))
             ).otherwise(
                 F.struct(
-                    _popped(s["stack"], n).alias("stack"), _leave_cells(s["active"], gone).alias("active"), _join_closed(gone).alias("text")
+                    _popped(s["stack"], n).alias("stack"), _leave_cells(s["active"], gone).alias("active"), _closing(s["stack"], n).alias("text")
                 )
             )
 
         # A second link start ends the open link first.
-        open_link = F.exists(s["active"], lambda a: a["tag"] == "a") & (tag == "a")
-        cleared = F.when(open_link, end_formatting(s, "a")).otherwise(let(_pops_before(s["stack"], tag), pops))
-        return let(cleared, after_pops)
+        open_link = (tag == "a") & F.exists(s["active"], lambda a: a["tag"] == "a")
+        cleared = choose(open_link, end_formatting(s, "a")).otherwise(bind(_pops_before(s["stack"], tag), pops))
+        return bind(cleared, after_pops)
 
     def end_formatting(s: Expr, tag) -> Expr:
         """STRUCT<stack, active, text> after the last active element with that tag ends."""
 
         def close(a: Expr) -> Expr:
             rest = F.filter(s["active"], lambda x: x["id"] != a["id"])
-            depth = F.array_position(F.transform(s["stack"], lambda e: e["id"]), a["id"]).cast("int")
+            deeper = F.array_position(F.transform(s["stack"], lambda e: e["id"]), a["id"]).cast("int")
+            depth = choose(F.get(s["stack"], 0)["id"] == a["id"], 1).otherwise(deeper)
 
             def apply(k: Expr) -> Expr:
-                gone = F.slice(s["stack"], 1, k)
                 block_inside = F.exists(F.slice(s["stack"], 1, k - 1), lambda e: e["tag"].isin(*SPECIAL))
                 return (
-                    F.when(k == 0, F.struct(s["stack"].alias("stack"), rest.alias("active"), F.lit("").alias("text")))
+                    choose(k == 0, F.struct(s["stack"].alias("stack"), rest.alias("active"), F.lit("").alias("text")))
                     .when(
                         block_inside,
                         F.struct(
@@ -399,52 +429,52 @@ def _fold(tokens: Expr, d: Dialect) -> Expr:
                             F.get(s["stack"], k - 1)["closed"].alias("text"),
                         ),
                     )
-                    .otherwise(F.struct(_popped(s["stack"], k).alias("stack"), rest.alias("active"), _join_closed(gone).alias("text")))
+                    .otherwise(F.struct(_popped(s["stack"], k).alias("stack"), rest.alias("active"), _closing(s["stack"], k).alias("text")))
                 )
 
-            return let(depth, apply)
+            return bind(depth, apply)
 
-        return let(F.element_at(F.filter(s["active"], lambda x: x["tag"] == tag), -1), close)
+        return bind(F.element_at(F.filter(s["active"], lambda x: x["tag"] == tag), -1), close)
 
     def end_step(s: Expr, t: Expr) -> Expr:
         tag = t["tag"]
 
         def plain(n: Expr) -> Expr:
             gone = F.slice(s["stack"], 1, n)
-            lone_p = F.when((tag == "p") & (n == 0) & ~hidden(s["stack"]), BLANK).otherwise("")
-            return F.when(
+            lone_p = choose((tag == "p") & (n == 0) & ~hidden(s["stack"]), BLANK).otherwise("")
+            return choose(
                 n == 0, F.struct(s["stack"].alias("stack"), s["active"].alias("active"), lone_p.alias("text"))
             ).otherwise(
                 F.struct(
-                    _popped(s["stack"], n).alias("stack"), _leave_cells(s["active"], gone).alias("active"), _join_closed(gone).alias("text")
+                    _popped(s["stack"], n).alias("stack"), _leave_cells(s["active"], gone).alias("active"), _closing(s["stack"], n).alias("text")
                 )
             )
 
         formatting = tag.isin(*FORMATTING) & F.exists(s["active"], lambda a: a["tag"] == tag)
-        result = F.when(formatting, end_formatting(s, tag)).otherwise(let(_pops_at_end(s["stack"], tag), plain))
-        return let(
+        result = choose(formatting, end_formatting(s, tag)).otherwise(bind(_pops_at_end(s["stack"], tag), plain))
+        return bind(
             result,
-            lambda r: let(r["text"], lambda piece: _state(r["stack"], r["active"], *_emit(s, piece), s["quotes"], s["step"] + 1)),
+            lambda r: bind(r["text"], lambda piece: _state(r["stack"], r["active"], *_emit(s, piece), s["quotes"], s["step"] + 1)),
         )
 
     def step(s: Expr, t: Expr) -> Expr:
-        return F.when(t["kind"] == "t", text_step(s, t)).when(t["kind"] == "s", start_step(s, t)).otherwise(end_step(s, t))
+        return choose(t["kind"] == "t", text_step(s, t)).when(t["kind"] == "s", start_step(s, t)).otherwise(end_step(s, t))
 
     empty = _state(
         F.array(_entry("body", -1, "")).cast(_STACK),
         F.array().cast(_ACTIVE),
+        F.lit(""),
         F.array().cast("array<string>"),
-        F.array().cast("array<array<string>>"),
         F.lit(0),
         F.lit(0),
     )
 
     def finish(s: Expr) -> Expr:
-        text = F.concat(F.array_join(F.flatten(F.array_append(s["done"], s["out"])), ""), _join_closed(s["stack"]))
+        text = F.concat(F.array_join(F.array_append(s["done"], s["out"]), ""), _join_closed(s["stack"]))
         return F.struct(text.alias("text"), s["quotes"].alias("quotes"))
 
-    kind = "struct<stack:%s,active:%s,out:array<string>,done:array<array<string>>,quotes:int,step:int>" % (_STACK, _ACTIVE)
-    return F.aggregate(tokens, empty.cast(kind), lambda s, t: step(s, t).cast(kind), finish)
+    kind = "struct<stack:%s,active:%s,out:string,done:array<string>,quotes:int,step:int>" % (_STACK, _ACTIVE)
+    return F.aggregate(tokens, empty.cast(kind), step, finish)
 
 
 # ---- settling markers --------------------------------------------------------------------------
@@ -472,14 +502,14 @@ def _quotes(text: Expr, levels: Expr) -> Expr:
 
     def render(piece: Expr) -> Expr:
         inner = trim_white(_settle(F.translate(piece, QUOTE + UNQUOTE, "")))
-        return let(inner, lambda x: F.when(x == "", "").otherwise(F.concat(F.regexp_replace(x, "(?dm)^", "> "), "\n")))
+        return bind(inner, lambda x: choose(x == "", "").otherwise(F.concat(F.regexp_replace(x, "(?dm)^", "> "), "\n")))
 
     def level(s: Expr) -> Expr:
         pieces = F.split(s, f"(?={QUOTE})|(?<={UNQUOTE})")
         innermost = rf"(?s)\A{QUOTE}[^{QUOTE}{UNQUOTE}]*+{UNQUOTE}\z"
-        return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(innermost), render(p)).otherwise(p)), "")
+        return F.array_join(F.transform(pieces, lambda p: choose(p.rlike(innermost), render(p)).otherwise(p)), "")
 
-    return F.when(levels == 0, text).otherwise(F.aggregate(F.sequence(1, F.greatest(levels, 1)), text, lambda s, _: level(s)))
+    return choose(levels == 0, text).otherwise(F.aggregate(F.sequence(1, F.greatest(levels, 1)), text, lambda s, _: level(s)))
 
 
 def _tidy(text: Expr) -> Expr:
@@ -514,7 +544,7 @@ def markdown(html: Expr, dialect: str = "fast") -> Expr:
         text = _settle(_quotes(_tidy(r["text"]) if d.tidy_inline else r["text"], r["quotes"]))
         return _collapse(text)
 
-    return let(_fold(_prepared(source, d), d), settle)
+    return bind(_fold(_prepared(source, d), d), settle)
 
 
 def page_markdown(pages: DataFrame, page_id: str = "page_id", html: str = "html", dialect: str = "fast") -> DataFrame:

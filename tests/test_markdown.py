@@ -1,7 +1,8 @@
 import pytest
 
-from pagewright.functions.sql import fn as F
-from pagewright.operators.markdown import markdown
+from pagewright.functions.sql import choose, fn as F
+from pagewright.functions.text import bind
+from pagewright.operators.markdown import BUFFER, DIALECTS, _fold, markdown
 
 X = F.col("x")
 
@@ -69,3 +70,24 @@ def test_long_page(evaluate, dialect):
     n = 4000
     (text,) = evaluate(["<p>" + "</p><p>".join(f"w{i}" for i in range(n)) + "</p>"], markdown(X, dialect))
     assert text == "\n\n".join(f"w{i}" for i in range(n))
+
+
+@pytest.mark.parametrize("dialect", ["fast", "ai", "browser"])
+def test_a_step_copies_no_state_and_walks_no_branch_list(dialect):
+    fold = _fold(F.col("tokens"), DIALECTS[dialect]).text
+    assert "CASE" not in fold and "element_at(transform(" not in fold
+    assert fold.count("AS struct<") == 1  # the empty state gets its type, not every step
+
+
+@pytest.mark.parametrize("dialect", ["fast", "ai", "browser"])
+@pytest.mark.parametrize("size", [1, BUFFER - 1, BUFFER, 3 * BUFFER])
+def test_full_buffers(evaluate, dialect, size):
+    words = ["ü" * (size // 2), "w" * size, "", "end"]
+    (text,) = evaluate(["".join(f"<p>{w}</p>" for w in words)], markdown(X, dialect))
+    assert text == "\n\n".join(w for w in words if w)
+
+
+def test_bind_and_choose(evaluate):
+    assert evaluate([None, "a"], bind(X, lambda v: bind(F.concat(v, "b"), lambda w: F.coalesce(F.concat(w, v), "none")))) == ["none", "aba"]
+    assert evaluate([None, "a", "b", "c"], choose(X == "a", "1").when(X == "b", "2")) == [None, "1", "2", None]
+    assert evaluate([None, "a", "b", "c"], choose(X == "a", "1").when(X != "b", "2").otherwise("3")) == ["3", "1", "3", "2"]
